@@ -98,7 +98,7 @@ def front_matter(text: Column, key: str) -> Column:
     head = F.regexp_extract(_text(text), r"\A---\r?\n([\s\S]*?)\r?\n---", 1)
     line = F.regexp_extract(head, rf"(?m)^{key}:[ \t]*(.*)$", 1)
     block = F.regexp_extract(head, rf"(?m)^{key}:[ \t]*[>|][+-]?[ \t]*\n((?:[ \t]+.*(?:\n|\z))+)", 1)
-    lines = F.filter(F.transform(F.split(block, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(block, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     folded = F.when(line.startswith("|"), F.array_join(lines, "\n")).otherwise(F.array_join(lines, " "))
     value = F.when(line.rlike("^[>|][+-]?[ \t]*$"), folded).otherwise(F.regexp_replace(F.trim(line), "^([\"'])(.*)\\1$", "$2"))
     return F.nullif(value, F.lit(""))

@@ -150,7 +150,8 @@ def rerank_blend(spark, sf_dir):
 @query("""WITH
     said AS (SELECT c_custkey AS prompt_id, trim(regexp_replace(lower('about ' || c_name || ' now'), '[\\s_-]+', ' ', 'g')) AS prompt FROM customer),
     own AS (SELECT c_custkey AS doc_id, trim(regexp_replace(lower(c_name), '[\\s_-]+', ' ', 'g')) AS name FROM customer),
-    m AS (SELECT prompt_id, doc_id FROM said JOIN own ON contains(prompt, name) AND regexp_matches(prompt, '(^|[^\\p{L}\\p{N}])\\Q' || name || '\\E($|[^\\p{L}\\p{N}])'))
+    clean AS (SELECT prompt_id, ' ' || regexp_replace(prompt, '[^a-z0-9]', ' ', 'g') || ' ' AS prompt FROM said), names AS (SELECT doc_id, ' ' || regexp_replace(name, '[^a-z0-9]', ' ', 'g') || ' ' AS name FROM own),
+    m AS (SELECT prompt_id, doc_id FROM clean JOIN names ON contains(prompt, name))
     SELECT prompt_id, min(doc_id) AS doc_id FROM m GROUP BY prompt_id HAVING count(*) = 1""")
 def exact_name(spark, sf_dir):
     """Each customer is named in a prompt; the catalog is the customers."""
