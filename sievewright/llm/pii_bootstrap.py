@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from .scratch import stored
 
 ROUNDS, MIN_SCORE, MIN_SUPPORT = 2, 0.8, 5
+BLOCK = 256  # even, so that a block begins outside a match
 KINDS = ("email", "ip", "card", "phone")
 SPANS = "array<struct<start:int,end:int,value:string,left:string>>"
 
@@ -37,9 +38,16 @@ def _none() -> Column:
     return F.array().cast(SPANS)
 
 
-def _matches(pattern: str, test) -> Column:
-    """Spans of a pattern in column ``t`` that pass the test; left: the text between the match before and this one."""
-    parts = F.split(F.regexp_replace("t", F.lit(f"({pattern})"), F.lit("\x01$1\x02")), "[\x01\x02]")
+def _parts(pattern: str) -> Column:
+    """Column ``t`` cut at its matches: text between matches and matches in turn."""
+    return F.split(F.regexp_replace("t", F.lit(f"({pattern})"), F.lit("\x01$1\x02")), "[\x01\x02]")
+
+
+def _blocks(parts: str) -> Column:
+    """Spans of blocks of ``BLOCK`` parts, offsets from the block's head: short lists, so that appending stays cheap in long texts.
+
+    left: the text between the match before and this one.
+    """
     start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.lit("").alias("left"), _none().alias("out"))
 
     def step(acc: Column, part: Column) -> Column:
@@ -47,7 +55,17 @@ def _matches(pattern: str, test) -> Column:
         one = F.struct(acc["at"].alias("start"), end.alias("end"), part.alias("value"), acc["left"].alias("left"))
         return F.struct(end.alias("at"), (~acc["inside"]).alias("inside"), part.alias("left"), F.when(acc["inside"], F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
 
-    return F.filter(F.aggregate(parts, start, step, lambda acc: acc["out"]), test)
+    numbers = F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / BLOCK).cast("int"))
+    held = F.transform(numbers, lambda b: F.aggregate(F.slice(parts, b * BLOCK + 1, BLOCK), start, step, lambda acc: F.struct(acc["at"].alias("at"), acc["out"].alias("out"))))
+    return F.when(F.size(parts) > 1, held)
+
+
+def _spans(blocks: str, test) -> Column:
+    """All spans of a text that pass the test."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("heads"))
+    heads = F.aggregate(blocks, start, lambda acc, b: F.struct((acc["at"] + b["at"]).cast("int").alias("at"), F.concat(acc["heads"], F.array(acc["at"])).alias("heads")), lambda acc: acc["heads"])
+    moved = F.zip_with(blocks, heads, lambda b, h: F.transform(b["out"], lambda s: F.struct((s["start"] + h).alias("start"), (s["end"] + h).alias("end"), s["value"].alias("value"), s["left"].alias("left"))))
+    return F.coalesce(F.when(F.size(blocks) > 0, F.filter(F.flatten(moved), test)), _none())
 
 
 def _digits(value: Column) -> Column:
@@ -73,15 +91,16 @@ def fixed_formats(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", F.when(F.coalesce(F.col("text"), F.lit("")).rlike("[\x01\x02]"), text).otherwise(F.coalesce(F.col("text"), F.lit(""))).alias("t"))
     t = F.col("t")
     digit = t.rlike("[0-9]")
-    return docs.select(
-        F.monotonically_increasing_id().alias("row"),
-        "doc_id",
-        F.when(t.contains("@"), _matches(EMAIL, lambda s: F.lit(True))).otherwise(_none()).alias("email"),
-        F.when(t.rlike(IP), _matches(IP, lambda s: s["value"].rlike(rf"^{BYTE}(?:\.{BYTE}){{3}}$"))).otherwise(_none()).alias("ip"),
-        F.when(t.rlike(CARD), _matches(CARD, _card)).otherwise(_none()).alias("card"),
-        F.when(t.contains("+"), _matches(PHONE, lambda s: F.length(_digits(s["value"])).between(8, 15))).otherwise(_none()).alias("phone"),
-        F.when(digit | t.contains("@"), _matches(CANDIDATE, lambda s: F.length(s["value"]) >= 6)).otherwise(_none()).alias("candidates"),
-    )
+    wanted = {
+        "email": (t.contains("@"), EMAIL, lambda s: F.lit(True)),
+        "ip": (t.rlike(IP), IP, lambda s: s["value"].rlike(rf"^{BYTE}(?:\.{BYTE}){{3}}$")),
+        "card": (t.rlike(CARD), CARD, _card),
+        "phone": (t.contains("+"), PHONE, lambda s: F.length(_digits(s["value"])).between(8, 15)),
+        "candidates": (digit | t.contains("@"), CANDIDATE, lambda s: F.length(s["value"]) >= 6),
+    }
+    docs = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", *(F.when(some, _parts(pattern)).alias(k) for k, (some, pattern, _) in wanted.items()))
+    docs = docs.select("row", "doc_id", *(_blocks(k).alias(k) for k in wanted))
+    return docs.select("row", "doc_id", *(_spans(k, test).alias(k) for k, (_, _, test) in wanted.items()))
 
 
 def _shape(value: Column) -> Column:

@@ -2,7 +2,7 @@
 
 One scan of the texts finds the base spans (assignments, access keys, long hex runs) and all other runs of ``MIN_LENGTH``
 or more credential characters. Base values are labelled credentials, the other runs are background. From a hash sample of
-at most ``LEARN`` different strings of either kind a probabilistic automaton is inferred: a prefix tree over character
+at most ``LEARN`` different strings of either kind, ``LEARN_LENGTH`` characters at most, a probabilistic automaton is inferred: a prefix tree over character
 classes whose states are merged while their outgoing frequencies are statistically compatible (Hoeffding bound, the
 red-blue order). All candidates of all documents are scored by the mean log-likelihood ratio for each character; those
 above ``MIN_RATIO`` are added as spans of kind ``learned``.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .scratch import stored
 
-MIN_LENGTH, LEARN, MIN_RATIO, ALPHA = 20, 400, 0.5, 0.05
+MIN_LENGTH, LEARN, LEARN_LENGTH, MIN_RATIO, ALPHA = 20, 400, 128, 0.5, 0.05
 
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -168,7 +168,7 @@ def _score(grammar) -> callable:
 
 def _sample(found: DataFrame, column: str) -> list[str]:
     """At most LEARN different values, those with the least hashes. Each task hands on LEARN at most."""
-    values = found.select(F.explode(column).alias("s")).select(F.col("s.value").alias("v")).where(F.length("v") >= 6).distinct()
+    values = found.select(F.explode(column).alias("s")).select(F.col("s.value").alias("v")).where(F.length("v").between(6, LEARN_LENGTH)).distinct()
     return [r[0] for r in values.orderBy(F.xxhash64("v"), "v").limit(LEARN).collect()]
 
 
