@@ -115,6 +115,16 @@ def _sampler(weights: np.ndarray) -> _Sampler:
     return _samplers[name]
 
 
+def _names(shingle: np.ndarray, text: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Where each text's elements begin, and 128 bits that name the text by its words."""
+    if not len(text):
+        return np.zeros(0, np.int64), []
+    heads = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
+    folded = words.mix(shingle * np.uint64(0x9E3779B97F4A7C15) + before.astype(np.uint64))
+    one, two = np.add.reduceat(folded, heads), np.add.reduceat(words.mix(folded), heads)
+    return heads, [a.tobytes() + b.tobytes() for a, b in zip(one, two, strict=True)]
+
+
 def _sketch(weights) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = None
@@ -123,13 +133,11 @@ def _sketch(weights) -> callable:
             for first, last, data, offsets, shingle, text, before in _shingled(batch.column(1)):
                 nodes = [None] * (last - first)
                 keys: list = [None] * (last - first)
-                if len(text):
-                    heads = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
-                    folded = words.mix(shingle * np.uint64(0x9E3779B97F4A7C15) + before.astype(np.uint64))
-                    one, two = np.add.reduceat(folded, heads), np.add.reduceat(words.mix(folded), heads)
+                heads, names = _names(shingle, text, before)
+                if names:
                     found = sampler.bands(shingle, before, heads).view(np.int64)
                     for i, t in enumerate(text[heads]):
-                        nodes[t] = one[i].tobytes() + two[i].tobytes()
+                        nodes[t] = names[i]
                         keys[t] = found[i]
                 for i in range(last - first):
                     if nodes[i] is None and offsets[i + 1] > offsets[i]:  # no word: equal texts still meet
@@ -140,13 +148,16 @@ def _sketch(weights) -> callable:
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The elements of each text, sorted: shingle and how often it came before, packed in 64 bits."""
+    """The elements of each text in 32 bits: the shingle's bucket, then bits of its hash and of how often it came before."""
     for batch in batches:
         for first, last, _, _, shingle, text, before in _shingled(batch.column(1)):
-            packed = shingle | (np.minimum(before, (1 << 20) - 1).astype(np.uint64) << np.uint64(words.BITS))
-            cut = np.searchsorted(text, np.arange(last - first + 1))
-            held = [np.sort(packed[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            yield pa.record_batch([batch.column(0)[first:last], pa.array(held, pa.binary())], ["node", "vector"])
+            packed = ((shingle >> np.uint64(words.BITS - 32)) ^ (before.astype(np.uint64) * np.uint64(0x9E37) & np.uint64((1 << (32 - DF_BITS)) - 1))).astype(np.uint32)
+            heads, names = _names(shingle, text, before)
+            cut = np.append(heads, len(text))
+            own = dict(zip(text[heads].tolist(), range(len(heads)), strict=True))
+            rows = [(i, own[i]) for i in range(last - first) if i in own and batch.column(0)[first + i].as_py() == names[own[i]]]  # of rows with one doc_id and other texts, only the node's
+            held = pa.array([packed[cut[k] : cut[k + 1]].tobytes() for _, k in rows], pa.binary())
+            yield pa.record_batch([pa.array([names[k] for _, k in rows], pa.binary()), held], ["node", "vector"])
 
 
 def _forest(weights) -> callable:
@@ -155,9 +166,9 @@ def _forest(weights) -> callable:
     def run(block: pd.DataFrame) -> pd.DataFrame:
         w = weights.value
         block = block.drop_duplicates("node").sort_values("node").reset_index(drop=True)
-        held = [np.frombuffer(v, np.uint64) for v in block.vector]
+        held = [np.frombuffer(v, np.uint32) for v in block.vector]
         names, place = np.unique(np.concatenate(held), return_inverse=True)
-        weight = w[_bucket(names & np.uint64((1 << words.BITS) - 1))].astype(np.float64)
+        weight = w[names >> np.uint32(32 - DF_BITS)].astype(np.float64)
         each = weight[place]
         heads = np.cumsum([0, *(len(v) for v in held[:-1])])
         total = np.add.reduceat(each, heads)
@@ -234,12 +245,12 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     weights = spark.sparkContext.broadcast(shingle_weights(docs))
     sketch = stored(docs.mapInArrow(_sketch(weights), "doc_id long, node binary, bands array<long>"), "sketch")
     nodes = stored(sketch.where("doc_id is not null and bands is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "nodes")
-    member = nodes.select("node", "rep", F.posexplode("bands").alias("band", "value")).select("node", "rep", "band", F.concat_ws(":", "band", "value").alias("key"))
+    member = nodes.select("node", F.posexplode("bands").alias("band", "key")).select("node", F.col("band").cast("byte").alias("band"), "key")
     sizes = member.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     member = stored(member.join(sizes, "key"), "members")
-    wanted = member.groupBy("rep").agg(F.first("node").alias("node"))
+    wanted = nodes.join(member.select("node").distinct(), "node", "left_semi").select("node", "rep")
     texts = docs.join(wanted, docs.doc_id == wanted.rep).select("node", "text")
-    vectors = stored(texts.mapInArrow(_vectors, "node binary, vector binary").dropDuplicates(["node"]), "vectors")
+    vectors = stored(texts.mapInArrow(_vectors, "node binary, vector binary"), "vectors")
     links, groups = None, None
 
     def add(new: DataFrame) -> None:
