@@ -26,6 +26,7 @@ from . import words
 TRAIN_DOCS = 20_000
 FEATURE_BITS = 15
 SWITCH = 12.0
+PIECE_BYTES, PREDICT_BYTES = 1 << 18, 4 << 20
 SCRIPT_SHARE = 0.01
 NO_LANGUAGE = "und"
 
@@ -50,20 +51,32 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2
 
 
-def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Trigram bucket of every byte (the last bucket for bytes between words), and the words."""
-    start, end, text = words.split(data, offsets, GAPS)
-    b = np.where(GAPS[data], 32, words.LOWER[data]).astype(np.uint64)
+def _buckets(data: np.ndarray) -> np.ndarray:
+    """Trigram bucket of every byte (the last bucket for bytes between words); ``data`` begins where a word begins."""
+    gap = GAPS[data]
+    b = np.where(gap, 32, words.LOWER[data]).astype(np.uint64)
     one = np.concatenate([[32], b[:-1]]).astype(np.uint64)
-    heads = offsets[:-1][offsets[:-1] < len(data)]
-    one[heads] = 32
     two = np.concatenate([[32, 32], b[:-2]]).astype(np.uint64)[: len(b)]
     two[one == 32] = 32
-    later = heads[heads + 1 < len(data)] + 1
-    two[later] = 32
     bucket = (((two << np.uint64(16) | one << np.uint64(8) | b) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - FEATURE_BITS)).astype(np.int64)
-    bucket[GAPS[data]] = 1 << FEATURE_BITS
-    return bucket, start, end, text
+    bucket[gap] = 1 << FEATURE_BITS
+    return bucket
+
+
+def _pieces(data: np.ndarray, start: np.ndarray, end: np.ndarray, text: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(first word, word after the last, bucket of each byte from the first word on), a few hundred kilobytes of whole words of one text or several.
+
+    Two texts may touch without a gap, so a piece also ends where the next text begins at once.
+    """
+    touching = np.flatnonzero((text[1:] != text[:-1]) & (start[1:] == end[:-1])) + 1
+    first = 0
+    while first < len(start):
+        last = max(first + 1, int(np.searchsorted(end, start[first] + PIECE_BYTES, "right")))
+        k = int(np.searchsorted(touching, first, "right"))
+        if k < len(touching):
+            last = min(last, int(touching[k]))
+        yield first, last, _buckets(data[start[first] : end[last - 1]])
+        first = last
 
 
 def _word_scripts(data: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -78,14 +91,16 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for first, last, data, offsets in words.slices(batch.column(0)):
             if not len(data):
                 continue
-            bucket, start, _, text = _features(data, offsets)
-            script = _word_scripts(data, start)
-            owner = np.repeat(np.arange(last - first), np.diff(offsets))
-            for lang in set(langs[first:last]):
-                mine = np.flatnonzero(langs[first:last] == lang)
-                n = held.setdefault(lang, np.zeros(size, np.int64))
-                n += np.bincount(bucket[np.isin(owner, mine)], minlength=size)
-                n += np.bincount(script[np.isin(text, mine)].astype(np.int64) + (1 << FEATURE_BITS) + 1, minlength=size)
+            start, end, text = words.split(data, offsets, GAPS)
+            script = _word_scripts(data, start).astype(np.int64) + (1 << FEATURE_BITS) + 1
+            lang = langs[first:last][text]
+            for a, b, bucket in _pieces(data, start, end, text):
+                owner = np.repeat(np.arange(a, b), np.diff(np.append(start[a:b], end[b - 1])))
+                for one in set(lang[a:b]):
+                    mine = lang[a:b] == one
+                    n = held.setdefault(one, np.zeros(size, np.int64))
+                    n += np.bincount(bucket[mine[owner - a]], minlength=size)
+                    n += np.bincount(script[a:b][mine], minlength=size)
     for lang, n in held.items():
         n[1 << FEATURE_BITS] = 0
         some = np.flatnonzero(n)
@@ -162,13 +177,15 @@ def predict(model: Model, texts: pa.Array) -> tuple[list[str], list[float], list
     """Language, score and spans (``language:first word:word after the last``) of every text."""
     rows = len(texts)
     langs, scores, spans = [NO_LANGUAGE] * rows, [0.0] * rows, [""] * rows
-    for first, last, data, offsets in words.slices(texts, 8 << 20):
+    for first, last, data, offsets in words.slices(texts, PREDICT_BYTES):
         if not model.langs or not len(data):
             continue
-        bucket, start, end, text = _features(data, offsets)
+        start, end, text = words.split(data, offsets, GAPS)
         if not len(start):
             continue
-        score = np.add.reduceat(model.log[bucket], start, axis=0)
+        score = np.empty((len(start), len(model.langs)), np.float32)
+        for a, b, bucket in _pieces(data, start, end, text):
+            score[a:b] = np.add.reduceat(model.log[bucket], start[a:b] - start[a], axis=0)
         script = _word_scripts(data, start)
         score = np.where(model.known[script], score, np.float32(-50))
         score[script == 0] = 0
