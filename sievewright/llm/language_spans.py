@@ -26,7 +26,7 @@ from . import words
 TRAIN_DOCS = 20_000
 FEATURE_BITS = 15
 SWITCH = 12.0
-PIECE_BYTES, PREDICT_BYTES = 1 << 18, 4 << 20
+PIECE_BYTES, PREDICT_BYTES = 1 << 18, 2 << 20
 SCRIPT_SHARE = 0.01
 NO_LANGUAGE = "und"
 

@@ -103,18 +103,6 @@ class _Sampler:
         return keys
 
 
-_samplers: dict[bytes, _Sampler] = {}
-
-
-def _sampler(weights: np.ndarray) -> _Sampler:
-    """One for each worker: the tables are the same for the same weights."""
-    name = hashlib.blake2b(weights.tobytes(), digest_size=16).digest()
-    if name not in _samplers:
-        _samplers.clear()
-        _samplers[name] = _Sampler(weights)
-    return _samplers[name]
-
-
 def _names(shingle: np.ndarray, text: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
     """Where each text's elements begin, and 128 bits that name the text by its words."""
     if not len(text):
@@ -129,7 +117,7 @@ def _sketch(weights) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = None
         for batch in batches:
-            sampler = sampler or _sampler(weights.value)
+            sampler = sampler or _Sampler(weights.value)  # one for each task; it is not kept in idle workers
             for first, last, data, offsets, shingle, text, before in _shingled(batch.column(1)):
                 nodes = [None] * (last - first)
                 keys: list = [None] * (last - first)
@@ -168,10 +156,10 @@ def _forest(weights) -> callable:
         block = block.drop_duplicates("node").sort_values("node").reset_index(drop=True)
         held = [np.frombuffer(v, np.uint32) for v in block.vector]
         names, place = np.unique(np.concatenate(held), return_inverse=True)
-        weight = w[names >> np.uint32(32 - DF_BITS)].astype(np.float64)
-        each = weight[place]
+        place = place.astype(np.int32)
+        each = w[names >> np.uint32(32 - DF_BITS)][place]  # sixteenths: their sums are exact
         heads = np.cumsum([0, *(len(v) for v in held[:-1])])
-        total = np.add.reduceat(each, heads)
+        total = np.add.reduceat(each, heads, dtype=np.float64)
         group = pd.factorize(block["group"])[0]
         mark = np.zeros(len(names), bool)
         out = []
@@ -181,7 +169,7 @@ def _forest(weights) -> callable:
                 continue
             mine = place[heads[i] : heads[i] + len(held[i])]
             mark[mine] = True
-            shared = np.add.reduceat(np.where(mark[place], each, 0.0), heads)
+            shared = np.add.reduceat(each * mark[place], heads, dtype=np.float64)
             mark[mine] = False
             for j in np.flatnonzero(other & (shared >= THRESHOLD * (total + total[i] - shared) - 1e-9)):
                 if group[j] != group[i]:

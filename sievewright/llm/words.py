@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES, PIECE_BYTES = 1 << 20, 1 << 17
 BITS = 44  # of a shingle's identity; the other 20 hold the text's place in its slice
 _BASE = 0x9E3779B97F4A7C15 | 1
 _STEP = 0xC2B2AE3D27D4EB4F
@@ -30,7 +30,7 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        size = max(n, 2 * SLICE_BYTES)
+        size = max(n, 2 * PIECE_BYTES)
         for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
             factors = np.full(size, base, np.uint64)
             factors[0] = 1
@@ -79,11 +79,23 @@ def split(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACES) -> t
 
 
 def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, ASCII letters folded to lower case."""
-    up, down = _power_tables(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((LOWER[data].astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start])
+    """A 64-bit hash of each word, ASCII letters folded to lower case.
+
+    The value does not depend on the word's place, so pieces of whole words are hashed one after another and the tables
+    of powers stay as small as a piece (or the longest word).
+    """
+    out = np.empty(len(start), np.uint64)
+    first = 0
+    while first < len(start):
+        last = max(first + 1, int(np.searchsorted(end, start[first] + PIECE_BYTES, "right")))
+        piece = data[start[first] : end[last - 1]]
+        up, down = _power_tables(len(piece) + 1)
+        total = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum((LOWER[piece].astype(np.uint64) + np.uint64(1)) * up[: len(piece)], out=total[1:])
+        begin = start[first:last] - start[first]
+        out[first:last] = mix((total[end[first:last] - start[first]] - total[begin]) * down[begin])
+        first = last
+    return out
 
 
 def shingles(words: np.ndarray, text: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
