@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .scratch import stored
+from .scratch import discard, folder, stored
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS, FIRST_BANDS = 14, 4, 4
@@ -75,13 +75,16 @@ class _Sampler:
     def __init__(self, weights: np.ndarray):
         n, size = BANDS * ROWS, 1 << TABLE_BITS
         rng = np.random.default_rng(20240229)
-        self.r = rng.gamma(2.0, 1.0, (n, size)).astype(np.float32)
-        self.c = np.log(rng.gamma(2.0, 1.0, (n, size))).astype(np.float32)
+        self.r = rng.standard_gamma(2.0, (n, size), np.float32)
+        self.c = rng.standard_gamma(2.0, (n, size), np.float32)
+        np.log(self.c, out=self.c)
         self.beta = rng.random((n, size), np.float32)
         self.odd = rng.integers(1, 1 << 62, n, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
         self.ln = np.log(weights)
         self.most = self.ln.max()
-        self.usual = self.c - self.r * (np.floor(self.most / self.r + self.beta) + 1 - self.beta)
+        self.usual = np.empty((n, size), np.float32)
+        for k in range(n):  # row by row: no further table of this size is held
+            self.usual[k] = self.c[k] - self.r[k] * (np.floor(self.most / self.r[k] + self.beta[k]) + 1 - self.beta[k])
 
     def bands(self, shingle: np.ndarray, before: np.ndarray, heads: np.ndarray) -> np.ndarray:
         """A row of band keys for each text; the text's elements begin at ``heads``."""
@@ -149,7 +152,7 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _forest(weights) -> callable:
-    """Verify the pairs of a block that would join two classes; return links that span what they join."""
+    """Verify the pairs of a block that would join two groups; return links from the least of the joined groups to the others."""
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
         w = weights.value
@@ -162,7 +165,6 @@ def _forest(weights) -> callable:
         total = np.add.reduceat(each, heads, dtype=np.float64)
         group = pd.factorize(block["group"])[0]
         mark = np.zeros(len(names), bool)
-        out = []
         for i in range(len(block)):
             other = (group != group[i]) & (np.minimum(total, total[i]) >= THRESHOLD * np.maximum(total, total[i]))
             if not other.any():
@@ -173,92 +175,106 @@ def _forest(weights) -> callable:
             mark[mine] = False
             for j in np.flatnonzero(other & (shared >= THRESHOLD * (total + total[i] - shared) - 1e-9)):
                 if group[j] != group[i]:
-                    out.append((block.node[i], block.node[j]))
                     group[group == group[j]] = group[i]
-        return pd.DataFrame(out, columns=["a", "b"])
+        least: dict[int, bytes] = {}
+        for g, name in zip(group.tolist(), block["group"], strict=True):
+            least[g] = min(name, least.get(g, name))
+        out = {(least[g], name) for g, name in zip(group.tolist(), block["group"], strict=True) if least[g] != name}
+        return pd.DataFrame(sorted(out), columns=["a", "b"])
 
     return run
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, within: str | None = None) -> DataFrame:
     """(node, group) for the nodes of the links; the group is the least node of the connected component.
 
     Each round takes the least label among neighbours and then follows labels to their own label, so that long chains
     halve. Labels are written to the shared folder every round.
     """
-    both = stored(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "links")
-    label = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("group")), "labels")
+    both = stored(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "links", within)
+    label = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("group")), "labels", within)
     while True:
         near = both.join(label, both.b == label.node).groupBy("a").agg(F.min("group").alias("near"))
         step = label.join(near, label.node == near.a, "left").select("node", F.col("group").alias("old"), F.least("group", "near").alias("new"))
         up = label.select(F.col("node").alias("new"), F.col("group").alias("higher"))
-        step = stored(step.join(up, "new", "left").select("node", "old", F.least("new", "higher").alias("group")), "labels")
+        step = stored(step.join(up, "new", "left").select("node", "old", F.least("new", "higher").alias("group")), "labels", within)
         label = step.select("node", "group")
         if step.where("group <> old").isEmpty():
             return label
 
 
+def _joined(groups: DataFrame | None, links: DataFrame, within: str) -> DataFrame:
+    """(node, group) after links between groups; only the links' own graph is walked, whatever was joined before."""
+    if groups is None:
+        return components(links, within)
+    if links.isEmpty():
+        return groups
+    upper = components(links, within).select(F.col("node").alias("group"), F.col("group").alias("higher"))
+    known = groups.join(upper, "group", "left").select("node", F.coalesce("higher", "group").alias("group"))
+    fresh = upper.join(groups.select(F.col("node").alias("group")), "group", "left_anti").select(F.col("group").alias("node"), F.col("higher").alias("group"))
+    return stored(known.union(fresh), "groups", within)
+
+
 def _grouped(nodes: DataFrame, groups: DataFrame | None) -> DataFrame:
     if groups is None:
         return nodes.withColumn("group", F.col("node"))
     return nodes.join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
 
 
-def _links(blocks: DataFrame, vectors: DataFrame, weights) -> DataFrame:
-    """blocks: (key, node, group), at most a few hundred rows a key."""
-    return stored(blocks.join(vectors, "node").groupBy("key").applyInPandas(_forest(weights), "a binary, b binary"), "found")
+def _links(blocks: DataFrame, vectors: DataFrame, weights, within: str) -> DataFrame:
+    """Links between groups. blocks: (key, node, group), at most a few hundred rows a key."""
+    return stored(blocks.join(vectors, "node").groupBy("key").applyInPandas(_forest(weights), "a binary, b binary"), "found", within)
 
 
-def _rest_of_large_buckets(member: DataFrame, groups: DataFrame, blocks, vectors: DataFrame, weights, add) -> None:
-    """What lies outside the largest class of a large bucket meets the bucket's other nodes, block by block."""
-    held = stored(_grouped(member.where(F.col("size") > BLOCK), groups), "large")
+def _rest_of_large_buckets(member: DataFrame, groups: DataFrame, blocks, within: str) -> DataFrame | None:
+    """Blocks in which what lies outside the largest class of a large bucket meets the bucket's other nodes."""
+    held = stored(_grouped(member.where(F.col("size") > BLOCK), groups), "large", within)
     count = held.groupBy("key", "group").agg(F.count("*").alias("n"))
     main = count.groupBy("key").agg(F.max(F.struct("n", "group")).alias("top"), F.count("*").alias("groups")).where("groups > 1")
     held = held.join(main.select("key", F.col("top.group").alias("main"), F.col("top.n").alias("main_n")), "key").withColumn("outside", F.col("group") != F.col("main"))
     held = held.withColumn("parts", F.ceil((F.col("size") - F.col("main_n")) / BLOCK).cast("int")).withColumn("blocks", blocks)
-    held = stored(held, "outside")
+    held = stored(held, "outside", within)
     if held.isEmpty():
-        return
+        return None
     part = F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts"))
     block = F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks"))
     sides = held.select("key", "node", "group", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     sides = sides.union(held.where("outside").select("key", "node", "group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), part.alias("part")))
-    add(_links(sides.select(F.concat_ws("/", "key", "block", "part").alias("key"), "node", "group"), vectors, weights))
+    return sides.select(F.concat_ws("/", "key", "block", "part").alias("key"), "node", "group")
 
 
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id, class_size): class_id is the least doc_id of the class. docs needs doc_id and text; other columns are not read."""
     docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
+    work = folder(spark, "near-dedup")
     weights = spark.sparkContext.broadcast(shingle_weights(docs))
-    sketch = stored(docs.mapInArrow(_sketch(weights), "doc_id long, node binary, bands array<long>"), "sketch")
-    nodes = stored(sketch.where("doc_id is not null and bands is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "nodes")
+    sketch = stored(docs.mapInArrow(_sketch(weights), "doc_id long, node binary, bands array<long>"), "sketch", work)
+    nodes = stored(sketch.where("doc_id is not null and bands is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "nodes", work)
     member = nodes.select("node", F.posexplode("bands").alias("band", "key")).select("node", F.col("band").cast("byte").alias("band"), "key")
     sizes = member.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    member = stored(member.join(sizes, "key"), "members")
+    member = stored(member.join(sizes, "key"), "members", work)
     wanted = nodes.join(member.select("node").distinct(), "node", "left_semi").select("node", "rep")
     texts = docs.join(wanted, docs.doc_id == wanted.rep).select("node", "text")
-    vectors = stored(texts.mapInArrow(_vectors, "node binary, vector binary"), "vectors")
-    links, groups = None, None
-
-    def add(new: DataFrame) -> None:
-        nonlocal links, groups
-        links = new if links is None else links.union(new)
-        groups = components(links)
-
+    vectors = stored(texts.mapInArrow(_vectors, "node binary, vector binary"), "vectors", work)
+    groups = None
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     for bands in (F.col("band") < FIRST_BANDS, F.col("band") >= FIRST_BANDS):
         # a bucket of one class needs no more work
         held = _grouped(member.where(bands), groups)
         mixed = held.groupBy("key").agg(F.min("group").alias("least"), F.max("group").alias("most")).where("least <> most").select("key")
         held = held.join(mixed, "key").withColumn("key", F.concat_ws("/", "key", F.pmod(F.xxhash64("node", "band"), blocks)))
-        add(_links(held.select("key", "node", "group"), vectors, weights))
+        groups = _joined(groups, _links(held.select("key", "node", "group"), vectors, weights, work), work)
     if not member.where(F.col("size") > BLOCK).isEmpty():
-        _rest_of_large_buckets(member, groups, blocks, vectors, weights, add)
-    found = sketch.select("doc_id", "node").join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
-    classes = found.where("node is not null and doc_id is not null").groupBy("group").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    alone = found.where("node is null or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
-    return found.where("node is not null and doc_id is not null").join(classes, "group").select("doc_id", "class_id", "class_size").union(alone)
+        rest = _rest_of_large_buckets(member, groups, blocks, work)
+        if rest is not None:
+            groups = _joined(groups, _links(rest, vectors, weights, work), work)
+    found = stored(sketch.select("doc_id", "node").join(groups, "node", "left").select("doc_id", F.coalesce("group", "node").alias("group")), "classes-of-documents")
+    discard(spark, work)
+    classed = found.where("group is not null and doc_id is not null")
+    classes = classed.groupBy("group").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    alone = found.where("group is null or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
+    return classed.join(classes, "group").select("doc_id", "class_id", "class_size").union(alone)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

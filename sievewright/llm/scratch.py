@@ -21,14 +21,25 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, for tables that ``discard`` removes together."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str, within: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: its lineage ends there and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{within or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove what was stored within a folder; nothing that is still read may lie there."""
+    held = spark._jvm.org.apache.hadoop.fs.Path(path)
+    held.getFileSystem(spark._jsc.hadoopConfiguration()).delete(held, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
