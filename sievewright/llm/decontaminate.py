@@ -1,12 +1,16 @@
 """Benchmark decontamination: rare word trigrams of test items seed passages, Smith-Waterman alignment scores them.
 
 The benchmark is the stated query set and is taken in blocks of bounded size; every document meets every block. One scan
-counts in how many documents each trigram of a block occurs. The rarer half of each item's trigrams (ties included) are
-its seeds. A second scan finds the seeds, aligns the words around them with the item's words and keeps passages whose
-score is at least ``MIN_SCORE`` of a verbatim copy's. No text is shuffled.
+counts in how many documents each trigram of a block occurs. Trigrams in at most ``RARE_DF`` documents are seeds; of the
+others, an item leaves out the most frequent ones, and only as many as it can spare: the score bounds how many words of a
+passage are replaced, removed or cut off, and so how many trigrams are broken; ``need`` seeds must still be whole.
+A second scan finds the seeds, aligns the words around them with the item's words and keeps passages whose score is at
+least ``MIN_SCORE`` of a verbatim copy's; a passage that shares too few words to score that much is not aligned. No text
+is shuffled.
 
 Defined results: null and empty texts and items match nothing; an item under three words has no trigram and matches
-nothing; of repeated passages of one item in one document the best (then the first) is returned; repeated rows are judged
+nothing; a passage whose edits leave fewer than ``need`` seeds whole is not found, which takes words inserted all through
+it, or an item of 3, 4, 5 or 8 words; of repeated passages of one item in one document the best (then the first) is returned; repeated rows are judged
 one by one; a null doc_id is returned as null.
 """
 
@@ -23,6 +27,7 @@ from . import words
 
 GRAM, MIN_SCORE = 3, 0.6
 MATCH, MISS, GAP = 2, -1, -1
+RARE_DF = 100
 BLOCK_CHARS = 4_000_000
 
 
@@ -73,17 +78,21 @@ class Items:
         self.names = np.unique(self.gram)
 
     def keep_rare(self, df: np.ndarray) -> None:
-        """Drop the trigrams that are in more documents than the item's median trigram."""
+        """Drop the most frequent trigrams that no item needs: whatever words are edited, ``need`` seeds stay whole."""
         own = df[np.searchsorted(self.names, self.gram)]
-        keep = np.zeros(len(own), bool)
-        for i in np.unique(self.item):
-            mine = self.item == i
-            keep |= mine & (own <= np.median(own[mine]))
-        order = np.flatnonzero(keep)
-        order = order[np.argsort(self.gram[order], kind="stable")]
+        held = np.bincount(self.item, minlength=len(self.ids))
+        self.length = np.array([len(w) for w in self.words], np.int64)
+        self.spare = np.floor(MATCH * self.length * (1 - MIN_SCORE) + 1e-9).astype(np.int64)  # points a passage may lose
+        edits, rest = np.divmod(self.spare, MATCH - MISS)
+        broken = GRAM * edits + rest // MATCH  # a word cut off at an end costs its match and one trigram
+        self.need = np.clip(held - broken, 1, 2)
+        order = np.lexsort((self.place, own, self.item))
+        rank = np.arange(len(order)) - np.repeat(np.cumsum(held) - held, held)
+        item = self.item[order]
+        order = order[(rank < (broken + self.need)[item]) | (own[order] <= RARE_DF)]
+        order = order[np.lexsort((self.place[order], self.item[order], self.gram[order]))]
         self.gram, self.item, self.place = self.gram[order], self.item[order], self.place[order]
         self.names = np.unique(self.gram)
-        self.need = np.minimum(2, np.bincount(self.item, minlength=len(self.ids)))
 
 
 def _grams(texts: pa.Array) -> Iterator[tuple]:
@@ -130,7 +139,7 @@ def passages(items: Items, texts: pa.Array) -> Iterator[tuple[int, int, float, i
         diagonal = at[found[each]] - place
         order = np.lexsort((diagonal, item, row))
         row, item, place, diagonal = row[order], item[order], place[order], diagonal[order]
-        length = np.array([len(w) for w in items.words])
+        length = items.length
         apart = np.concatenate([[True], (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (np.diff(diagonal) > length[item[1:]])])
         heads = np.flatnonzero(apart)
         begin = np.searchsorted(text, np.arange(int(text[-1]) + 2))
@@ -140,7 +149,10 @@ def passages(items: Items, texts: pa.Array) -> Iterator[tuple[int, int, float, i
             if len(np.unique(place[a:b])) < items.need[i]:
                 continue
             m = int(length[i])
-            left, right = max(int(begin[r]), int(diagonal[a]) - m // 2), min(int(begin[r + 1]), int(diagonal[b - 1]) + m + m // 2)
+            wide = int(items.spare[i]) // -GAP  # no more words can be inserted
+            left, right = max(int(begin[r]), int(diagonal[a]) - wide), min(int(begin[r + 1]), int(diagonal[b - 1]) + m + wide)
+            if MATCH * m - MATCH * np.isin(items.words[i], value[left:right]).sum() > items.spare[i]:
+                continue
             score, x, y = align(items.words[i], value[left:right])
             if score >= MIN_SCORE and score > best.get((r, i), (0.0,))[0]:
                 best[r, i] = (score, left - int(begin[r]) + x, left - int(begin[r]) + y)

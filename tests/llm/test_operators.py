@@ -213,6 +213,31 @@ def test_contamination_finds_edited_copies(spark):
     assert want <= got and decontaminate.without_contaminated(docs, bench).count() == len(texts) - len({d for d, _ in got})
 
 
+@pytest.mark.parametrize("copies", [0, 3, 150])
+@pytest.mark.parametrize("rare", [0, 100])
+def test_contamination_finds_heavily_edited_copies(spark, monkeypatch, copies, rare):
+    monkeypatch.setattr(decontaminate, "RARE_DF", rare, raising=False)
+    bench = spark.createDataFrame([(n, " ".join(f"w{n}x{i}" for i in range(n))) for n in (12, 20, 32, 55)], "item_id long, text string")
+    noise = " ".join(f"n{i}" for i in range(100))
+    rows, want = [], set()
+    for item, text in bench.collect():
+        for step in (4, 5, 6):
+            w = text.split()
+            edits = {
+                "replaced": [x if i % step != step - 1 else "changed" for i, x in enumerate(w)],
+                "removed": [x for i, x in enumerate(w) if i % step != step - 1],
+                "inserted": [y for i, x in enumerate(w) for y in ([x, "more"] if i % step == step - 1 else [x])],
+            }
+            for held in edits.values():
+                want.add((len(rows), item))
+                rows.append((len(rows), f"{noise} {' '.join(held)} {noise}"))
+        want |= {(len(rows) + k, item) for k in range(copies)}
+        rows += [(len(rows) + k, f"{noise} {text}") for k in range(copies)]
+    rows.append((len(rows), noise))
+    got = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want
+
+
 def test_language_accuracy_on_held_out(spark):
     got = queries.op9_language_id(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert len(got) > 200 and np.mean([r.lang == r.lang_pred for r in got]) > 0.99 and all(0 <= r.score <= 1 for r in got)
