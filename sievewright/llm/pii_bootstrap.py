@@ -1,11 +1,13 @@
 """Personal data: fixed formats, and identifiers discovered from their lexical contexts. DataFrame functions only.
 
-The fixed formats (email, ip, card, phone) are the seeds. Candidates are all words with a digit or an ``@``; a candidate
-that overlaps a seed counts as known. Patterns are the one and the two words before a candidate together with its shape.
-The graph of patterns and values is scored in turns: a pattern's confidence is the mean score of its different values,
-a value's score is 1 if it is known, else the confidence of its best pattern. After ``ROUNDS`` turns, unknown values
-with a score of at least ``MIN_SCORE`` by a pattern with ``MIN_SUPPORT`` or more known values are spans of kind
-``context``.
+The fixed formats (email, ip, card, phone) are the seeds, known values. Candidates are all other words with a digit or an
+``@`` that overlap no seed. Patterns are lexical contexts alone, whatever the value looks like: the word before, the two
+words before, the words on both sides, the two words after, all taken from the whole text. The graph of patterns and
+values is scored in turns: a pattern's confidence is the mean score of its different values; it counts in a turn if
+``MIN_SUPPORT`` or more of them are known or accepted by then; a value's score is 1 if it is known, else the confidence of
+its best pattern that counts, and it is accepted from ``MIN_SCORE`` on. After ``ROUNDS`` turns, accepted values are spans
+of kind ``context``. The shape of a value is only a weak check: it fails if under ``MIN_SHAPE`` of the different
+candidates of that shape were accepted.
 
 Matches get their offsets without Python: a match is framed by two marks that no pattern can match, the text is split at
 the marks, and the lengths of the parts add up. Marks in the text itself are first replaced by another control character.
@@ -20,10 +22,11 @@ from pyspark.sql import functions as F
 
 from .scratch import stored
 
-ROUNDS, MIN_SCORE, MIN_SUPPORT = 2, 0.8, 5
+ROUNDS, MIN_SCORE, MIN_SUPPORT, MIN_SHAPE = 2, 0.8, 5, 0.05
+AROUND = 200  # characters of context
 BLOCK = 256  # even, so that a block begins outside a match
 KINDS = ("email", "ip", "card", "phone")
-SPANS = "array<struct<start:int,end:int,value:string,left:string>>"
+SPANS = "array<struct<start:int,end:int,value:string,left:string,right:string>>"
 
 # Each starts where a match of the plain pattern starts first; possessive, as nothing that follows could need less.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -46,25 +49,35 @@ def _parts(pattern: str) -> Column:
 def _blocks(parts: str) -> Column:
     """Spans of blocks of ``BLOCK`` parts, offsets from the block's head: short lists, so that appending stays cheap in long texts.
 
-    left: the text between the match before and this one.
+    left, right: the text around a match, up to ``AROUND`` characters, whatever block or match it is in.
     """
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.lit("").alias("left"), _none().alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
 
     def step(acc: Column, part: Column) -> Column:
         end = (acc["at"] + F.length(part)).cast("int")
-        one = F.struct(acc["at"].alias("start"), end.alias("end"), part.alias("value"), acc["left"].alias("left"))
-        return F.struct(end.alias("at"), (~acc["inside"]).alias("inside"), part.alias("left"), F.when(acc["inside"], F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
+        one = F.struct(acc["at"].alias("start"), end.alias("end"), part.alias("value"))
+        return F.struct(end.alias("at"), (~acc["inside"]).alias("inside"), F.when(acc["inside"], F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
+
+    def framed(s: Column, place: Column) -> Column:
+        """place: of the match among the parts, from 1. Six parts hold the next two words and more."""
+        first = F.greatest(F.lit(1), place - 6)
+        before = F.array_join(F.transform(F.slice(parts, first, place - first), lambda x: F.right(x, F.lit(AROUND))), "")
+        after = F.array_join(F.transform(F.slice(parts, place + 1, F.lit(6)), lambda x: F.left(x, F.lit(AROUND))), "")
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.right(before, F.lit(AROUND)).alias("left"), F.left(after, F.lit(AROUND)).alias("right"))
+
+    def block(b: Column) -> Column:
+        held = F.aggregate(F.slice(parts, b * BLOCK + 1, BLOCK), start, step)
+        return F.struct(held["at"].alias("at"), F.transform(held["out"], lambda s, i: framed(s, (b * BLOCK + i * 2 + 2).cast("int"))).alias("out"))
 
     numbers = F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / BLOCK).cast("int"))
-    held = F.transform(numbers, lambda b: F.aggregate(F.slice(parts, b * BLOCK + 1, BLOCK), start, step, lambda acc: F.struct(acc["at"].alias("at"), acc["out"].alias("out"))))
-    return F.when(F.size(parts) > 1, held)
+    return F.when(F.size(parts) > 1, F.transform(numbers, block))
 
 
 def _spans(blocks: str, test) -> Column:
     """All spans of a text that pass the test."""
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("heads"))
     heads = F.aggregate(blocks, start, lambda acc, b: F.struct((acc["at"] + b["at"]).cast("int").alias("at"), F.concat(acc["heads"], F.array(acc["at"])).alias("heads")), lambda acc: acc["heads"])
-    moved = F.zip_with(blocks, heads, lambda b, h: F.transform(b["out"], lambda s: F.struct((s["start"] + h).alias("start"), (s["end"] + h).alias("end"), s["value"].alias("value"), s["left"].alias("left"))))
+    moved = F.zip_with(blocks, heads, lambda b, h: F.transform(b["out"], lambda s: F.struct((s["start"] + h).alias("start"), (s["end"] + h).alias("end"), s["value"].alias("value"), s["left"].alias("left"), s["right"].alias("right"))))
     return F.coalesce(F.when(F.size(blocks) > 0, F.filter(F.flatten(moved), test)), _none())
 
 
@@ -108,35 +121,42 @@ def _shape(value: Column) -> Column:
 
 
 def _candidates(found: DataFrame) -> DataFrame:
-    """row, start, end, value, known, patterns: closing marks do not belong to a value."""
-    known = F.concat(*KINDS)
-    one = found.select("row", known.alias("known"), F.explode("candidates").alias("c"))
-    value = F.regexp_replace(F.col("c.value"), r"[\p{Punct}&&[^@]]+$", "")
-    left = F.split(F.trim(F.regexp_extract(F.lower(F.right("c.left", F.lit(200))), r"(\S+\s+)?(\S+\s+)$", 0)), r"\s+")
-    one = one.select("row", "known", F.col("c.start").alias("start"), value.alias("value"), left.alias("left")).where(F.length("value") >= 6)
-    end = F.col("start") + F.length("value")
-    one = one.select("row", "start", end.alias("end"), "value", F.exists("known", lambda s: (s["start"] < end) & (F.col("start") < s["end"])).alias("known"), "left")
-    shape = _shape(F.col("value"))
-    patterns = F.array(F.concat_ws(" ", F.element_at("left", -1), shape), F.concat_ws(" ", F.array_join("left", " "), shape))
-    return one.where(F.element_at("left", -1) != "").select("row", "start", "end", "value", "known", F.array_distinct(patterns).alias("patterns"))
+    """row, start, end, value, known, patterns, of the seeds and the other candidates: closing marks do not belong to a candidate."""
+    seeds = F.concat(*KINDS)
+    known = found.select("row", F.explode(seeds).alias("c")).select("row", "c.*", F.lit(True).alias("known"))
+    one = found.select("row", seeds.alias("seeds"), F.explode("candidates").alias("c")).select("row", "seeds", "c.*")
+    closing = F.regexp_extract("value", r"[\p{Punct}&&[^@]]+$", 0)
+    end = (F.col("end") - F.length(closing)).cast("int")
+    one = one.select("row", "seeds", "start", end.alias("end"), F.regexp_replace("value", r"[\p{Punct}&&[^@]]+$", "").alias("value"), "left", F.concat(closing, "right").alias("right"))
+    one = one.where((F.length("value") >= 6) & ~F.exists("seeds", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"])))
+    both = known.unionByName(one.drop("seeds").withColumn("known", F.lit(False)))
+    told = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    both = both.select("row", "start", "end", "value", "known", F.reverse(told("left")).alias("l"), told("right").alias("r"))
+    l1, l2, r1, r2 = (F.get(c, F.lit(k)) for c in "lr" for k in (0, 1))
+    patterns = F.array(F.concat(l1, F.lit(" _")), F.concat(l2, F.lit(" "), l1, F.lit(" _")), F.concat(l1, F.lit(" _ "), r1), F.concat(F.lit("_ "), r1, F.lit(" "), r2))  # null where a word is missing
+    return both.select("row", "start", "end", "value", "known", F.array_compact(patterns).alias("patterns"))
 
 
 def discovered(candidates: DataFrame) -> DataFrame:
     """Values that context alone shows to be identifiers."""
-    edges = candidates.select("value", "known", F.explode("patterns").alias("pattern")).groupBy("pattern", "value").agg(F.max("known").alias("known"))
-    support = edges.groupBy("pattern").agg(F.sum(F.col("known").cast("long")).alias("seeds")).where(F.col("seeds") >= MIN_SUPPORT).select("pattern")
-    edges = stored(edges.join(support, "pattern"), "pattern-graph").select("pattern", "value", F.col("known").cast("double").alias("seed"))
-    scores = edges.select("value", "seed").groupBy("value").agg(F.max("seed").alias("score"))
+    edges = candidates.select("value", "known", F.explode("patterns").alias("pattern")).groupBy("pattern", "value").agg(F.max("known").cast("double").alias("seed"))
+    enough = edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_SUPPORT).select("pattern")  # others can never count
+    edges = stored(edges.join(enough, "pattern"), "pattern-graph").select("pattern", "value", "seed")
+    scores = edges.groupBy("value").agg(F.max("seed").alias("score"))
     for _ in range(ROUNDS):
-        confidence = edges.join(scores, "value").groupBy("pattern").agg(F.avg("score").alias("confidence"))
-        scores = stored(edges.join(confidence, "pattern").groupBy("value").agg(F.greatest(F.max("seed"), F.max("confidence")).alias("score")), "value-scores")
-    return scores.where(F.col("score") >= MIN_SCORE).select("value")
+        support = F.sum((F.col("score") >= MIN_SCORE).cast("long")).alias("support")
+        confidence = edges.join(scores, "value").groupBy("pattern").agg(F.avg("score").alias("confidence"), support).where(F.col("support") >= MIN_SUPPORT)
+        scores = stored(edges.join(confidence, "pattern", "left").groupBy("value").agg(F.greatest(F.max("seed"), F.max("confidence")).alias("score")), "value-scores")
+    new = candidates.where(~F.col("known")).select("value").distinct().join(scores, "value", "left")
+    new = new.select("value", _shape(F.col("value")).alias("shape"), F.coalesce(F.col("score") >= MIN_SCORE, F.lit(False)).alias("accepted"))
+    fits = new.groupBy("shape").agg(F.avg(F.col("accepted").cast("double")).alias("share")).where((F.col("share") > 0) & (F.col("share") >= MIN_SHAPE))
+    return new.where("accepted").join(fits, "shape", "left_semi").select("value")
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans)."""
     found = stored(fixed_formats(docs), "formats")
-    candidates = stored(_candidates(found.where(F.size("candidates") > 0)), "candidates")
+    candidates = stored(_candidates(found), "candidates")
     new = candidates.where(~F.col("known")).join(discovered(candidates), "value", "left_semi")
     new = new.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("more"))
     out = found.join(new, "row", "left")

@@ -121,6 +121,26 @@ def test_context_discovers_unseen_identifiers(spark):
     assert got[0].startswith("email:") and "context" not in got[100]
 
 
+def test_context_discovers_new_formats(spark):
+    mail = [(1000 + i, f"please write to contact mail{i}@x.org today and call") for i in range(200)]
+    phone = [(100 + i, f"you may reach me under +1 (017) 555-77{i:02} after seven") for i in range(10)]
+    unknown = {50: "please write to contact KX-4471-207 today", 51: "room 12 of 1999 please write to contact 88/4471/x today", 52: "you may reach me under QT/55/9012, after seven"}
+    late = [(200 + i, f"please write to contact Z{i}:77{i}/a or member card Z{i}:77{i}/a of yours") for i in range(10)] + [(210, "member card 77:AB:12 of yours"), (211, "plain 2024-01-01 here")]
+    rows = mail + phone + list(unknown.items()) + late
+    texts = dict(rows)
+    got = {r.doc_id: [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s.startswith("context")] for r in pii_bootstrap.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {i: [texts[i][a:b] for a, b in s] for i, s in got.items() if s}
+    assert found[50] == ["KX-4471-207"] and found[51] == ["88/4471/x"] and found[52] == ["QT/55/9012"]
+    assert found[210] == ["77:AB:12"] and 211 not in found  # a pattern that only discovered values support
+
+
+def test_context_reaches_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(pii_bootstrap, "BLOCK", 2)
+    rows = [(i, f"99999{i} 12 contact mail{i}@x.org today") for i in range(20)] + [(50, "11 22 33 44 55 contact KX-4471-207 today")]
+    got = {r.doc_id: r.spans for r in pii_bootstrap.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[50] == "context:23:34" and "context" not in got[0]
+
+
 def test_secrets_and_grammar(spark):
     rng = np.random.default_rng(1)
     key = lambda n: "".join(rng.choice(list("0123456789abcdef"), n))
