@@ -4,8 +4,9 @@ Learning counts hashed letter trigrams and scripts by language over a hash sampl
 documents (all if there are fewer). Prediction scores every word by its trigrams; the word's script range leaves only the
 languages that were seen to use it; Viterbi with a switching penalty labels the words, and equal neighbours form spans.
 
-Most texts need no dynamic programme: if no run of words gains more than one switch by another language than the best
-one, the single-language path is the Viterbi path. All others run through the recursion, many texts at a time.
+Most texts need no dynamic programme: if no run of words gains more than half a switch by another language than the best
+one, the single-language path is the Viterbi path (a path with m runs outside the best language has m - 1 switches or
+more, and with one such run, one). All others run through the recursion, many texts at a time.
 
 Defined results: null text, or text without a letter: language ``und``, score 0, no span; ties go to the language that
 comes first in order; no training row: ``und`` for all.
@@ -149,7 +150,7 @@ def viterbi(score: np.ndarray, heads: np.ndarray, counts: np.ndarray, switch: fl
         before = np.concatenate([[0.0], run[:-1]])
         before[heads] = 0.0
         before += shift[of]
-        hard |= np.maximum.reduceat(run + shift[of] - np.minimum.accumulate(before), heads) > switch
+        hard |= np.maximum.reduceat(run + shift[of] - np.minimum.accumulate(before), heads) > switch / 2
     hard = np.flatnonzero(hard)
     hard = hard[np.argsort(-counts[hard], kind="stable")]
     if not len(hard):

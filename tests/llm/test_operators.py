@@ -278,6 +278,12 @@ def test_viterbi_by_recursion():
         assert value(s, got[h : h + n]) == pytest.approx(best.max())
 
 
+def test_viterbi_of_two_halves():
+    score = np.zeros((8, 3))
+    score[:4, 0], score[4:, 0], score[:4, 1], score[4:, 1] = 2.75, -20, -20, 2.75  # either half gains 11 over the third language
+    assert list(language_spans.viterbi(score, np.array([0]), np.array([8]), 12.0)) == [0] * 4 + [1] * 4
+
+
 def test_grades_separate(spark):
     got = queries.op6_quality_classifier(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").collect()
     assert np.mean([r.kept for r in got if r.quality == 1 and not r.toxic]) > 0.97 and np.mean([r.kept for r in got if r.toxic]) < 0.1
