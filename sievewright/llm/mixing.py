@@ -8,7 +8,9 @@ at random. The result depends on seed and rows only, not on partitions.
 The rates are one small row for each source. They are broadcast when their checked size allows; otherwise documents and
 rates meet on (source, salt), so that a source with a third of all rows is dealt over ``SALTS`` parts.
 
-Defined results: a null source is a source of its own; null and empty texts are kept; repeated rows get equal counts.
+Defined results: a null source is a source of its own; null, empty and very long texts are kept as they are; rows with one
+doc_id (repeated rows, ties) get equal counts; a row without a doc_id draws by a hash of all its columns; an empty table
+gives no row; any further column is kept, whatever its name, but for ``copy``, which is replaced.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import stored
+from .scratch import packed, stored
 
 SEED = "mix-1"
 TEMPERATURE = 0.5
@@ -53,25 +55,25 @@ def repetition_rates(docs: DataFrame, targets: DataFrame | None = None, temperat
     return stored(rates.select("mix_source", "rate", cdf.alias("cdf")), "rates")
 
 
-def uniform(doc_id: Column, seed: str = SEED) -> Column:
+def uniform(name: Column) -> Column:
     """52 bits of a SHA-256 as a number in [0, 1)."""
-    name = F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("null")))
     return F.conv(F.substring(F.sha2(name, 256), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def mix(docs: DataFrame, targets: DataFrame | None = None, seed: str = SEED, temperature: float = TEMPERATURE) -> DataFrame:
     """The columns of docs and ``copy`` (from 1), in global random order. docs needs doc_id and source."""
     rates = repetition_rates(docs, targets, temperature)
-    names = [c for c in docs.columns if c != "copy"]
-    held = docs.select(*names, _source(), uniform(F.col("doc_id"), seed).alias("mix_u"))
+    row = packed(docs, "copy")
+    name = F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.sha2(F.to_json(row), 256))))
+    held = docs.select(row, _source(), name.alias("mix_name")).withColumn("mix_u", uniform(F.col("mix_name")))
     steps = rates.agg(F.sum(F.size("cdf"))).first()[0] or 0
     if steps <= BROADCAST_STEPS:
         held = held.join(F.broadcast(rates), "mix_source")
     else:
         salted = rates.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        held = held.withColumn("mix_salt", F.pmod(F.hash("doc_id", "mix_u"), F.lit(SALTS))).join(salted, ["mix_source", "mix_salt"])
+        held = held.withColumn("mix_salt", F.pmod(F.xxhash64("mix_name"), F.lit(SALTS))).join(salted, ["mix_source", "mix_salt"])
     count = F.size(F.filter("cdf", lambda c: c <= F.col("mix_u")))
-    held = held.select(*names, count.alias("mix_count")).where("mix_count > 0")
-    held = held.select(*names, F.explode(F.sequence(F.lit(1), F.col("mix_count"))).alias("copy"))
-    held = held.withColumn("mix_key", F.xxhash64(F.lit(seed), "doc_id", "copy"))
-    return held.repartition("mix_key").sortWithinPartitions("mix_key", "doc_id", "copy").drop("mix_key")
+    held = held.select("row", "mix_name", count.alias("mix_count")).where("mix_count > 0")
+    held = held.select("row", "mix_name", F.explode(F.sequence(F.lit(1), F.col("mix_count"))).alias("copy"))
+    held = held.withColumn("mix_key", F.xxhash64("mix_name", "copy"))
+    return held.repartition("mix_key").sortWithinPartitions("mix_key", "mix_name", "copy").select("row.*", "copy")

@@ -1,43 +1,47 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""Intermediate tables in the folder that driver and executors share, and small helpers of the operators."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+HOT_SHARE, HOT_ROWS = 10_000, 500
 
 _own: dict[str, str] = {}
-#: With it Spark removes a query's shuffle files when the query ends, not when the driver next collects its garbage.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where it is unset (local tests)."""
+    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where it is unset and Spark runs in this process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="sievewright-")
     return _own[app]
 
 
+def application_dir(spark: SparkSession) -> str:
+    """What this application stores lies here; ``clear`` removes it."""
+    return f"{shared_dir(spark)}/sievewright-{spark.sparkContext.applicationId}"
+
+
 def folder(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, for tables that ``discard`` removes together."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path for tables that ``discard`` removes together."""
+    return f"{application_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str, within: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: its lineage ends there and survives lost executors."""
     spark = df.sparkSession
-    path = f"{within or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    path = f"{within or application_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -47,6 +51,33 @@ def discard(spark: SparkSession, path: str) -> None:
     held.getFileSystem(spark._jsc.hadoopConfiguration()).delete(held, True)
 
 
+def clear(spark: SparkSession) -> None:
+    """Remove all that this application stored, results that are read lazily included; call it when they are no longer needed."""
+    discard(spark, application_dir(spark))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
+
+
+def packed(docs: DataFrame, *leave_out: str) -> Column:
+    """The caller's columns as one struct named ``row``: no column that an operator adds can clash with one of them."""
+    names = [c for c in docs.columns if c.lower() not in leave_out]
+    return F.struct(*(F.col("`" + c.replace("`", "``") + "`").alias(c) for c in names)).alias("row")
+
+
+def lookup(rows: DataFrame, key: str, found: DataFrame, within: str) -> DataFrame:
+    """rows, left-joined with ``found`` (one row a key), however many rows share a key.
+
+    Keys of more than one in ``HOT_SHARE`` rows (and of more than ``HOT_ROWS``) are at most ``HOT_SHARE``, so their part of
+    ``found`` is broadcast; all other rows are joined by key.
+    """
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).count()
+    size = counts.agg(F.max("count").alias("most"), F.sum("count").alias("all")).first()
+    limit = max(HOT_ROWS, (size["all"] or 0) // HOT_SHARE)
+    if (size["most"] or 0) <= limit:
+        return rows.join(found, key, "left")
+    hot = stored(counts.where(F.col("count") > limit).select(key), "hot", within)
+    few = rows.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(found.join(F.broadcast(hot), key, "left_semi")), key, "left")
+    return few.unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(found, key, "left"))
