@@ -91,9 +91,9 @@ def oracle_sql() -> dict[str, str]:
             lines AS (SELECT DISTINCT h, text, trim(line, {_WHITE}) AS line FROM (SELECT h, text, unnest(string_split(text, chr(10))) AS line FROM pages)),
             often AS (SELECT h, line FROM (SELECT h, line, count(*) AS n FROM lines WHERE line <> '' GROUP BY h, line) JOIN totals USING (h) WHERE n >= {site_lines.MIN_PAGES} AND n > {site_lines.MAX_SHARE} * pages),
             known AS (SELECT h, list(line) AS bad FROM often GROUP BY h),
-            cut AS (SELECT doc_id, source, text, CASE WHEN bad IS NULL THEN NULL ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(bad, trim(x, {_WHITE}))), chr(10)) END AS rest
+            cut AS (SELECT doc_id, source, text, bad, CASE WHEN bad IS NULL THEN NULL ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(bad, trim(x, {_WHITE}))), chr(10)) END AS rest
                     FROM documents LEFT JOIN known ON h = coalesce(source, chr(0))),
-            done AS (SELECT *, coalesce(regexp_matches(rest, '[^ \\t\\n\\v\\f\\r]'), false) AS changed FROM cut)
-            SELECT doc_id, source, CASE WHEN changed THEN rest ELSE text END AS text,
-                   CASE WHEN changed THEN len(string_split(text, chr(10))) - len(string_split(rest, chr(10))) ELSE 0 END AS n_dropped FROM done""",
+            done AS (SELECT *, CASE WHEN rest IS NULL THEN 0 ELSE len(string_split(text, chr(10))) - len(list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(bad, trim(x, {_WHITE})))) END AS n_dropped FROM cut),
+            told AS (SELECT *, n_dropped > 0 AND NOT regexp_matches(rest, '[^ \\t\\n\\v\\f\\r]') AS all_boilerplate FROM done)
+            SELECT doc_id, source, CASE WHEN all_boilerplate THEN '' WHEN n_dropped > 0 THEN rest ELSE text END AS text, n_dropped, all_boilerplate FROM told""",
     }
