@@ -4,15 +4,21 @@ The block list is a table of entries, each a host or a host with a path prefix t
 are sorted and kept beside the full strings. A url is probed by all its host suffixes, alone and with all path prefixes:
 one vectorised binary search for a batch of urls, and equal digests are confirmed on the stored strings.
 
-An array of up to ``ARRAY_ENTRIES`` entries and ``ARRAY_CHARS`` characters (both checked) is broadcast; each Python worker
-writes it to an unlinked file of its temporary folder once and maps it. Longer lists are joined on the digest and
-confirmed on the strings by Spark instead.
-
-Defined results: host and path of a null url, or of one without ``://``, are empty: no rule fits and the verdict is allow.
+A list of up to ``ARRAY_ENTRIES`` entries and ``ARRAY_CHARS`` characters (both checked) is one array, broadcast to all
+tasks. A longer list is cut by a hash of the entry into shards of about half that size; each shard is packed into an array
+in a task, and the probes of all different sites meet the array of their shard, at most about ``PROBES`` at a time. Either
+way each Python worker writes an array to an unlinked file of its temporary folder and maps it; nothing is read from there
+by anyone else.
+
+Defined results: host and path of a null or empty url, or of one without ``://``, are empty: no rule fits and the verdict is
+allow; very long urls are probed with all their prefixes; repeated rows get equal verdicts; of rules that fit, the longest
+wins (ties: the last in order); null and empty entries and an empty list block nothing; an empty table gives no row; other
+columns of pages are not read, so their names do not matter.
 """
 
 from __future__ import annotations
 
+import math
 import tempfile
 from collections.abc import Iterator
 
@@ -22,7 +28,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ARRAY_ENTRIES, ARRAY_CHARS = 2_000_000, 64_000_000
+from .scratch import folder, stored
+
+ARRAY_ENTRIES, ARRAY_CHARS, PROBES, SALTS = 2_000_000, 64_000_000, 2_000_000, 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: (host, path, verdict)
@@ -63,6 +71,12 @@ class DigestArray:
         self.packed = np.array([d for d, _ in held], np.uint64).tobytes() + ends.tobytes() + b"".join(e for _, e in held)
         self._map = None
 
+    @classmethod
+    def of(cls, count: int, packed: bytes) -> DigestArray:
+        self = cls([])
+        self.count, self.packed = count, packed
+        return self
+
     def __getstate__(self) -> dict:
         return {"count": self.count, "packed": self.packed, "_map": None}
 
@@ -99,14 +113,42 @@ def _mark(array) -> callable:
     return run
 
 
-def _joined(pages: DataFrame, entries: DataFrame) -> DataFrame:
-    """The same by a join on the digest, for lists of any length."""
-    probe = F.udf(probes, "array<string>")
-    pages = pages.withColumn("url_row", F.monotonically_increasing_id())
-    each = pages.select("url_row", F.explode(probe("host", "path")).alias("probe"))
-    names = entries.select(F.col("entry").alias("probe")).distinct()
-    hit = each.withColumn("digest", F.xxhash64("probe")).join(names.withColumn("digest", F.xxhash64("probe")), ["digest", "probe"]).select("url_row").distinct()
-    return pages.join(hit.withColumn("found", F.lit(True)), "url_row", "left").withColumn("listed", F.coalesce("found", F.lit(False))).drop("url_row", "found")
+def _probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for host, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            each = probes(host, path)
+            yield pa.record_batch([pa.array([host] * len(each), pa.string()), pa.array([path] * len(each), pa.string()), pa.array(each, pa.string())], ["host", "path", "probe"])
+
+
+def _pack(entries: pa.Table) -> pa.Table:
+    array = DigestArray(entries.column("entry").to_pylist())
+    return pa.table({"shard": entries.column("shard")[:1].cast(pa.int32()), "count": pa.array([array.count], pa.int64()), "packed": pa.array([array.packed], pa.binary())})
+
+
+def _meet(asked: pa.Table, shard: pa.Table) -> pa.Table:
+    found = np.zeros(asked.num_rows, bool)
+    if asked.num_rows and shard.num_rows:
+        found = DigestArray.of(shard.column("count")[0].as_py(), shard.column("packed")[0].as_py()).holds(asked.column("probe").to_pylist())
+    return asked.select(["host", "path"]).filter(pa.array(found))
+
+
+def _sharded(pages: DataFrame, entries: DataFrame, shards: int) -> DataFrame:
+    """The same for lists of any length: the sites' probes meet the arrays shard by shard."""
+    spark = pages.sparkSession
+    work = folder(spark, "url-filter")
+    shard = lambda c: F.pmod(F.xxhash64(c), F.lit(shards)).cast("int").alias("shard")
+    arrays = stored(entries.select("entry").distinct().select(shard("entry"), "entry").groupBy("shard").applyInArrow(_pack, "shard int, count long, packed binary"), "arrays", work)
+    sites = pages.select("host", "path").distinct()
+    asked = stored(sites.mapInArrow(_probed, "host string, path string, probe string").select(shard("probe"), "host", "path", "probe"), "probes", work)
+    sizes = asked.groupBy("shard").count().select("shard", F.ceil(F.col("count") / PROBES).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("host", "path", "probe"), F.col("parts")).cast("int").alias("part")
+    asked = asked.join(F.broadcast(sizes), "shard").select("shard", part, "host", "path", "probe")
+    arrays = arrays.join(F.broadcast(sizes), "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "count", "packed")
+    hit = asked.groupBy("shard", "part").cogroup(arrays.groupBy("shard", "part")).applyInArrow(_meet, "host string, path string").distinct()
+    hit = stored(hit, "listed-sites").select("host", "path", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(True).alias("found"))
+    # one site may hold a third of all pages: its rows are dealt over the salts
+    salted = pages.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(hit, ["host", "path", "salt"], "left")
+    return salted.select("page_id", "host", "path", F.coalesce("found", F.lit(False)).alias("listed"))
 
 
 def filter_urls(pages: DataFrame, entries: DataFrame, rules=RULES) -> DataFrame:
@@ -119,6 +161,6 @@ def filter_urls(pages: DataFrame, entries: DataFrame, rules=RULES) -> DataFrame:
         array = pages.sparkSession.sparkContext.broadcast(DigestArray([r[0] for r in entries.select("entry").collect()]))
         listed = pages.mapInArrow(_mark(array), "page_id long, host string, path string, listed boolean")
     else:
-        listed = _joined(pages, entries)
+        listed = _sharded(pages, entries, math.ceil(2 * max(size["n"] / ARRAY_ENTRIES, size["chars"] / ARRAY_CHARS)))
     name, says = rule_of(F.col("host"), F.col("path"), rules)
     return listed.select("page_id", "host", "path", name.alias("rule"), "listed", F.coalesce(says, F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"))
