@@ -8,10 +8,14 @@ A second scan finds the seeds, aligns the words around them with the item's word
 least ``MIN_SCORE`` of a verbatim copy's; a passage that shares too few words to score that much is not aligned. No text
 is shuffled.
 
-Defined results: null and empty texts and items match nothing; an item under three words has no trigram and matches
-nothing; a passage whose edits leave fewer than ``need`` seeds whole is not found, which takes words inserted all through
-it, or an item of 3, 4, 5 or 8 words; of repeated passages of one item in one document the best (then the first) is returned; repeated rows are judged
-one by one; a null doc_id is returned as null.
+The corpus is read twice for every ``BLOCK_CHARS`` characters of benchmark, so once more for each further block that size.
+
+Defined results: null and empty texts and items match nothing; very long texts and items are handled whole (alignment holds
+two rows of its table); an item under three words has no trigram and matches nothing; a passage whose edits leave fewer than
+``need`` seeds whole is not found, which takes words inserted all through it, or an item of 3, 4, 5 or 8 words; of repeated
+passages of one item in one document the best (ties: the first) is returned; repeated rows are judged one by one; a null
+doc_id or item_id is returned as null; an empty table gives no row, an empty benchmark finds nothing; without_contaminated
+keeps every further column, whatever its name, contaminated reads none.
 """
 
 from __future__ import annotations
@@ -28,30 +32,29 @@ from . import words
 GRAM, MIN_SCORE = 3, 0.6
 MATCH, MISS, GAP = 2, -1, -1
 RARE_DF = 100
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 16_000_000
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int]:
     """Smith-Waterman over words: best score as a share of a perfect copy's, first and last word of the passage in it."""
     width = len(passage)
     cells = np.zeros(width + 1, np.int64)
-    came = np.zeros((len(item) + 1, width + 1), np.int32)
-    came[:] = np.arange(width + 1)
+    came = np.arange(width + 1)  # where the best passage that ends in a cell began; of the row above only
     slope = -GAP * np.arange(width + 1)
     best = (0, 0, 0)
-    for i, word in enumerate(item, 1):
+    for word in item:
         diagonal = np.concatenate([[0], cells[:-1] + np.where(passage == word, MATCH, MISS)])
         above = cells + GAP
         new = np.maximum(np.maximum(diagonal, above), 0)
-        origin = np.where(new == 0, np.arange(width + 1), np.where(diagonal >= above, np.concatenate([[0], came[i - 1][:-1]]), came[i - 1]))
+        origin = np.where(new == 0, np.arange(width + 1), np.where(diagonal >= above, np.concatenate([[0], came[:-1]]), came))
         lifted = new + slope  # a gap along the row: the best cell to the left, less its distance
         reach = np.maximum.accumulate(lifted)
         source = np.maximum.accumulate(np.where(lifted == reach, np.arange(width + 1), 0))
         cells = reach - slope
-        came[i] = origin[source]
+        came = origin[source]
         top = int(cells.argmax())
         if cells[top] > best[0]:
-            best = (int(cells[top]), int(came[i][top]), top)
+            best = (int(cells[top]), int(came[top]), top)
     return best[0] / (MATCH * max(1, len(item))), best[1], best[2]
 
 
@@ -169,7 +172,9 @@ def _blocks(docs: DataFrame, benchmark: DataFrame) -> Iterator:
     for k in range(n):
         rows = held.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect()
         items = Items([(r[0], r[1]) for r in rows])
-        counts = docs.select("text").mapInArrow(_frequency(spark.sparkContext.broadcast(items)), "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
+        asked = spark.sparkContext.broadcast(items)
+        counts = docs.select("text").mapInArrow(_frequency(asked), "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
+        asked.destroy()
         df = np.zeros(len(items.names), np.int64)
         df[counts.gram.to_numpy(np.int64)] = counts.n.to_numpy(np.int64)
         items.keep_rare(df)
