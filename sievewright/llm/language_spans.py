@@ -8,8 +8,13 @@ Most texts need no dynamic programme: if no run of words gains more than half a
 one, the single-language path is the Viterbi path (a path with m runs outside the best language has m - 1 switches or
 more, and with one such run, one). All others run through the recursion, many texts at a time.
 
-Defined results: null text, or text without a letter: language ``und``, score 0, no span; ties go to the language that
-comes first in order; no training row: ``und`` for all.
+Learning is bounded by ``TRAIN_DOCS``, a documented sample by hash of doc_id; rows with a null doc_id are in it whenever all
+rows are.
+
+Defined results: null or empty text, or text without a letter: language ``und``, score 0, no span; very long texts are scored
+whole, in pieces; repeated rows get equal results; ties go to the language that comes first in order; no training row:
+``und`` for all; an empty table gives no row; further columns are kept, whatever their names, but for ``lang_pred``,
+``score`` and ``spans``, which are replaced.
 """
 
 from __future__ import annotations
@@ -31,19 +36,31 @@ PIECE_BYTES, PREDICT_BYTES = 1 << 18, 2 << 20
 SCRIPT_SHARE = 0.01
 NO_LANGUAGE = "und"
 
-# UTF-8 lead bytes of the script ranges; 0: no letter
-SCRIPTS = np.zeros(256, np.uint8)
-SCRIPTS[[*range(65, 91), *range(97, 123), *range(0xC3, 0xCA)]] = 1  # Latin
-SCRIPTS[[0xCD, 0xCE, 0xCF]] = 2  # Greek
-SCRIPTS[0xD0:0xD4] = 3  # Cyrillic
-SCRIPTS[0xD4:0xD6] = 4  # Armenian
-SCRIPTS[0xD6:0xD8] = 5  # Hebrew
-SCRIPTS[0xD8:0xDC] = 6  # Arabic
-SCRIPTS[0xE0] = 7  # Indic, Thai
-SCRIPTS[0xE1] = 8  # Georgian, Ethiopic, Khmer, Latin additions
-SCRIPTS[0xE3:0xEA] = 9  # Kana, Han
-SCRIPTS[0xEA:0xEE] = 10  # Hangul
-N_SCRIPTS = 11
+# Code point ranges of scripts, the last code point included; what lies in none is no letter.
+RANGES = [
+    ("Latin", [(0x41, 0x5A), (0x61, 0x7A), (0xAA, 0xAA), (0xBA, 0xBA), (0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x2AF), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA720, 0xA7FF), (0xAB30, 0xAB6F), (0xFB00, 0xFB06), (0xFF21, 0xFF3A), (0xFF41, 0xFF5A)]),
+    ("Greek", [(0x370, 0x3FF), (0x1F00, 0x1FFF)]),
+    ("Cyrillic", [(0x400, 0x52F), (0x1C80, 0x1C8F), (0x2DE0, 0x2DFF), (0xA640, 0xA69F)]),
+    ("Armenian", [(0x530, 0x58F), (0xFB13, 0xFB17)]),
+    ("Hebrew", [(0x590, 0x5FF), (0xFB1D, 0xFB4F)]),
+    ("Arabic", [(0x600, 0x6FF), (0x750, 0x77F), (0x870, 0x8FF), (0xFB50, 0xFDFF), (0xFE70, 0xFEFC)]),
+    ("Syriac", [(0x700, 0x74F)]), ("Thaana", [(0x780, 0x7BF)]), ("NKo", [(0x7C0, 0x7FF)]),
+    ("Devanagari", [(0x900, 0x97F), (0xA8E0, 0xA8FF)]), ("Bengali", [(0x980, 0x9FF)]), ("Gurmukhi", [(0xA00, 0xA7F)]), ("Gujarati", [(0xA80, 0xAFF)]), ("Oriya", [(0xB00, 0xB7F)]),
+    ("Tamil", [(0xB80, 0xBFF)]), ("Telugu", [(0xC00, 0xC7F)]), ("Kannada", [(0xC80, 0xCFF)]), ("Malayalam", [(0xD00, 0xD7F)]), ("Sinhala", [(0xD80, 0xDFF)]),
+    ("Thai", [(0xE00, 0xE7F)]), ("Lao", [(0xE80, 0xEFF)]), ("Tibetan", [(0xF00, 0xFFF)]), ("Myanmar", [(0x1000, 0x109F), (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F)]),
+    ("Georgian", [(0x10A0, 0x10FF), (0x1C90, 0x1CBF), (0x2D00, 0x2D2F)]),
+    ("Hangul", [(0x1100, 0x11FF), (0x3130, 0x318F), (0xA960, 0xA97F), (0xAC00, 0xD7FF)]),
+    ("Ethiopic", [(0x1200, 0x139F), (0x2D80, 0x2DDF), (0xAB00, 0xAB2F)]), ("Cherokee", [(0x13A0, 0x13FF), (0xAB70, 0xABBF)]), ("Canadian", [(0x1400, 0x167F), (0x18B0, 0x18FF)]),
+    ("Khmer", [(0x1780, 0x17FF)]), ("Mongolian", [(0x1800, 0x18AF)]), ("Tifinagh", [(0x2D30, 0x2D7F)]),
+    ("Kana", [(0x3041, 0x30FF), (0x31F0, 0x31FF), (0xFF66, 0xFF9F)]), ("Bopomofo", [(0x3100, 0x312F)]), ("Yi", [(0xA000, 0xA4CF)]),
+    ("Han", [(0x3005, 0x3007), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)]),
+    ("Historic", [(0x10000, 0x1CFFF), (0x1E000, 0x1EFFF)]),
+]
+N_SCRIPTS = len(RANGES) + 1
+_spans = sorted((a, b, k) for k, (_, held) in enumerate(RANGES, 1) for a, b in held)
+_FIRST, _LAST, _SCRIPT = (np.array(x) for x in zip(*_spans, strict=True))
+SCRIPTS = np.zeros(256, np.uint8)  # of ASCII
+SCRIPTS[[*range(65, 91), *range(97, 123)]] = 1
 GAPS = np.ones(256, bool)
 GAPS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
@@ -80,8 +97,24 @@ def _pieces(data: np.ndarray, start: np.ndarray, end: np.ndarray, text: np.ndarr
         first = last
 
 
+def byte_scripts(data: np.ndarray) -> np.ndarray:
+    """The script of the letter that begins at each byte of UTF-8 text; 0: no letter."""
+    out = SCRIPTS[data]
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        code = data[lead].astype(np.int64)
+        more = 1 + (code >= 0xE0) + (code >= 0xF0)
+        code &= 0x3F >> more
+        for k in (1, 2, 3):
+            wide = more >= k
+            code[wide] = code[wide] << 6 | data[np.minimum(lead[wide] + k, len(data) - 1)] & 0x3F
+        at = np.maximum(np.searchsorted(_FIRST, code, "right") - 1, 0)
+        out[lead] = np.where((code >= _FIRST[at]) & (code <= _LAST[at]), _SCRIPT[at], 0)
+    return out
+
+
 def _word_scripts(data: np.ndarray, start: np.ndarray) -> np.ndarray:
-    return np.maximum.reduceat(SCRIPTS[data], start) if len(start) else np.zeros(0, np.uint8)
+    return np.maximum.reduceat(byte_scripts(data), start) if len(start) else np.zeros(0, np.uint8)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,8 +248,8 @@ def predict(model: Model, texts: pa.Array) -> tuple[list[str], list[float], list
 def label_languages(docs: DataFrame, training: DataFrame) -> DataFrame:
     """docs with lang_pred, score and spans added; these three names are replaced if docs has them."""
     model = docs.sparkSession.sparkContext.broadcast(learn(training))
-    docs = docs.drop("lang_pred", "score", "spans")
-    at = docs.columns.index("text")
+    docs = docs.select(*(c for c in docs.columns if c.lower() not in ("lang_pred", "score", "spans")))
+    at = [c.lower() for c in docs.columns].index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
