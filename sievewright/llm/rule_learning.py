@@ -2,11 +2,16 @@
 
 Sequential covering: thresholds come from quantiles, one grouped count per step tells how a condition splits the labelled
 rows, the condition with the most information gain is added until a rule is pure or three conditions long. A third of the
-rows prunes each rule to its best prefix and decides whether it is kept; rows that a kept rule covers leave, and the next
-rule is grown. The list becomes one ordered ``CASE WHEN`` expression. All labelled rows teach; nothing is sampled.
-
-Defined results: null and empty texts have zero in every statistic and fail the base rule; a document labelled more than
-once counts with its least quality; without labels of both kinds the list is empty and the base rule decides alone.
+rows prunes each rule to its best prefix; rows that a kept rule covers leave, and the next rule is grown. A condition must
+cover ``MIN_SHARE`` of the growing rows (``MIN_COVER`` at least). Learning ends with the first rule whose precision on the
+pruning rows is under ``MIN_PRECISION``. The list becomes one ordered ``CASE WHEN`` expression. All labelled rows teach;
+nothing is sampled.
+
+Defined results: null and empty texts have zero in every statistic and fail the base rule; very long texts are counted
+whole; repeated rows get equal results; a document labelled more than once counts with its least quality; null labels and
+labels of unknown documents teach nothing; ties between conditions go to the first feature and value; without labels of
+both kinds, or without rows, the list is empty and the base rule decides alone; an empty table gives no row; other columns
+of docs and labels are not read, so their names do not matter.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import stored
+from .scratch import discard, folder, stored
 
 PLACE_BITS = 28
 
@@ -30,8 +35,9 @@ FEATURES = {
     "upper_share": "n_upper / greatest(word_chars, 1)",
     "marks_per_word": "n_marks / greatest(n_words, 1)",
 }
-BINS, MAX_RULES, MAX_CONDITIONS = 32, 8, 3
-MIN_PRECISION, MIN_COVER = 0.8, 5
+BINS, MAX_CONDITIONS = 32, 3
+MIN_PRECISION, MIN_COVER, MIN_SHARE = 0.8, 5, 0.002
+WHITE = " \t\n\x0b\f\r"
 
 
 def _number_of(chars: str) -> Column:
@@ -43,19 +49,23 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     out = docs.select("doc_id", text.alias("text")).select(
         "doc_id",
+        F.length(F.translate("text", WHITE, "")).cast("long").alias("word_chars"),
         F.filter(F.split("text", "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "").alias("w"),
         F.filter(F.split("text", "\n"), lambda line: line.rlike("[^ \\t\\x0B\\f\\r]")).alias("lines"),
         _number_of("#*$%&|<>").alias("n_symbols"),
         _number_of("A-Z").alias("n_upper"),
         _number_of("!?.,;:").alias("n_marks"),
     )
-    counts = ["doc_id", "n_symbols", "n_upper", "n_marks"]
-    out = out.select(*counts, "w", F.size("w").cast("long").alias("n_words"), F.length(F.array_join("w", "")).cast("long").alias("word_chars"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"))
-    counts += ["n_words", "word_chars", "n_dup_lines"]
+    counts = ["doc_id", "word_chars", "n_symbols", "n_upper", "n_marks"]
+    out = out.select(*counts, "w", F.size("w").cast("long").alias("n_words"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"))
+    counts += ["n_words", "n_dup_lines"]
     place = (1 << PLACE_BITS) - 1
     # A window as one long: the upper bits of its hash, then its place. Sorting brings windows that may be equal together.
-    window = F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)).bitwiseAND(F.lit(~place)).bitwiseOR(i.cast("long")))
-    out = out.select(*counts, "w", F.when(F.size("w") >= 3, F.sort_array(window)).otherwise(F.array().cast("array<long>")).alias("p"))
+    # A text whose windows differ in those bits has no repeat; only the others are sorted.
+    window = F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)).bitwiseAND(F.lit(~place)))
+    out = out.select(*counts, "w", F.when(F.size("w") >= 3, window).alias("p"))
+    placed = F.transform("p", lambda x, i: x.bitwiseOR(i.cast("long")))
+    out = out.select(*counts, "w", F.when(F.size(F.array_distinct("p")) < F.size("p"), F.sort_array(placed)).otherwise(F.array().cast("array<long>")).alias("p"))
 
     def upper(x: Column) -> Column:
         return F.shiftright(x, PLACE_BITS)
@@ -106,7 +116,7 @@ def _bin(feature: str, edges: list[float]) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, edges)), lambda edge: edge <= F.col(feature)))
 
 
-def _grow(rows: DataFrame, edges: dict[str, list[float]]) -> list[Condition]:
+def _grow(rows: DataFrame, edges: dict[str, list[float]], cover: float) -> list[Condition]:
     """Add the condition of the most gain, from counts of bad and good rows by feature and quantile bin."""
     rule: list[Condition] = []
     while len(rule) < MAX_CONDITIONS:
@@ -119,7 +129,7 @@ def _grow(rows: DataFrame, edges: dict[str, list[float]]) -> list[Condition]:
             for j, value in enumerate(e, 1):
                 p, n = (sum(x[k] for b, x in at.items() if b >= j) for k in (0, 1))
                 for one, side in (((p, n), True), ((p0 - p, n0 - n), False)):
-                    if one[0] >= MIN_COVER and (g := _gain(*one, p0, n0)) > best[0]:
+                    if one[0] >= cover and (g := _gain(*one, p0, n0)) > best[0]:
                         best = (g, Condition(f, side, value), one[1])
         if best[1] is None:
             break
@@ -133,13 +143,15 @@ def learn_rules(stats: DataFrame, labels: DataFrame) -> list[list[Condition]]:
     """Conjunctions that mark low quality, in order. stats as of text_statistics; labels: doc_id, quality (0 or 1)."""
     labels = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     rows = stats.join(labels, "doc_id").select((F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 2).alias("prune"), (F.col("quality") == 0).cast("int").alias("bad"), *(F.expr(c).alias(f) for f, c in FEATURES.items()))
-    rows = stored(rows, "labelled")
+    work = folder(stats.sparkSession, "labelled")
+    rows = stored(rows, "labelled", work)
+    cover = max(MIN_COVER, MIN_SHARE * rows.where("not prune").count())
     share = [k / BINS for k in range(1, BINS)]
     cuts = rows.agg(*(F.percentile_approx(f, share, 10_000).alias(f) for f in FEATURES)).first().asDict()
     edges = {f: sorted(set(e)) for f, e in cuts.items() if e}
     rules: list[list[Condition]] = []
-    while edges and len(rules) < MAX_RULES:
-        rule = _grow(rows.where(~F.col("prune")), edges)
+    while edges:
+        rule = _grow(rows.where(~F.col("prune")), edges, cover)
         if not rule:
             break
         held = rows.where("prune").agg(*(F.coalesce(F.sum((_all(rule[:k]) & (F.col("bad") == b)).cast("long")), F.lit(0)).alias(f"n{k}_{b}") for k in range(1, len(rule) + 1) for b in (0, 1))).first()
@@ -150,6 +162,7 @@ def learn_rules(stats: DataFrame, labels: DataFrame) -> list[list[Condition]]:
             break
         rules.append(rule[:k])
         rows = rows.where(~_all(rule[:k]))
+    discard(stats.sparkSession, work)
     return rules
 
 
