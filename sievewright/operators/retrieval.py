@@ -2,38 +2,44 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from . import vectors
+from .best import Best
 
 NAME_WEIGHT, DESCRIPTION_WEIGHT, PHRASE_WEIGHT = 6, 2, 12
 MIN_SCORE, MIN_SIMILARITY, MARGIN = 2, 0.42, 0.04
 RRF = 60
 GRAM = 4
-QUERY_BLOCK = 4096
+QUERY_BLOCK = PROMPT_BLOCK = 4096
+SCORE_CELLS = 2_000_000
 
 
-def _substrings(text: Column) -> Column:
-    """All different substrings of one to four characters."""
+def _substrings(text: Column, sizes: list[int]) -> Column:
+    """All different substrings of these lengths."""
     each = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i: F.substr(text, i, F.lit(n)))
-    return F.array_distinct(F.concat(*(each(n) for n in range(1, GRAM + 1))))
+    return F.array_distinct(F.concat(*map(each, sizes)))
 
 
 def phrase_matches(prompts: DataFrame, names: DataFrame) -> DataFrame:
     """(prompt_id, name) where the prompt holds the name.
 
     Exact blocking: a name meets the prompts that hold its rarest four characters (shorter names: the whole name); a name
-    with a substring that no prompt holds cannot match. What meets is verified.
+    with a substring that no prompt holds cannot match. What meets is verified. Prompts give only grams of lengths that occur.
     """
-    held = prompts.select("prompt_id", F.lower("prompt").alias("p")).select("prompt_id", "p", F.explode(_substrings(F.col("p"))).alias("gram"))
-    counts = held.groupBy("gram").agg(F.count("*").alias("n"))
     names = names.select("name").where("name <> ''").distinct()
+    sizes = sorted(r[0] for r in names.select(F.least(F.length("name"), F.lit(GRAM)).alias("size")).distinct().collect())
+    text = F.lower("prompt").alias("p")
+    held = prompts.select("prompt_id", text).select("prompt_id", "p", F.explode(_substrings(F.col("p"), sizes or [GRAM])).alias("gram"))
+    counts = held.groupBy("gram").agg(F.count("*").alias("n"))
     name = F.lower("name")
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - (GRAM - 1), F.lit(1))), lambda i: F.substr(name, i, F.lit(GRAM)))
     each = names.select("name", F.explode(F.array_distinct(grams)).alias("gram")).join(counts, "gram", "left")
@@ -41,22 +47,88 @@ def phrase_matches(prompts: DataFrame, names: DataFrame) -> DataFrame:
     return held.join(rarest, "gram").where(F.contains("p", F.lower("name"))).select("prompt_id", "name")
 
 
-def lexical_scores(prompts: DataFrame, catalog: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """(prompt_id, doc_id, score, matches): an inverted-index join on terms.
-
-    A document brings one row a term with its weight; matches are gathered after the join by prompt and document, whose
-    number of terms is bounded by the prompt's.
-    """
-    query = prompts.select("prompt_id", F.explode(F.array_distinct(tx.tokenize(F.col("prompt")))).alias("term"))
-    terms = catalog.select("doc_id", F.array_distinct(tx.tokenize(F.col("name"))).alias("n"), F.array_distinct(tx.tokenize(F.col("description"))).alias("d"))
-    weight = F.when(F.array_contains("n", F.col("term")), NAME_WEIGHT).otherwise(0) + F.when(F.array_contains("d", F.col("term")), DESCRIPTION_WEIGHT).otherwise(0)
-    terms = terms.select("doc_id", "n", "d", F.explode(F.array_union("n", "d")).alias("term")).select("doc_id", "term", weight.alias("weight"))
-    hits = query.join(terms, "term").select("prompt_id", "doc_id", "term", "weight")
-    phrase = phrase_matches(prompts, catalog).join(catalog.select("name", "doc_id"), "name").select("prompt_id", "doc_id", F.lit(None).cast("string").alias("term"), F.lit(PHRASE_WEIGHT).alias("weight"))
-    # a prompt without any term has no candidates
-    phrase = phrase.join(query.select("prompt_id").distinct(), "prompt_id", "left_semi")
-    scored = hits.unionByName(phrase).groupBy("prompt_id", "doc_id").agg(F.sum("weight").cast("double").alias("score"), F.array_join(F.sort_array(F.collect_set("term")), " ").alias("matches"))
-    return scored.where(F.col("score") >= min_score)
+class _Prompts:
+    """A block of prompts: terms to prompts, and all texts in one string for the search of names."""
+
+    def __init__(self, rows: list):
+        self.ids: list[list[int]] = []
+        self.terms: list[frozenset[str]] = []
+        texts: list[str] = []
+        same: dict[str, int] = {}
+        for r in rows:
+            if r.said not in same:  # equal prompts are asked once
+                same[r.said] = len(texts)
+                texts.append(r.said)
+                self.ids.append([])
+                self.terms.append(frozenset(r.terms))
+            self.ids[same[r.said]].append(r.prompt_id)
+        lists: dict[str, list[int]] = {}
+        for i, terms in enumerate(self.terms):
+            for t in terms:
+                lists.setdefault(t, []).append(i)
+        self.vocabulary = sorted(lists)
+        self.size = np.array([len(lists[t]) for t in self.vocabulary], np.int64)
+        self.head = np.cumsum(self.size) - self.size
+        self.prompts = np.array([i for t in self.vocabulary for i in lists[t]], np.int64)
+        self.text = "\x00".join(texts)
+        self.begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
+
+    def holding(self, name: str) -> np.ndarray:
+        """Prompts that hold the name."""
+        found, at = set(), self.text.find(name)
+        while at >= 0:
+            i = int(np.searchsorted(self.begin, at, "right")) - 1
+            if at + len(name) < self.begin[i + 1]:
+                found.add(i)
+            at = self.text.find(name, int(self.begin[i + 1]) if i in found else at + 1)
+        return np.array(sorted(found), np.int64)
+
+
+def _flat(lists: pa.ListArray, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row and place in ``words`` of the list elements that are among them."""
+    row = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+    at = pc.fill_null(pc.index_in(lists.flatten(), value_set=words), -1).to_numpy(zero_copy_only=False)
+    return row[at >= 0], at[at >= 0].astype(np.int64)
+
+
+def _scored(held, top: int, min_score: float) -> callable:
+    """The best documents of a task for every prompt of the block, given once, when the task has seen all its documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: _Prompts = held.value
+        n, words = len(block.ids), pa.array(block.vocabulary, pa.string())
+        best, own = Best(n, top, min_score), {}
+        for batch in batches:
+            ids, tie = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+            names, lists = batch.column(2).to_pylist(), [c if isinstance(c, pa.ListArray) else c.cast(pa.list_(pa.string())) for c in batch.columns[3:5]]
+            flat = [(*_flat(c, words), w) for c, w in zip(lists, (NAME_WEIGHT, DESCRIPTION_WEIGHT), strict=True)]
+            row, term, weight = (np.concatenate(x) for x in zip(*((r, t, np.full(len(r), w)) for r, t, w in flat), strict=True))
+            order = np.argsort(row, kind="stable")
+            row, term, weight = row[order], term[order], weight[order]
+            hits = np.cumsum(np.bincount(row, block.size[term], len(ids)))
+            phrase = {name: block.holding(name) for name in set(names) if name}
+            first = 0
+            while first < len(ids):  # chunks of bounded work: postings and cells of the table of scores
+                last = min(first + max(1, SCORE_CELLS // max(1, n)), max(first + 1, int(np.searchsorted(hits, (hits[first - 1] if first else 0) + SCORE_CELLS, "right"))), len(ids))
+                a, b = np.searchsorted(row, [first, last])
+                size = block.size[term[a:b]]
+                entry = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(block.head[term[a:b]], size)
+                cell = block.prompts[entry] * (last - first) + np.repeat(row[a:b] - first, size)
+                scores = np.bincount(cell, np.repeat(weight[a:b], size), n * (last - first)).reshape(n, last - first)
+                for i in range(first, last):
+                    if names[i] and len(phrase[names[i]]):
+                        scores[phrase[names[i]], i - first] += PHRASE_WEIGHT
+                best.add(scores, tie[first:last], ids[first:last])
+                first = last
+            kept = set(best.rows()[3].tolist())
+            own = {i: t for i, t in own.items() if i in kept}
+            for i in np.flatnonzero(np.isin(ids, list(kept))):
+                own[int(ids[i])] = frozenset(lists[0][int(i)].as_py() or ()) | frozenset(lists[1][int(i)].as_py() or ())
+        rows = [(p, int(d), float(s), int(t), " ".join(sorted(block.terms[q] & own[int(d)]))) for q, s, t, d in zip(*best.rows(), strict=True) for p in block.ids[q]]
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.string())
+        yield pa.record_batch([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], ["prompt_id", "doc_id", "score", "activation_tokens", "matches"])
+
+    return run
 
 
 def ranked(scored: DataFrame, top: int, *order: Column) -> DataFrame:
@@ -64,8 +136,23 @@ def ranked(scored: DataFrame, top: int, *order: Column) -> DataFrame:
 
 
 def lexical_top(prompts: DataFrame, catalog: DataFrame, top: int = 2, min_score: float = MIN_SCORE) -> DataFrame:
-    scored = lexical_scores(prompts, catalog, min_score).join(catalog.select("doc_id", "activation_tokens"), "doc_id")
-    return ranked(scored, top, F.desc("score"), F.col("activation_tokens"), F.col("doc_id")).select("prompt_id", "doc_id", "score", "matches", "rank")
+    """(prompt_id, doc_id, score, matches, rank): terms shared with name and description, and whole names in the prompt.
+
+    The prompts are the stated query set and are taken in blocks of ``PROMPT_BLOCK``: a block is broadcast as lists of prompts
+    by term, one scan of the catalog scores it, and each task hands on its best ``top`` of a prompt, so what is shuffled
+    does not grow with the matches. Descriptions are what a catalog entry shows: `catalog.from_documents` takes the first
+    ``DESCRIPTION_SIZE`` characters of a text; bodies count in `rerank_blend`. A prompt without a term has no candidates.
+    """
+    spark = prompts.sparkSession
+    asked = prompts.select("prompt_id", F.lower(F.coalesce("prompt", F.lit(""))).alias("said"), F.array_distinct(tx.tokenize(F.col("prompt"))).alias("terms")).where(F.size("terms") > 0)
+    entries = catalog.select(F.col("doc_id").cast("long"), F.col("activation_tokens").cast("long"), F.lower(F.coalesce("name", F.lit(""))), F.array_distinct(tx.tokenize(F.col("name"))), F.array_distinct(tx.tokenize(F.col("description"))))
+    schema = "prompt_id long, doc_id long, score double, activation_tokens long, matches string"
+    found = spark.createDataFrame([], schema)
+    n = -(-asked.count() // PROMPT_BLOCK)
+    for k in range(n):
+        block = _Prompts(asked.where(F.pmod(F.xxhash64("prompt_id"), F.lit(n)) == k).orderBy("prompt_id").collect())
+        found = found.unionByName(entries.mapInArrow(_scored(spark.sparkContext.broadcast(block), top, min_score), schema))
+    return ranked(found, top, F.desc("score"), F.col("activation_tokens"), F.col("doc_id")).select("prompt_id", "doc_id", "score", "matches", "rank")
 
 
 def exact_name_matches(prompts: DataFrame, catalog: DataFrame, max_entries: int = 300, min_chars: int = 4) -> DataFrame:
@@ -80,51 +167,50 @@ def exact_name_matches(prompts: DataFrame, catalog: DataFrame, max_entries: int
     return one.join(F.broadcast(small), F.lit(True)).where("small").select("prompt_id", "doc_id")
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """0 for different sizes or a zero norm."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when((F.size(a) == F.size(b)) & (norm > 0), dot(a, b) / norm).otherwise(F.lit(0.0))
+def _vectors(lists: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows and matrix of the vectors of each size, straight from the Arrow buffers."""
+    size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    head = np.cumsum(size) - size
+    for n in np.unique(size):
+        rows = np.flatnonzero(size == n)
+        yield rows, flat[head[rows][:, None] + np.arange(n)]
 
 
 def vector_top(queries: DataFrame, pool: DataFrame, top: int, floor: float = -1.0) -> DataFrame:
-    """(prompt_id, doc_id, score, rank): queries (prompt_id, embedding) against pool (doc_id, embedding).
+    """(prompt_id, doc_id, score, rank): queries (prompt_id, embedding) against pool (doc_id, embedding), by cosine.
 
-    The queries are the stated set: they are broadcast in blocks of ``QUERY_BLOCK``. Each task multiplies its batches with
-    a block and hands on the best ``top`` of a query and batch; a window picks the best of those. Ties go to the lesser id.
+    The queries are the stated set: they are broadcast in blocks of ``QUERY_BLOCK``, one scan of the pool each. A task
+    multiplies its batches with a block and hands on its best ``top`` of a query once; a window picks the best of those.
+    Different sizes do not meet, a zero vector has similarity 0, ties go to the lesser id.
     """
     spark = queries.sparkSession
     queries = queries.where("embedding is not null").select("prompt_id", "embedding")
     n = -(-queries.count() // QUERY_BLOCK)
     schema = "prompt_id long, doc_id long, score double"
     found = spark.createDataFrame([], schema)
+    unit = lambda m: np.divide(m, np.sqrt((m * m).sum(1))[:, None], out=np.zeros_like(m), where=(m != 0).any(1)[:, None])
     for k in range(n):
-        rows = queries.where(F.pmod(F.xxhash64("prompt_id"), F.lit(n)) == k).collect()
-        held = spark.sparkContext.broadcast(([r[0] for r in rows], [np.asarray(r[1], np.float64) for r in rows]))
+        rows = queries.where(F.pmod(F.xxhash64("prompt_id"), F.lit(n)) == k).orderBy("prompt_id").collect()
+        sizes = {len(r[1]) for r in rows}
+        held = spark.sparkContext.broadcast({size: ([r[0] for r in rows if len(r[1]) == size], unit(np.array([r[1] for r in rows if len(r[1]) == size], np.float64))) for size in sizes})
 
         def best(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            ids, vectors = held.value
+            kept = {size: Best(len(ids), top, floor) for size, (ids, _) in held.value.items()}
             for batch in batches:
-                doc_ids = np.array(batch.column(0).to_pylist())
-                docs = [np.asarray(v, np.float64) for v in batch.column(1).to_pylist()]
-                out: tuple[list, list, list] = ([], [], [])
-                for size in {len(v) for v in docs}:
-                    mine = [i for i, v in enumerate(docs) if len(v) == size]
-                    asked = [i for i, v in enumerate(vectors) if len(v) == size]
-                    if not asked:
-                        continue
-                    d, q = np.array([docs[i] for i in mine]), np.array([vectors[i] for i in asked])
-                    norm = np.outer(np.sqrt((q * q).sum(1)), np.sqrt((d * d).sum(1)))
-                    score = np.round(np.divide(q @ d.T, norm, out=np.zeros_like(norm), where=norm > 0), 9)
-                    for j, i in enumerate(asked):
-                        order = np.lexsort((doc_ids[mine], -score[j]))[:top]
-                        order = order[score[j][order] >= floor]
-                        out[0].extend([ids[i]] * len(order))
-                        out[1].extend(doc_ids[mine][order].tolist())
-                        out[2].extend(score[j][order].tolist())
-                yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["prompt_id", "doc_id", "score"])
-
-        found = found.unionByName(pool.where("embedding is not null").select("doc_id", "embedding").mapInArrow(best, schema))
+                doc_ids = batch.column(0).to_numpy(zero_copy_only=False)
+                for mine, matrix in _vectors(batch.column(1)):
+                    if matrix.shape[1] in kept:
+                        asked = held.value[matrix.shape[1]][1]
+                        step = max(1, SCORE_CELLS // len(asked))
+                        for i in range(0, len(mine), step):
+                            part = mine[i : i + step]
+                            kept[matrix.shape[1]].add(np.round(asked @ unit(matrix[i : i + step]).T, 9), np.zeros(len(part), np.int64), doc_ids[part])
+            for size, one in kept.items():
+                query, score, _, ids = one.rows()
+                yield pa.record_batch([pa.array(np.array(held.value[size][0], np.int64)[query]), pa.array(ids.astype(np.int64)), pa.array(score)], ["prompt_id", "doc_id", "score"])
+
+        found = found.unionByName(pool.where("embedding is not null").select(F.col("doc_id").cast("long"), "embedding").mapInArrow(best, schema))
     return ranked(found, top, F.desc("score"), F.col("doc_id"))
 
 
@@ -163,6 +249,18 @@ def rerank_blend(candidates: DataFrame, prompts: DataFrame, catalog: DataFrame,
     return ranked(held.select("prompt_id", "doc_id", blend.alias("score")), top, F.desc("score"), F.col("doc_id"))
 
 
+def rerank(candidates: DataFrame, prompts: DataFrame, catalog: DataFrame, top: int, mode: str = "similarity", load: Callable | None = None) -> DataFrame:
+    """(prompt_id, doc_id, score, rank). Modes: ``none`` keeps the order, ``similarity`` blends in the overlap with the body, ``model`` scores pairs with the caller's model."""
+    if mode == "none":
+        return ranked(candidates.select("prompt_id", "doc_id", "score"), top, F.desc("score"), F.col("doc_id"))
+    if mode == "similarity":
+        return rerank_blend(candidates, prompts, catalog, top)
+    if mode != "model" or load is None:
+        raise ValueError("mode is none, similarity, or model with a model to load")
+    pairs = candidates.select("prompt_id", "doc_id").join(catalog.select("doc_id", "body"), "doc_id").join(prompts.select("prompt_id", "prompt"), "prompt_id")
+    return ranked(vectors.score_pairs(pairs, load).select("prompt_id", "doc_id", "score"), top, F.desc("score"), F.col("doc_id"))
+
+
 def decide(exact: DataFrame, semantic: DataFrame, lexical: DataFrame, asked: DataFrame, floor: float = MIN_SIMILARITY) -> DataFrame:
     """One method a prompt: exact name, else semantic over the floor and not ambiguous, else lexical where no vector was asked.
 
@@ -175,3 +273,19 @@ def decide(exact: DataFrame, semantic: DataFrame, lexical: DataFrame, asked: Dat
     held = first.unionByName(middle).unionByName(last)
     best = held.groupBy("prompt_id").agg(F.min("priority").alias("priority"))
     return held.join(best, ["prompt_id", "priority"]).drop("priority")
+
+
+def route(prompts: DataFrame, catalog: DataFrame, top: int = 2, mode: str = "hybrid", pool: DataFrame | None = None, max_entries: int = 300) -> DataFrame:
+    """(prompt_id, doc_id, score, rank, method) by mode ``lexical``, ``semantic`` or ``hybrid``.
+
+    prompts: prompt_id, prompt and, but for the lexical mode, embedding (null: no vector); pool: doc_id, embedding.
+    ``semantic`` leaves out the exact-name shortcut; in both modes with vectors, prompts without one fall back on terms.
+    """
+    if mode not in ("lexical", "semantic", "hybrid"):
+        raise ValueError("mode is lexical, semantic or hybrid")
+    lexical = lexical_top(prompts, catalog, top)
+    if mode == "lexical":
+        return lexical.select("prompt_id", "doc_id", "score", "rank", F.lit("lexical").alias("method"))
+    asked = prompts.where("embedding is not null").select("prompt_id", "embedding")
+    exact = exact_name_matches(prompts, catalog, max_entries if mode == "hybrid" else -1)
+    return decide(exact, vector_top(asked, pool, top), lexical, asked.select("prompt_id"))
