@@ -64,6 +64,11 @@ def stable_rank(seed: str, key: Column) -> Column:
     return F.sha2(F.concat(F.lit(seed + "\x00"), key.cast("string")), 256)
 
 
+def stable_rank48(seed: str, key: Column) -> Column:
+    """The first 48 bits of the same hash as a number; order by the key too, as two keys may be equal here."""
+    return F.conv(F.substring(stable_rank(seed, key), 1, 12), 16, 10).cast("long")
+
+
 def synthetic_cost(key: Column, least: int = 300, most: int = 2500) -> Column:
     return F.lit(least) + F.conv(F.substring(F.sha2(key.cast("string"), 256), 1, 8), 16, 10).cast("long") % F.lit(most - least + 1)
 
@@ -124,5 +129,5 @@ def redact_body(text: Column, filler: str = "lorem") -> Column:
     return F.array_join(F.transform(F.split(_text(text), "\n"), line), "\n")
 
 
-def topics(text: Column) -> Column:
-    return F.filter(F.array(*map(F.lit, TOPICS)), lambda t: F.contains(F.lower(_text(text)), t))
+def topics(text: Column, known: list[str] = TOPICS) -> Column:
+    return F.filter(F.array(*map(F.lit, known)), lambda t: F.contains(F.lower(_text(text)), t))

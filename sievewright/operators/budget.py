@@ -61,24 +61,56 @@ def assemble(loaded: DataFrame, catalog: DataFrame) -> DataFrame:
     return held.groupBy("prompt_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "rendered"))), lambda x: x["rendered"]), "\n").alias("context"))
 
 
-def select_sections(docs: DataFrame, budget: int, separator: str = "\n## ") -> DataFrame:
-    """docs: doc_id, prompt, body. Sections by overlap with the prompt, admitted greedily, put back in their own order.
+HEADING = r"(?m)^(?=[ \t]*##[ \t]+\S)"
 
-    What stands before the first section always stays; at least one section stays; a note tells how many went.
+
+def select_sections(docs: DataFrame, budget: int = 1200, gate: int = 2000, least: int = 1) -> DataFrame:
+    """docs: doc_id, prompt, body. (doc_id, body, dropped): sections by terms shared with the prompt, admitted greedily, in their own order.
+
+    A section begins at a line with a second-level heading. Front matter and what stands before the first section always
+    stay and are paid first; ``least`` sections stay whatever they cost; a note tells how many went. Bodies of up to ``gate``
+    tokens, bodies of up to ``least`` sections and bodies of which all sections fit are left as they are.
     """
-    parts = docs.select("doc_id", F.array_distinct(tx.raw_terms(F.col("prompt"))).alias("q"), F.split("body", separator).alias("parts"))
-    held = parts.select("doc_id", "q", F.element_at("parts", 1).alias("head"), F.posexplode(F.slice("parts", 2, 1_000_000)).alias("at", "section"))
-    share = F.size(F.array_intersect("q", tx.raw_terms(F.col("section"))))
-    scored = held.select("doc_id", "head", "at", "section", F.struct((-share).alias("share"), F.col("at"), tx.estimate_tokens(F.col("section")).alias("tokens")).alias("x"))
-    lists = scored.groupBy("doc_id").agg(F.first("head").alias("head"), F.sort_array(F.collect_list("x")).alias("xs"), F.sort_array(F.collect_list(F.struct("at", "section"))).alias("sections"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("kept"))
+    text = F.regexp_replace(F.coalesce("body", F.lit("")), "\r\n", "\n")
+    front = F.regexp_extract(text, r"\A[ \t]*---[ \t]*\n(?:[\s\S]*?\n)??[ \t]*---[ \t]*(?:\n|\z)", 0)
+    rest = F.substr(text, F.length(front) + F.lit(1))
+    pieces = F.split(F.regexp_replace(F.translate(rest, "\x01", " "), HEADING, "\x01"), "\x01")
+    held = docs.where(tx.estimate_tokens(F.col("body")) > gate).select("doc_id", F.array_distinct(tx.raw_terms(F.col("prompt"))).alias("q"), front.alias("front"), pieces.alias("pieces"))
+    held = held.where(F.size("pieces") > least + 1).withColumn("spent", tx.estimate_tokens(F.concat("front", F.element_at("pieces", 1))))
+
+    def weighed(piece: Column, i: Column) -> Column:
+        shared = F.size(F.array_intersect("q", tx.raw_terms(piece)))
+        return F.struct((-shared).alias("share"), i.alias("at"), tx.estimate_tokens(piece).alias("tokens"))
+
+    ranked = F.sort_array(F.filter(F.transform("pieces", weighed), lambda x: x["at"] > 0))
+    start = F.struct(F.col("spent").alias("used"), F.array().cast("array<int>").alias("kept"))
 
     def step(acc: Column, x: Column) -> Column:
-        fits = (acc["used"] + x["tokens"] <= budget) | (F.size(acc["kept"]) == 0)
+        fits = (acc["used"] + x["tokens"] <= budget) | (F.size(acc["kept"]) < least)
         return F.when(fits, F.struct((acc["used"] + x["tokens"]).alias("used"), F.concat(acc["kept"], F.array(x["at"])).alias("kept"))).otherwise(acc)
 
-    lists = lists.withColumn("kept", F.aggregate("xs", start, step, lambda acc: acc["kept"]))
-    body = F.concat_ws(separator, F.col("head"), F.transform(F.filter("sections", lambda s: F.array_contains("kept", s["at"])), lambda s: s["section"]))
-    dropped = F.size("sections") - F.size("kept")
-    trimmed = lists.select("doc_id", F.when(dropped > 0, F.concat(body, F.lit("\n\n["), dropped.cast("string"), F.lit(" sections omitted]"))).otherwise(body).alias("body"), dropped.alias("dropped"))
-    return docs.select("doc_id", F.col("body").alias("whole")).join(trimmed, "doc_id", "left").select("doc_id", F.coalesce("body", "whole").alias("body"), F.coalesce("dropped", F.lit(0)).alias("dropped"))
+    held = held.withColumn("kept", F.aggregate(ranked, start, step, lambda acc: acc["kept"]))
+    dropped = F.size("pieces") - 1 - F.size("kept")
+    body = F.array_join(F.filter("pieces", lambda x, i: (i == 0) | F.array_contains("kept", i)), "")
+    cut = held.where(dropped > 0).select("doc_id", F.concat("front", F.regexp_replace(body, r"\n\z", ""), F.lit("\n\n["), dropped.cast("string"), F.lit(" sections omitted]")).alias("cut"), dropped.alias("dropped"))
+    return docs.select("doc_id", "body").join(cut, "doc_id", "left").select("doc_id", F.coalesce("cut", "body").alias("body"), F.coalesce("dropped", F.lit(0)).alias("dropped"))
+
+
+def summary_tier(ranked: DataFrame, residents: DataFrame, shown: DataFrame, predicted: DataFrame, costs: DataFrame, top: int = 2, budget: int = 400, load_floor: float = 2, apart: int = 10) -> DataFrame:
+    """(prompt_id, doc_id, place, running): what is offered as a summary besides what loads.
+
+    ranked: prompt_id, now, doc_id, score, rank, retrieved with a relaxed floor and ``top`` plus the summaries' depth; the
+    first ``top`` of those with ``load_floor`` load. residents: prompt_id, doc_id. shown: prompt_id, doc_id, last (the clock
+    when a document was last offered before). predicted: prompt_id, doc_id, rank; costs: doc_id, tokens. Ranked ones come
+    first, then predicted ones, as a prefix under the budget.
+    """
+    order = F.row_number().over(W.partitionBy("prompt_id").orderBy("rank"))
+    loads = ranked.where(F.col("score") >= load_floor).withColumn("place", order).where(F.col("place") <= top).select("prompt_id", "doc_id")
+    clock = ranked.groupBy("prompt_id").agg(F.max("now").alias("now"))
+    first = ranked.join(loads, ["prompt_id", "doc_id"], "left_anti").select("prompt_id", "doc_id", F.lit(0).alias("tier"), "rank")
+    known = first.select("prompt_id", "doc_id").union(loads)
+    second = predicted.join(known, ["prompt_id", "doc_id"], "left_anti").select("prompt_id", "doc_id", F.lit(1).alias("tier"), "rank")
+    held = first.unionByName(second).join(residents.select("prompt_id", "doc_id"), ["prompt_id", "doc_id"], "left_anti").join(clock, "prompt_id")
+    held = held.join(shown, ["prompt_id", "doc_id"], "left").where(F.col("last").isNull() | (F.col("now") - F.col("last") >= apart)).join(costs, "doc_id")
+    held = held.withColumn("place", F.row_number().over(W.partitionBy("prompt_id").orderBy("tier", "rank", "doc_id")))
+    return prefix_budget(held, budget, order="place").select("prompt_id", "doc_id", "place", "running")

@@ -40,11 +40,18 @@ def rejection_reason(path: Column) -> Column:
     )
 
 
-def provider_profile(catalog: DataFrame, providers: list[str]) -> DataFrame:
-    """Counts and tokens of each provider of a fixed list, also of those without rows."""
-    fixed = catalog.sparkSession.createDataFrame([(p,) for p in providers], "provider string")
+def catalog_profile(catalog: DataFrame, loaded: DataFrame) -> DataFrame:
+    """One row: entries and tokens of all files, and of those that stay after deduplication (``loaded``)."""
+    total = lambda df, c: df.agg(F.count("*").alias(c), F.coalesce(F.sum("activation_tokens"), F.lit(0)).cast("long").alias(f"{c}_catalog_tokens"), F.coalesce(F.sum("full_tokens"), F.lit(0)).cast("long").alias(f"{c}_full_tokens"))
+    return total(catalog, "files").join(total(loaded, "entries"), F.lit(True))
+
+
+def provider_profile(catalog: DataFrame, providers: list[str], rest: str = "other") -> DataFrame:
+    """Counts and tokens of each provider of a fixed list, also of those without rows; all others, null too, are one group ``rest``."""
+    fixed = catalog.sparkSession.createDataFrame([(p,) for p in [*providers, rest]], "provider string")
+    named = F.when(F.col("provider").isin(providers), F.col("provider")).otherwise(rest).alias("provider")
     largest = F.max(F.struct("full_tokens", (-F.col("doc_id")).alias("order")))
-    sums = catalog.groupBy("provider").agg(F.count("*").alias("n"), F.sum("activation_tokens").alias("catalog_tokens"), F.sum("full_tokens").alias("full_tokens"), largest.alias("top"))
+    sums = catalog.groupBy(named).agg(F.count("*").alias("n"), F.sum("activation_tokens").alias("catalog_tokens"), F.sum("full_tokens").alias("full_tokens"), largest.alias("top"))
     zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n", "catalog_tokens", "full_tokens")]
     return F.broadcast(fixed).join(sums, "provider", "left").select("provider", *zero, (-F.col("top.order")).alias("largest_doc"), F.col("top.full_tokens").alias("largest_tokens"))
 
@@ -73,10 +80,10 @@ def best_of(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return held.select("best.*")
 
 
-def logical_dedup(entries: DataFrame) -> DataFrame:
-    """entries: provider, name, path, ...; the shortest path outside mirror folders stays."""
+def logical_dedup(entries: DataFrame, *ties: str) -> DataFrame:
+    """entries: provider, name, path, ...; the shortest path outside mirror folders stays, then the first path, then the least of ``ties``."""
     rank = F.when(is_mirror(F.col("path")), MIRROR_PENALTY).otherwise(0) + F.length("path")
-    return best_of(entries, ["provider", "name"], [rank, F.col("path")])
+    return best_of(entries, ["provider", "name"], [rank, F.col("path"), *map(F.col, ties)])
 
 
 def name_dedup(entries: DataFrame) -> DataFrame:
@@ -119,8 +126,8 @@ def longest_root(files: DataFrame, roots: DataFrame) -> DataFrame:
     return held.groupBy("path").agg(F.max_by("root", F.length("root")).alias("root"))
 
 
-def topic_overlap(catalog: DataFrame) -> DataFrame:
-    held = catalog.select(F.explode(tx.topics(F.concat_ws(" ", "name", "description"))).alias("topic"))
+def topic_overlap(catalog: DataFrame, known: list[str] = tx.TOPICS) -> DataFrame:
+    held = catalog.select(F.explode(tx.topics(F.concat_ws(" ", "name", "description"), known)).alias("topic"))
     return held.groupBy("topic").agg(F.count("*").alias("n")).where("n >= 2")
 
 
@@ -138,10 +145,31 @@ def case_violations(cases: DataFrame, catalog: DataFrame, top: int = 2) -> DataF
     return empty.unionByName(twice).unionByName(long).unionByName(both).unionByName(unknown)
 
 
-def fingerprint(df: DataFrame, buckets: int = 64) -> DataFrame:
-    """A SHA-256 of a table that does not depend on row order: row hashes are sorted and hashed in buckets, then the buckets."""
-    row = df.select(F.sha2(F.to_json(F.struct(*df.columns)), 256).alias("h"))
-    bucket = F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), F.lit(buckets))
-    count = row.groupBy(bucket.alias("b"), "h").agg(F.count("*").alias("n"))
-    inner = count.groupBy("b").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("h", "n"))), lambda x: F.concat_ws("*", x["h"], x["n"])), ""), 256).alias("h"))
-    return inner.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), ""), 256).alias("fingerprint"))
+def suite_violations(skills: DataFrame, sessions: DataFrame, turns: DataFrame) -> DataFrame:
+    """(subject, rule), one row for each broken rule of a session suite; empty if all is well.
+
+    skills: name, description; sessions: session; turns: session, position, prompt, names (array of what a turn refers to).
+    """
+    say = lambda df, subject, rule: df.select(subject.cast("string").alias("subject"), F.lit(rule).alias("rule"))
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    place = F.concat_ws("/", "session", "position")
+    out = say(skills.where(blank(F.col("name")) | blank(F.col("description"))), F.coalesce("name", F.lit("")), "skill-without-text")
+    out = out.union(say(skills.groupBy("name").count().where("count > 1"), F.col("name"), "repeated-skill"))
+    out = out.union(say(sessions.where("session is null"), F.lit(""), "session-without-id")).union(say(sessions.groupBy("session").count().where("count > 1"), F.col("session"), "repeated-session"))
+    out = out.union(say(sessions.where("session is not null").distinct().join(turns.select("session").distinct(), "session", "left_anti"), F.col("session"), "session-without-turns"))
+    out = out.union(say(turns.where(blank(F.col("prompt"))), place, "turn-without-prompt"))
+    named = turns.select(place.alias("place"), F.explode("names").alias("name")).distinct()
+    return out.union(say(named.join(skills.select("name").distinct(), "name", "left_anti").select("place").distinct(), F.col("place"), "unknown-reference"))
+
+
+def fingerprint(df: DataFrame) -> DataFrame:
+    """A SHA-256 of a table that does not depend on row order.
+
+    Every row has a SHA-256 of its columns as text; its eight 32-bit lanes are summed over all rows, as they come, and the
+    sums and the number of rows are hashed. Nothing is gathered, whatever the number of rows.
+    """
+    text = F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in df.columns))
+    row = df.select(F.sha2(text, 256).alias("h"))
+    lanes = [F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("decimal(10,0)").alias(f"l{i}") for i in range(8)]
+    sums = row.select(*lanes).agg(F.count("*").alias("n"), *(F.coalesce(F.sum(f"l{i}"), F.lit(0)).alias(f"s{i}") for i in range(8)))
+    return sums.select(F.sha2(F.concat_ws(",", *(F.col(f"s{i}").cast("string") for i in range(8)), F.col("n").cast("string")), 256).alias("fingerprint"))

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 def ranked_metrics(predictions: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
     """predictions: task_id, doc_id, rank; qrels: task_id, doc_id, relevance. One row for each task with a positive grade.
 
-    A document that is listed twice counts at its best rank.
+    A document that is listed twice counts at its best rank. A task's list is ranked in one task: it is what a ranker returned.
+    Of the gold only the first k are ranked, and only as many leave each task before the shuffle.
     """
     qrels = qrels.where("relevance > 0").groupBy("task_id", "doc_id").agg(F.max("relevance").alias("relevance"))
     best = predictions.groupBy("task_id", "doc_id").agg(F.min("rank").alias("rank"))
@@ -26,8 +27,8 @@ def ranked_metrics(predictions: DataFrame, qrels: DataFrame, k: int) -> DataFram
         F.sum(F.when(inside, F.col("seen") / F.col("rank"))).alias("precision_sum"),
     )
     order = qrels.withColumn("place", F.row_number().over(W.partitionBy("task_id").orderBy(F.desc("relevance"))))
-    ideal = order.groupBy("task_id").agg(F.count("*").alias("gold"), F.sum(F.when(F.col("place") <= k, gain(F.col("relevance"), F.col("place")))).alias("ideal"))
-    held = ideal.join(found, "task_id", "left")
+    ideal = order.where(F.col("place") <= k).groupBy("task_id").agg(F.sum(gain(F.col("relevance"), F.col("place"))).alias("ideal"))
+    held = qrels.groupBy("task_id").agg(F.count("*").alias("gold")).join(ideal, "task_id").join(found, "task_id", "left")
     n = F.coalesce("found", F.lit(0))
     return held.select(
         "task_id",
@@ -83,13 +84,40 @@ def method_histogram(cases: DataFrame) -> DataFrame:
     return cases.select(F.explode_outer("methods").alias("method")).select(F.coalesce("method", F.lit("none")).alias("method")).groupBy("method").agg(F.count("*").alias("n"))
 
 
-def token_accounting(predictions: DataFrame, catalog: DataFrame, n_queries: int, load: int = 2) -> DataFrame:
-    """The tokens of the whole catalog for each query against those of the first ``load`` documents of each prediction."""
-    total = catalog.agg(F.coalesce(F.sum("full_tokens"), F.lit(0)).alias("catalog_tokens"))
-    loaded = predictions.where(F.col("rank") <= load).join(catalog.select("doc_id", "full_tokens"), "doc_id").agg(F.coalesce(F.sum("full_tokens"), F.lit(0)).alias("loaded_tokens"))
-    held = total.join(loaded, F.lit(True))
-    before = F.col("catalog_tokens") * n_queries
-    return held.select("catalog_tokens", "loaded_tokens", before.alias("baseline_tokens"), (before - F.col("loaded_tokens")).alias("avoided_tokens"), F.round(1 - F.col("loaded_tokens") / before, 9).alias("reduction"))
+def scorable_tasks(gold: DataFrame) -> DataFrame:
+    """gold: task_id, task_type, doc_ids (array). Tasks of the type ``generic_only`` and tasks without gold are not scored."""
+    return gold.where((F.size("doc_ids") > 0) & (F.coalesce("task_type", F.lit("")) != "generic_only"))
+
+
+def token_accounting(predictions: DataFrame, catalog: DataFrame, load: int = 2) -> DataFrame:
+    """The catalog's names and descriptions for each query against the bodies of the first ``load`` documents of each prediction.
+
+    A prediction that names a document outside the catalog is an error.
+    """
+    total = catalog.agg(F.coalesce(F.sum("activation_tokens"), F.lit(0)).alias("catalog_tokens"))
+    asked = predictions.agg(F.count_distinct("task_id").alias("queries"))
+    held = predictions.where(F.col("rank") <= load).join(catalog.select("doc_id", F.col("full_tokens").alias("tokens"), F.lit(1).alias("known")), "doc_id", "left")
+    loaded = held.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("loaded_tokens"), F.count(F.when(F.col("known").isNull(), 1)).alias("missing"))
+    held = total.join(asked, F.lit(True)).join(loaded, F.lit(True))
+    before = F.col("catalog_tokens") * F.col("queries")
+    sure = F.when(F.col("missing") > 0, F.raise_error(F.concat(F.col("missing").cast("string"), F.lit(" predicted documents are not in the catalog"))).cast("long")).otherwise(F.col("loaded_tokens"))
+    held = held.withColumn("loaded_tokens", sure)
+    return held.select("queries", "catalog_tokens", "loaded_tokens", before.alias("baseline_tokens"), (before - F.col("loaded_tokens")).alias("avoided_tokens"), F.round(F.coalesce(F.try_divide(before - F.col("loaded_tokens"), before), F.lit(0.0)), 9).alias("reduction"))
+
+
+def selection_accounting(cases: DataFrame, catalog: DataFrame) -> DataFrame:
+    """cases: case_id, doc_ids (what was selected). Names and descriptions that no longer load, and the bodies that do."""
+    before = catalog.agg(F.coalesce(F.sum("activation_tokens"), F.lit(0)).alias("tokens_before"))
+    picked = cases.select("case_id", F.explode("doc_ids").alias("doc_id")).join(catalog.select("doc_id", "full_tokens"), "doc_id").agg(F.coalesce(F.sum("full_tokens"), F.lit(0)).alias("selected_tokens"))
+    held = before.join(picked, F.lit(True)).join(cases.agg(F.count("*").alias("cases")), F.lit(True))
+    return held.select("cases", "tokens_before", F.lit(0).cast("long").alias("tokens_after"), F.col("tokens_before").alias("tokens_avoided"), "selected_tokens", F.round(F.col("selected_tokens") / F.greatest("cases", F.lit(1)), 9).alias("mean_selected_tokens"))
+
+
+def retention_given_retrieval(turns: DataFrame) -> DataFrame:
+    """turns: expected, retrieved, resident (arrays). Of turns with gold: the shares retrieved and resident, and the resident share where some gold was retrieved."""
+    share = lambda c: F.size(F.array_intersect("expected", c)) / F.size("expected")
+    held = turns.where(F.size("expected") > 0).select(share("retrieved").alias("retrieved"), share("resident").alias("resident"))
+    return held.agg(F.round(F.avg("retrieved"), 9).alias("gold_retrieved"), F.round(F.avg("resident"), 9).alias("gold_resident"), F.round(F.avg(F.when(F.col("retrieved") > 0, F.col("resident"))), 9).alias("memory_retention"))
 
 
 def turn_metrics(turns: DataFrame) -> DataFrame:

@@ -19,7 +19,8 @@ def stratified_sample(rows: DataFrame, key: str, stratum: str, size: int, seed:
     place = F.row_number().over(W.partitionBy(F.lit(1)).orderBy(F.desc("rest"), F.desc(stratum)))
     seats = seats.withColumn("left", left).withColumn("place", place).select(stratum, (F.col("seats") + (F.col("place") <= F.col("left")).cast("int")).alias("seats"))
     order = F.row_number().over(W.partitionBy(stratum).orderBy(tx.stable_rank(seed, F.col(key))))
-    return rows.withColumn("place", order).join(F.broadcast(seats), stratum).where("place <= seats").drop("place", "seats")
+    first = rows.withColumn("place", order).where(F.col("place") <= size)  # no task hands on more than this of a stratum
+    return first.join(F.broadcast(seats), stratum).where("place <= seats").drop("place", "seats")
 
 
 def required_ids(qrels: DataFrame, tasks: DataFrame) -> DataFrame:
@@ -32,6 +33,14 @@ def hash_fill(pool: DataFrame, chosen: DataFrame, size: int, seed: str, key: str
     return pool.select(key).join(chosen, key, "left_anti").orderBy(tx.stable_rank(seed, F.col(key)), F.col(key)).limit(size)
 
 
+def fill_pool(chosen: DataFrame, others: DataFrame, size: int, seed: str, key: str = "doc_id") -> DataFrame:
+    """The chosen ids, and as many of the others by 48-bit hash as the pool size leaves room for."""
+    chosen = chosen.select(key).distinct()
+    room = max(0, size - chosen.count())
+    more = others.select(key).distinct().join(chosen, key, "left_anti").orderBy(tx.stable_rank48(seed, F.col(key)), F.col(key)).limit(room)
+    return chosen.withColumn("chosen", F.lit(True)).unionByName(more.withColumn("chosen", F.lit(False)))
+
+
 def hard_negatives(pool: DataFrame, tasks: DataFrame, chosen: DataFrame, size: int, seed: str) -> DataFrame:
     """The documents that share most words with a task: overlap of word sets, the best over tasks; ties by hash."""
     asked = tasks.select("task_id", F.explode(tx.sampler_words(F.col("text"))).alias("w"))
@@ -86,5 +95,23 @@ def routing_cases(catalog: DataFrame, negatives: list[str]) -> DataFrame:
     return own.unionByName(none)
 
 
+def write_sample(tasks: DataFrame, grades: DataFrame, pool: DataFrame, selected: DataFrame, path: str) -> DataFrame:
+    """Tasks, their grades of selected documents and the selected pool as tables below ``path``; the statistics go there too and are returned.
+
+    tasks: task_id, ...; grades: task_id, doc_id, relevance; pool: doc_id, ...; selected: doc_id. A selected document that the
+    pool lacks is an error; an existing sample is not written over.
+    """
+    absent = selected.join(pool.select("doc_id"), "doc_id", "left_anti").count()
+    if absent:
+        raise ValueError(f"{absent} selected documents are not in the pool")
+    kept = grades.join(tasks.select("task_id"), "task_id", "left_semi").join(selected, "doc_id", "left_semi")
+    for name, df in (("tasks", tasks), ("grades", kept), ("pool", pool.join(selected, "doc_id", "left_semi"))):
+        df.write.mode("errorifexists").parquet(f"{path}/{name}")
+    held = {name: pool.sparkSession.read.parquet(f"{path}/{name}") for name in ("tasks", "pool", "grades")}
+    statistics = sample_statistics(held["tasks"], held["pool"], held["grades"].where("relevance > 0").select("doc_id").distinct())
+    statistics.write.mode("errorifexists").json(f"{path}/statistics")
+    return statistics
+
+
 def sample_statistics(tasks: DataFrame, pool: DataFrame, required: DataFrame) -> DataFrame:
     return tasks.agg(F.count("*").alias("tasks")).join(pool.agg(F.count("*").alias("pool")), F.lit(True)).join(required.agg(F.count("*").alias("required")), F.lit(True))

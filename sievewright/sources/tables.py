@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,11 +64,14 @@ def normalize_dataset(spark: SparkSession, root: str, split: str = "test") -> tu
     return asked, pool(spark, f"{root}/pool"), qrels(spark, split_path(spark, root, "qrels", split))
 
 
-def document_tree(spark: SparkSession, root: str) -> DataFrame:
-    """(path, name, description, body) of the Markdown entries below a folder; the folder's name stands in for a missing one."""
+def document_tree(spark: SparkSession, root: str, depth: int = 8) -> DataFrame:
+    """(path, name, description, body) of the Markdown entries up to ``depth`` folders below a folder; the folder's name stands in for a missing one."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root, wholetext=True)
     files = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
     files = files.where(F.col("path").rlike(r"/(SKILL\.md|instructions\.md|commands/[^/]+\.md)$") & ~F.col("path").rlike(SKIPPED))
+    above = len([x for x in re.sub("^[a-z]+:/*", "", root).split("/") if x])
+    below = F.size(F.filter(F.split(F.regexp_replace("path", "^[a-z]+:/*", ""), "/"), lambda x: x != "")) - above
+    files = files.where(below - 1 <= depth)
     return files.select("path", F.coalesce(tx.front_matter(F.col("body"), "name"), F.element_at(F.split("path", "/"), -2)).alias("name"), F.coalesce(tx.front_matter(F.col("body"), "description"), F.lit("")).alias("description"), "body")
 
 
@@ -84,6 +88,30 @@ def publish(df: DataFrame, root: str, version: str) -> str:
     return f"{root}/version={version}"
 
 
+def published(spark: SparkSession, root: str) -> DataFrame:
+    """The last version (by name) that was written to its end; versions without _SUCCESS are not seen."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    names = sorted(f.getPath().getName() for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at) if f.isDirectory())
+    done = [n for n in names if n.startswith("version=") and exists(spark, f"{root}/{n}/_SUCCESS")]
+    if not done:
+        raise FileNotFoundError(f"no complete version in {root}")
+    return spark.read.parquet(f"{root}/{done[-1]}")
+
+
+def append_shards(vectors: DataFrame, root: str, fingerprint: str, key: str = "doc_id") -> None:
+    """Append vectors that are not stored yet under this run's fingerprint; an interrupted run is continued by calling it again."""
+    spark = vectors.sparkSession
+    if exists(spark, root):
+        vectors = unfinished(vectors, spark.read.parquet(root), fingerprint, key)
+    vectors.withColumn("fingerprint", F.lit(fingerprint)).write.mode("append").partitionBy("fingerprint").parquet(root)
+
+
+def shard_progress(stored: DataFrame, total: DataFrame, fingerprint: str) -> DataFrame:
+    """(records, total, dimensions): how far a run is."""
+    mine = stored.where(F.col("fingerprint") == fingerprint)
+    return mine.agg(F.count("*").alias("records"), F.max(F.size("embedding")).alias("dimensions")).join(total.agg(F.count("*").alias("total")), F.lit(True))
+
+
 def append_trace(trace: DataFrame, path: str, checkpoint: str):
     """Append-only sink of a stream; ends when all available input is written."""
     return trace.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
@@ -104,6 +132,6 @@ def route_stream(prompts: DataFrame, plan: Callable[[DataFrame], DataFrame], pat
     return prompts.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def unfinished(tasks: DataFrame, done: DataFrame, run_fingerprint: str) -> DataFrame:
+def unfinished(tasks: DataFrame, done: DataFrame, run_fingerprint: str, key: str = "task_id") -> DataFrame:
     """Tasks without a result of this run's fingerprint."""
-    return tasks.join(done.where(F.col("fingerprint") == run_fingerprint).select("task_id"), "task_id", "left_anti")
+    return tasks.join(done.where(F.col("fingerprint") == run_fingerprint).select(key), key, "left_anti")

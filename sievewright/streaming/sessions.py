@@ -1,7 +1,8 @@
 """Resident sets by session: one fold over events, run as a stream with keyed state or as a batch.
 
-Events have session, event (``prompt``, ``compact`` or ``end``), ts, event_id, selected (ids of a prompt, in order) and
-budget (of a compaction, in tokens). Clocks count prompts. The batch twin streams the sorted rows of a partition
+Events have session, event (``prompt``, ``compact`` or ``end``), ts, event_id, selected (ids of a prompt, in order), budget
+(of a compaction, in tokens) and offered (ids that a prompt may show as summaries, in order; the column may be missing).
+A summary is shown again after ``SUMMARY_APART`` prompts, never for a resident. Clocks count prompts. The batch twin streams the sorted rows of a partition
 through the same fold, so its memory is one session's state, however long the session is.
 """
 
@@ -15,9 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-SLOTS, REFRESH_AFTER, WORKING_SET = 16, 20, 10
-EVENTS = "session long, event string, ts timestamp, event_id long, selected array<long>, budget int"
-TRACE = "session long, event_id long, event string, now int, injected array<long>, deduplicated array<long>, refreshed array<long>, restored array<long>, evicted array<long>"
+SLOTS, REFRESH_AFTER, WORKING_SET, SUMMARY_APART = 16, 20, 10, 10
+EVENTS = "session long, event string, ts timestamp, event_id long, selected array<long>, budget int, offered array<long>"
+TRACE = "session long, event_id long, event string, now int, injected array<long>, deduplicated array<long>, refreshed array<long>, restored array<long>, evicted array<long>, summarized array<long>"
 POLICIES = ("adaptive", "lru", "lfu", "index")
 
 
@@ -70,17 +71,18 @@ class AdaptiveLists:
 
 
 class Session:
-    """State of one session; entries: item -> first use, last use, last injection, hits, insertion."""
+    """State of one session; entries: item -> first use, last use, last injection, hits, insertion; shown: item -> clock of its last summary."""
 
     def __init__(self, text: str | None = None, policy: str = "adaptive", tokens: Callable[[int], int] | None = None, keep_ghosts: bool = False):
         held = json.loads(text) if text else {}
         self.now, self.seq = held.get("now", 0), held.get("seq", 0)
         self.entries = {int(k): v for k, v in held.get("entries", {}).items()}
         self.lists = AdaptiveLists(held.get("lists"), keep_ghosts=keep_ghosts)
+        self.shown = {int(k): v for k, v in held.get("shown", {}).items()}
         self.policy, self.tokens = policy, tokens or (lambda item: 1)
 
     def dump(self) -> str:
-        return json.dumps({"now": self.now, "seq": self.seq, "entries": self.entries, "lists": self.lists.dump()})
+        return json.dumps({"now": self.now, "seq": self.seq, "entries": self.entries, "lists": self.lists.dump(), "shown": self.shown})
 
     def restore_order(self) -> list[int]:
         def key(item: int) -> tuple:
@@ -90,8 +92,8 @@ class Session:
 
         return sorted(self.entries, key=key)
 
-    def step(self, event: str, selected: list[int] | None, budget: int | None) -> dict[str, list[int]]:
-        out: dict[str, list[int]] = {k: [] for k in ("injected", "deduplicated", "refreshed", "restored", "evicted")}
+    def step(self, event: str, selected: list[int] | None, budget: int | None, offered: list[int] | None = None) -> dict[str, list[int]]:
+        out: dict[str, list[int]] = {k: [] for k in ("injected", "deduplicated", "refreshed", "restored", "evicted", "summarized")}
         if event == "prompt":
             self.now += 1
             for item in dict.fromkeys(selected or []):
@@ -107,6 +109,10 @@ class Session:
                         out["refreshed"].append(item)
                         held[2] = self.now
                 self.lists.use(item)
+            for item in dict.fromkeys(offered or []):
+                if item not in self.entries and self.now - self.shown.get(item, -SUMMARY_APART) >= SUMMARY_APART:
+                    self.shown[item] = self.now
+                    out["summarized"].append(item)
         elif event == "compact":
             used = 0
             for item in self.restore_order():
@@ -125,13 +131,18 @@ class Session:
 def _trace(rows: pd.DataFrame, session: Session) -> tuple[list[tuple], Session]:
     out = []
     for r in rows.itertuples(index=False):
-        done = session.step(r.event, None if r.selected is None else [int(x) for x in r.selected], None if pd.isna(r.budget) else int(r.budget))
+        done = session.step(r.event, None if r.selected is None else [int(x) for x in r.selected], None if pd.isna(r.budget) else int(r.budget), None if r.offered is None else [int(x) for x in r.offered])
         out.append((r.session, r.event_id, r.event, session.now, *done.values()))
         if r.event == "end":
             session = Session(None, session.policy, session.tokens, session.lists.keep_ghosts)
     return out, session
 
 
+def _events(events: DataFrame) -> DataFrame:
+    offered = F.col("offered") if "offered" in events.columns else F.lit(None)
+    return events.select("session", "event", "ts", "event_id", "selected", "budget", offered.cast("array<long>").alias("offered"))
+
+
 _NAMES = [c.split()[0] for c in TRACE.split(", ")]
 
 
@@ -147,7 +158,7 @@ def trace_batch(events: DataFrame, policy: str = "adaptive", tokens: Callable[[i
                 out += more
             yield pd.DataFrame(out, columns=_NAMES)
 
-    held = events.select("session", "event", "ts", "event_id", "selected", "budget")
+    held = _events(events)
     return held.repartition("session").sortWithinPartitions("session", "ts", "event_id").mapInPandas(run, TRACE)
 
 
@@ -166,7 +177,7 @@ def trace_stream(events: DataFrame, policy: str = "adaptive", tokens: Callable[[
         yield pd.DataFrame(out, columns=_NAMES)
 
     timeout = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
-    return events.groupBy("session").applyInPandasWithState(run, TRACE, "held string", "append", timeout)
+    return _events(events).groupBy("session").applyInPandasWithState(run, TRACE, "held string", "append", timeout)
 
 
 def residents(trace: DataFrame) -> DataFrame:
