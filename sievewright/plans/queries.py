@@ -86,10 +86,26 @@ _LOG = "log AS (SELECT user_id AS session, (props->>'$.k')::BIGINT AS item, ts,
 _FEAT = "feat AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY first_use, item) AS insert_seq FROM (SELECT session, item, min(now) AS first_use, max(now) AS last_use, count(*) - 1 AS hits FROM log GROUP BY ALL))"
 _QRELS = "qrels AS (SELECT lang AS task_id, doc_id, (CASE WHEN toxic = 1 THEN 0 ELSE 1 + 2 * quality END)::DOUBLE AS relevance FROM labels JOIN documents USING (doc_id))"
 _PAGES = "pg AS (SELECT page_id, regexp_replace(regexp_extract(url, '://([^?#]*)', 1), '/+$', '') AS path, regexp_extract(url, '://[^/]*/([a-z]+)/', 1) AS provider, regexp_extract(url, '/(\\d+)[^/]*/?$', 1) AS name FROM pages)"
-_VEC = """qv AS (SELECT vec_id AS prompt_id, embedding AS e FROM embeddings WHERE vec_id % 10 = 0),
-pv AS (SELECT vec_id AS doc_id, label, embedding AS e FROM embeddings WHERE vec_id % 10 <> 0),
-sims AS (SELECT prompt_id, doc_id, round(list_dot_product(qv.e::DOUBLE[], pv.e::DOUBLE[]) / (sqrt(list_dot_product(qv.e::DOUBLE[], qv.e::DOUBLE[])) * sqrt(list_dot_product(pv.e::DOUBLE[], pv.e::DOUBLE[]))), 9) AS score FROM qv, pv),
+_SIM = "round(list_dot_product(qv.e::DOUBLE[], pv.e::DOUBLE[]) / (sqrt(list_dot_product(qv.e::DOUBLE[], qv.e::DOUBLE[])) * sqrt(list_dot_product(pv.e::DOUBLE[], pv.e::DOUBLE[]))), 9)"
+_SEM = f"""pv AS (SELECT vec_id AS doc_id, label, embedding AS e FROM embeddings),
+sims AS (SELECT prompt_id, doc_id, {_SIM} AS score FROM qv, pv),
 sem AS (SELECT prompt_id, doc_id, score, row_number() OVER (PARTITION BY prompt_id ORDER BY score DESC, doc_id) AS rank FROM sims)"""
+_VEC = f"qv AS (SELECT vec_id AS prompt_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0), {_SEM}"
+_PVEC = f"qv AS (SELECT prompt_id, embedding AS e FROM prompts JOIN embeddings ON vec_id = conv_id WHERE prompt_id % 100 = 0), {_SEM}"
+_TITLED = _CAT.replace("'-') AS name FROM d0", "'-') AS old, regexp_extract(description, '^\\p{L}+ \\p{L}+', 0) AS name FROM d0").replace(_est("name || ' ' || description"), _est("old || ' ' || description"))
+_EXACT = """said AS (SELECT prompt_id, trim(regexp_replace(lower(prompt), '[\\s_-]+', ' ', 'g')) AS p FROM prompts),
+own AS (SELECT doc_id, trim(regexp_replace(lower(name), '[\\s_-]+', ' ', 'g')) AS n FROM cat WHERE length(regexp_replace(name, '[-_\\s]', '', 'g')) >= 4),
+met AS (SELECT prompt_id, doc_id FROM said JOIN own ON contains(p, n) AND regexp_matches(p, '(^|[^\\p{L}\\p{N}])' || n || '($|[^\\p{L}\\p{N}])')),
+ex AS (SELECT prompt_id, min(doc_id) AS doc_id FROM met GROUP BY prompt_id HAVING count(*) = 1)"""
+_DECIDE = """clear AS (SELECT s.prompt_id FROM sem s LEFT JOIN sem n ON n.prompt_id = s.prompt_id AND n.rank = 2 WHERE s.rank = 1 AND s.score >= 0.42 AND NOT coalesce(s.score - n.score < 0.04, false)),
+u AS (SELECT prompt_id, doc_id, 1.0::DOUBLE AS score, 1 AS rank, 'exact' AS method, 0 AS p FROM ex
+      UNION ALL SELECT prompt_id, doc_id, score, rank, 'semantic', 1 FROM sem WHERE rank <= 2 AND score >= 0.42 AND prompt_id IN (SELECT * FROM clear)
+      UNION ALL SELECT prompt_id, doc_id, least(0.6, score / 20), rank, 'lexical', 2 FROM lextop WHERE rank <= 2 AND prompt_id NOT IN (SELECT prompt_id FROM qv)),
+decided AS (SELECT prompt_id, doc_id, score, rank, method FROM u WHERE p = (SELECT min(p) FROM u v WHERE v.prompt_id = u.prompt_id))"""
+_BLEND = f"""bs AS (SELECT prompt_id, doc_id, least(1, score / 20) AS score FROM lextop WHERE rank <= 5),
+bo AS (SELECT bs.*, list_distinct({_tok("prompt")}) AS q, list_distinct({_tok("body")}) AS d FROM bs JOIN prompts USING (prompt_id) JOIN cat USING (doc_id)),
+bl AS (SELECT prompt_id, doc_id, round(greatest(score, 0.85::DOUBLE * score + 0.15::DOUBLE * CASE WHEN len(q) > 0 THEN len(list_intersect(q, d)) / len(q)::DOUBLE ELSE 0 END), 9) AS score FROM bo),
+blend AS (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY score DESC, doc_id) AS rank FROM bl)"""
 _BASKETS = "b AS (SELECT DISTINCT l_orderkey AS basket, l_suppkey AS item FROM lineitem)"
 
 
@@ -101,18 +117,36 @@ def lexical_top2(spark, sf_dir):
     return retrieval.lexical_top(_prompts(spark, sf_dir), _catalog(spark, sf_dir), 2)
 
 
+def _vector_list(spark, sf_dir, top):
+    """Every vector whose id is divisible by 100 against all vectors, itself included."""
+    v = _read(spark, sf_dir, "embeddings")
+    return retrieval.vector_top(v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("prompt_id"), "embedding"), v.select(F.col("vec_id").alias("doc_id"), "embedding"), top)
+
+
+def _vectored(spark, sf_dir):
+    """Prompts; those whose id is divisible by 100 (first turns) have their conversation's vector."""
+    v = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("conv_id"), "embedding")
+    prompts = _prompts(spark, sf_dir)
+    return prompts.join(v, "conv_id", "left").withColumn("embedding", F.when(F.col("prompt_id") % 100 == 0, F.col("embedding")))
+
+
+def _pool(spark, sf_dir):
+    return _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+
+
+def _titled(spark, sf_dir):
+    """The catalog, named by the first two words of the descriptions."""
+    return _catalog(spark, sf_dir).withColumn("name", F.regexp_extract("description", r"^\p{L}+ \p{L}+", 0))
+
+
 @query(f"WITH {_VEC} SELECT prompt_id, doc_id, round(score, 6) AS score, rank FROM sem WHERE rank <= 10")
 def vector_top10(spark, sf_dir):
-    v = _read(spark, sf_dir, "embeddings")
-    found = retrieval.vector_top(v.where("vec_id % 10 = 0").select(F.col("vec_id").alias("prompt_id"), "embedding"), v.where("vec_id % 10 <> 0").select(F.col("vec_id").alias("doc_id"), "embedding"), 10)
-    return found.withColumn("score", F.round("score", 6))
+    return _vector_list(spark, sf_dir, 10).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {_VEC} SELECT s.prompt_id, s.doc_id, round(s.score, 6) AS score, coalesce(s.score - n.score < 0.04, false) AS ambiguous FROM sem s LEFT JOIN sem n ON n.prompt_id = s.prompt_id AND n.rank = 2 WHERE s.rank = 1")
 def semantic_ambiguity(spark, sf_dir):
-    v = _read(spark, sf_dir, "embeddings")
-    found = retrieval.vector_top(v.where("vec_id % 10 = 0").select(F.col("vec_id").alias("prompt_id"), "embedding"), v.where("vec_id % 10 <> 0").select(F.col("vec_id").alias("doc_id"), "embedding"), 2)
-    return retrieval.ambiguity(found).select("prompt_id", "doc_id", F.round("score", 6).alias("score"), "ambiguous")
+    return retrieval.ambiguity(_vector_list(spark, sf_dir, 2)).select("prompt_id", "doc_id", F.round("score", 6).alias("score"), "ambiguous")
 
 
 @query(f"WITH {_VEC} SELECT prompt_id, pv.label::BIGINT AS doc_id, greatest(0, max(round(score, 6))) AS score FROM sem JOIN pv USING (doc_id) WHERE rank <= 10 GROUP BY ALL")
@@ -124,27 +158,32 @@ def chunk_max_pool(spark, sf_dir):
     return retrieval.max_pool(found)
 
 
-@query(f"""WITH {_CAT}, {_PROMPTS}, {_LEX},
-    second AS (SELECT prompt_id, doc_id, row_number() OVER (PARTITION BY prompt_id ORDER BY length(matches) DESC, doc_id) AS rank FROM lextop WHERE rank <= 5),
-    both_lists AS (SELECT prompt_id, doc_id, rank FROM lextop WHERE rank <= 5 UNION ALL SELECT prompt_id, doc_id, rank FROM second),
+@query(f"""WITH {_CAT}, {_PROMPTS}, {_LEX}, {_PVEC},
+    both_lists AS (SELECT prompt_id, doc_id, rank FROM lextop WHERE rank <= 5 UNION ALL SELECT prompt_id, doc_id, rank FROM sem WHERE rank <= 5),
     rrf AS (SELECT prompt_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM both_lists GROUP BY ALL)
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY score DESC, doc_id) AS rank FROM rrf) WHERE rank <= 3""")
 def rank_fusion(spark, sf_dir):
-    """The lexical list fused with the same candidates ordered by how much they matched."""
-    one = retrieval.lexical_top(_prompts(spark, sf_dir), _catalog(spark, sf_dir), 5)
-    two = retrieval.ranked(one.drop("rank"), 5, F.desc(F.length("matches")), F.col("doc_id"))
-    return retrieval.fuse(one, two, top=3)
+    """The lexical list fused with the vector list of the prompts that have a vector."""
+    prompts = _vectored(spark, sf_dir)
+    asked = prompts.where("embedding is not null").select("prompt_id", "embedding")
+    return retrieval.fuse(retrieval.lexical_top(prompts, _catalog(spark, sf_dir), 5), retrieval.vector_top(asked, _pool(spark, sf_dir), 5), top=3)
+
 
+def _scaled(spark, sf_dir):
+    return retrieval.lexical_top(_prompts(spark, sf_dir), _catalog(spark, sf_dir), 5).select("prompt_id", "doc_id", F.least(F.lit(1.0), F.col("score") / 20).alias("score"))
 
-@query(f"""WITH {_CAT}, {_PROMPTS}, {_LEX},
-    s AS (SELECT prompt_id, doc_id, least(1, score / 20) AS score FROM lextop WHERE rank <= 5),
-    o AS (SELECT s.*, list_distinct({_tok("prompt")}) AS q, list_distinct({_tok("body")}) AS d FROM s JOIN prompts USING (prompt_id) JOIN cat USING (doc_id)),
-    bl AS (SELECT prompt_id, doc_id, round(greatest(score, 0.85::DOUBLE * score + 0.15::DOUBLE * CASE WHEN len(q) > 0 THEN len(list_intersect(q, d)) / len(q)::DOUBLE ELSE 0 END), 9) AS score FROM o)
-    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY score DESC, doc_id) AS rank FROM bl) WHERE rank <= 2""")
+
+@query(f"WITH {_CAT}, {_PROMPTS}, {_LEX}, {_BLEND} SELECT prompt_id, doc_id, score, rank FROM blend WHERE rank <= 2")
 def rerank_blend(spark, sf_dir):
-    prompts, cat = _prompts(spark, sf_dir), _catalog(spark, sf_dir)
-    held = retrieval.lexical_top(prompts, cat, 5).select("prompt_id", "doc_id", F.least(F.lit(1.0), F.col("score") / 20).alias("score"))
-    return retrieval.rerank_blend(held, prompts.select("prompt_id", "prompt"), cat, 2)
+    return retrieval.rerank(_scaled(spark, sf_dir), _prompts(spark, sf_dir), _catalog(spark, sf_dir), 2, "similarity")
+
+
+@query(f"""WITH {_CAT}, {_PROMPTS}, {_LEX}, {_BLEND}, plain AS (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY score DESC, doc_id) AS rank FROM bs)
+    SELECT 'none' AS mode, prompt_id, doc_id, score, rank FROM plain WHERE rank <= 3 UNION ALL SELECT 'similarity', prompt_id, doc_id, score, rank FROM blend WHERE rank <= 3""")
+def rerank_modes(spark, sf_dir):
+    held, prompts, cat = _scaled(spark, sf_dir), _prompts(spark, sf_dir), _catalog(spark, sf_dir)
+    one = lambda mode: retrieval.rerank(held, prompts, cat, 3, mode).select(F.lit(mode).alias("mode"), "prompt_id", "doc_id", "score", "rank")
+    return one("none").unionByName(one("similarity"))
 
 
 @query("""WITH
@@ -160,22 +199,28 @@ def exact_name(spark, sf_dir):
     return retrieval.exact_name_matches(said, c.select(F.col("c_custkey").alias("doc_id"), F.col("c_name").alias("name")), max_entries=1 << 40)
 
 
-@query(f"""WITH {_VEC},
-    asked AS (SELECT DISTINCT prompt_id FROM sem),
-    ex AS (SELECT vec_id AS prompt_id, vec_id AS doc_id FROM embeddings WHERE vec_id % 70 = 0),
-    clear AS (SELECT s.prompt_id FROM sem s LEFT JOIN sem n ON n.prompt_id = s.prompt_id AND n.rank = 2 WHERE s.rank = 1 AND s.score >= 0.42 AND NOT coalesce(s.score - n.score < 0.04, false)),
-    lexi AS (SELECT vec_id AS prompt_id, vec_id + 1 AS doc_id, 7.0::DOUBLE AS score FROM embeddings WHERE vec_id % 5 = 0),
-    u AS (SELECT prompt_id, doc_id, 1.0::DOUBLE AS score, 1 AS rank, 'exact' AS method, 0 AS p FROM ex
-          UNION ALL SELECT prompt_id, doc_id, score, rank, 'semantic', 1 FROM sem WHERE rank <= 5 AND score >= 0.42 AND prompt_id IN (SELECT * FROM clear)
-          UNION ALL SELECT prompt_id, doc_id, least(0.6, score / 20), 1, 'lexical', 2 FROM lexi WHERE prompt_id NOT IN (SELECT * FROM asked))
-    SELECT prompt_id, doc_id, round(score, 6) AS score, rank, method FROM u WHERE p = (SELECT min(p) FROM u v WHERE v.prompt_id = u.prompt_id)""")
+_HYBRID = f"{_TITLED}, {_PROMPTS}, {_LEX}, {_PVEC}, {_EXACT}, {_DECIDE}"
+
+
+@query(f"WITH {_HYBRID} SELECT prompt_id, doc_id, round(score, 6) AS score, rank, method FROM decided")
 def hybrid_decision(spark, sf_dir):
-    v = _read(spark, sf_dir, "embeddings")
-    asked = v.where("vec_id % 10 = 0").select(F.col("vec_id").alias("prompt_id"), "embedding")
-    semantic = retrieval.vector_top(asked, v.where("vec_id % 10 <> 0").select(F.col("vec_id").alias("doc_id"), "embedding"), 5)
-    exact = v.where("vec_id % 70 = 0").select(F.col("vec_id").alias("prompt_id"), F.col("vec_id").alias("doc_id"))
-    lexical = v.where("vec_id % 5 = 0").select(F.col("vec_id").alias("prompt_id"), (F.col("vec_id") + 1).alias("doc_id"), F.lit(7.0).alias("score"), F.lit(1).alias("rank"))
-    return retrieval.decide(exact, semantic, lexical, asked.select("prompt_id")).select("prompt_id", "doc_id", F.round("score", 6).alias("score"), "rank", "method")
+    """Exact names, vectors and terms of the same prompts."""
+    found = retrieval.route(_vectored(spark, sf_dir), _titled(spark, sf_dir), 2, "hybrid", _pool(spark, sf_dir), max_entries=1 << 40)
+    return found.select("prompt_id", "doc_id", F.round("score", 6).alias("score"), "rank", "method")
+
+
+@query(f"""WITH {_TITLED}, {_PROMPTS}, {_LEX}, {_PVEC}, ex AS (SELECT 0 AS prompt_id, 0 AS doc_id WHERE false), {_DECIDE}
+    SELECT 'lexical' AS mode, prompt_id, doc_id, score, rank, 'lexical' AS method FROM lextop WHERE rank <= 2 UNION ALL SELECT 'semantic', prompt_id, doc_id, round(score, 6), rank, method FROM decided""")
+def routing_modes(spark, sf_dir):
+    prompts, cat, pool = _vectored(spark, sf_dir), _titled(spark, sf_dir), _pool(spark, sf_dir)
+    one = lambda mode: retrieval.route(prompts, cat, 2, mode, pool).select(F.lit(mode).alias("mode"), "prompt_id", "doc_id", F.round("score", 6).alias("score"), "rank", "method")
+    return one("lexical").unionByName(one("semantic"))
+
+
+@query(f"WITH {_HYBRID}, d AS (SELECT DISTINCT prompt_id, method FROM decided) SELECT coalesce(method, 'none') AS method, count(*) AS n FROM prompts LEFT JOIN d USING (prompt_id) GROUP BY 1")
+def method_histogram(spark, sf_dir):
+    methods = hybrid_decision(spark, sf_dir).groupBy("prompt_id").agg(F.collect_set("method").alias("methods"))
+    return metrics.method_histogram(_prompts(spark, sf_dir).select("prompt_id").join(methods, "prompt_id", "left"))
 
 
 @query(f"""WITH {_CAT}, {_PROMPTS}, {_LEX} SELECT prompt_id, doc_id FROM lextop WHERE rank <= 5 AND (prompt_id, doc_id) NOT IN (SELECT (prompt_id, doc_id) FROM lextop WHERE rank <= 2)""")
@@ -200,7 +245,8 @@ def text_measures(spark, sf_dir):
 
 
 @query(f"""WITH {_CAT} SELECT doc_id, sha256(body) AS content_hash, {_rank("s", "doc_id")} AS stable_rank, 300 + ('0x' || substr(sha256(doc_id::VARCHAR), 1, 8))::BIGINT % 2201 AS cost,
-    substr(sha256(lower(trim(body))), 1, 32) AS prompt_key, sha256(provider || chr(0) || doc_id::VARCHAR) AS session_key,
+    substr(sha256(lower(trim(body))), 1, 32) AS prompt_key, sha256(provider || chr(0) || doc_id::VARCHAR) AS session_key, ('0x' || substr({_rank("s", "doc_id")}, 1, 12))::BIGINT AS stable_rank48,
+    provider || '-' || coalesce(nullif(substr(regexp_replace(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 1, 48), ''), 'skill') || '-' || substr(sha256(source), 1, 10) AS stable_id,
     coalesce(nullif(substr(regexp_replace(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 1, 48), ''), 'skill') AS slug,
     name || ' | ' || substr(description, 1, 500) || ' | ' || substr(body, 1, 8000) AS document_text, 'query: ' || substr(body, 1, 2000) AS query_text,
     replace(replace(replace(replace(name || '<&">', '&', '&amp;'), '"', '&quot;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM cat""")
@@ -208,7 +254,7 @@ def text_keys(spark, sf_dir):
     name, body = F.col("name"), F.col("body")
     return _catalog(spark, sf_dir).select(
         "doc_id", tx.content_hash(body).alias("content_hash"), tx.stable_rank("s", F.col("doc_id")).alias("stable_rank"), tx.synthetic_cost(F.col("doc_id")).alias("cost"),
-        tx.prompt_key(body).alias("prompt_key"), tx.session_key(F.col("provider"), F.col("doc_id")).alias("session_key"), tx.slug(name).alias("slug"),
+        tx.stable_rank48("s", F.col("doc_id")).alias("stable_rank48"), tx.stable_id(F.col("provider"), name, F.col("source")).alias("stable_id"), tx.prompt_key(body).alias("prompt_key"), tx.session_key(F.col("provider"), F.col("doc_id")).alias("session_key"), tx.slug(name).alias("slug"),
         tx.document_text(name, F.col("description"), body).alias("document_text"), tx.query_text(body, "query: ").alias("query_text"), tx.escape_attr(F.concat(name, F.lit('<&">'))).alias("escaped"),
     )
 
@@ -222,11 +268,19 @@ def answer_overlap(spark, sf_dir):
     return held.select("conv_id", "turn", F.round(tx.overlap(tx.tokenize(F.col("text")), tx.tokenize(F.col("answer"))), 9).alias("body_overlap"), F.round(tx.overlap(tx.sampler_words(F.col("text")), tx.sampler_words(F.col("answer"))), 9).alias("query_overlap"))
 
 
-@query(f"""WITH {_CAT}, p AS (SELECT unnest(['de', 'en', 'es', 'fr', 'all']) AS provider)
+@query(f"""WITH {_CAT}, p AS (SELECT unnest(['de', 'en', 'all', 'other']) AS provider), named AS (SELECT * REPLACE (CASE WHEN provider IN ('de', 'en', 'all') THEN provider ELSE 'other' END AS provider) FROM cat)
     SELECT p.provider, count(doc_id) AS n, coalesce(sum(activation_tokens), 0)::BIGINT AS catalog_tokens, coalesce(sum(full_tokens), 0)::BIGINT AS full_tokens,
-    arg_max(doc_id, full_tokens * 1000000000 - doc_id) AS largest_doc, max(full_tokens) AS largest_tokens FROM p LEFT JOIN cat USING (provider) GROUP BY p.provider""")
+    arg_max(doc_id, full_tokens * 1000000000 - doc_id) AS largest_doc, max(full_tokens) AS largest_tokens FROM p LEFT JOIN named USING (provider) GROUP BY p.provider""")
 def provider_profile(spark, sf_dir):
-    return catalog.provider_profile(_catalog(spark, sf_dir), ["de", "en", "es", "fr", "all"])
+    return catalog.provider_profile(_catalog(spark, sf_dir), ["de", "en", "all"])
+
+
+@query(f"""WITH {_CAT}, l AS (SELECT * FROM cat WHERE doc_id IN (SELECT min(doc_id) FROM cat GROUP BY sha256(body)))
+    SELECT count(*) AS files, sum(activation_tokens)::BIGINT AS files_catalog_tokens, sum(full_tokens)::BIGINT AS files_full_tokens, (SELECT count(*) FROM l) AS entries,
+    (SELECT sum(activation_tokens) FROM l)::BIGINT AS entries_catalog_tokens, (SELECT sum(full_tokens) FROM l)::BIGINT AS entries_full_tokens FROM cat""")
+def catalog_profile(spark, sf_dir):
+    cat = _catalog(spark, sf_dir)
+    return catalog.catalog_profile(cat, cat.join(catalog.content_dedup(cat).select(F.col("kept").alias("doc_id")), "doc_id", "left_semi"))
 
 
 @query(f"""WITH l AS (SELECT doc_id, unnest({_lines("text")}) AS line FROM documents), c AS (SELECT line, count(*) AS n FROM l GROUP BY line HAVING count(*) > 1)
@@ -244,8 +298,7 @@ def repeated_tokens(spark, sf_dir):
 
 @query(f"WITH {_PAGES} SELECT page_id, path, provider, name FROM (SELECT *, row_number() OVER (PARTITION BY provider, name ORDER BY length(path), path, page_id) AS n FROM pg) WHERE n = 1")
 def logical_dedup(spark, sf_dir):
-    rank = F.when(catalog.is_mirror(F.col("path")), catalog.MIRROR_PENALTY).otherwise(0) + F.length("path")
-    return catalog.best_of(_pages(spark, sf_dir), ["provider", "name"], [rank, F.col("path"), F.col("page_id")])
+    return catalog.logical_dedup(_pages(spark, sf_dir), "page_id")
 
 
 @query("SELECT sha256(text) AS content_hash, min(doc_id) AS kept, count(*) AS copies FROM documents GROUP BY 1")
@@ -290,9 +343,32 @@ def longest_root(spark, sf_dir):
     return catalog.longest_root(pages.select("path").distinct(), roots)
 
 
-@query(f"""WITH topics AS (SELECT unnest([{", ".join(f"'{t}'" for t in tx.TOPICS)}]) AS topic), {_CAT} SELECT topic, count(*) AS n FROM topics JOIN cat ON contains(lower(name || ' ' || description), topic) GROUP BY topic HAVING count(*) >= 2""")
+_KNOWN = ["tion", "keit", "ción", "ment", "the ", "never said"]
+
+
+@query(f"""WITH topics AS (SELECT unnest([{", ".join(f"'{t}'" for t in _KNOWN)}]) AS topic), {_CAT} SELECT topic, count(*) AS n FROM topics JOIN cat ON contains(lower(name || ' ' || description), topic) GROUP BY topic HAVING count(*) >= 2""")
 def topic_overlap(spark, sf_dir):
-    return catalog.topic_overlap(_catalog(spark, sf_dir))
+    """Topics that occur in the invented prose, in place of the usual ones."""
+    return catalog.topic_overlap(_catalog(spark, sf_dir), _KNOWN)
+
+
+@query(f"""WITH {_CAT}, {_PROMPTS}, skills AS (SELECT name, CASE WHEN doc_id % 9 = 0 THEN '' ELSE description END AS description FROM cat),
+    sess AS (SELECT DISTINCT conv_id AS session FROM conversations UNION ALL SELECT conv_id FROM conversations WHERE conv_id % 7 = 0 AND turn = 0 UNION ALL SELECT 1000000 + min(conv_id) FROM conversations),
+    t AS (SELECT conv_id AS session, turn AS position, CASE WHEN turn = 4 THEN ' ' ELSE prompt END AS prompt, ['none-' || turn::VARCHAR, (SELECT min(name) FROM skills)] AS names FROM prompts)
+    SELECT coalesce(name, '') AS subject, 'skill-without-text' AS rule FROM skills WHERE trim(coalesce(name, '')) = '' OR trim(description) = ''
+    UNION ALL SELECT name, 'repeated-skill' FROM skills GROUP BY name HAVING count(*) > 1
+    UNION ALL SELECT session::VARCHAR, 'repeated-session' FROM sess GROUP BY session HAVING count(*) > 1
+    UNION ALL SELECT DISTINCT session::VARCHAR, 'session-without-turns' FROM sess WHERE session NOT IN (SELECT session FROM t)
+    UNION ALL SELECT session::VARCHAR || '/' || position::VARCHAR, 'turn-without-prompt' FROM t WHERE trim(prompt) = ''
+    UNION ALL SELECT DISTINCT session::VARCHAR || '/' || position::VARCHAR, 'unknown-reference' FROM (SELECT session, position, unnest(names) AS n FROM t) WHERE n NOT IN (SELECT name FROM skills)""")
+def suite_violations(spark, sf_dir):
+    """A suite of the catalog and the conversations with faults put in by rule."""
+    skills = _catalog(spark, sf_dir).select("name", F.when(F.col("doc_id") % 9 == 0, "").otherwise(F.col("description")).alias("description"))
+    c, prompts = _read(spark, sf_dir, "conversations"), _prompts(spark, sf_dir)
+    suite = c.select(F.col("conv_id").alias("session")).distinct().union(c.where("conv_id % 7 = 0 and turn = 0").select("conv_id")).union(c.agg(F.min("conv_id") + 1_000_000))
+    first = skills.agg(F.min("name").alias("first"))
+    turns = prompts.join(F.broadcast(first), F.lit(True)).select(F.col("conv_id").alias("session"), F.col("turn").alias("position"), F.when(F.col("turn") == 4, " ").otherwise(F.col("prompt")).alias("prompt"), F.array(F.concat(F.lit("none-"), F.col("turn").cast("string")), F.col("first")).alias("names"))
+    return catalog.suite_violations(skills, suite, turns)
 
 
 @query(f"""WITH {_PROMPTS}, c AS (SELECT prompt_id AS case_id, prompt, [conv_id, conv_id + turn] AS expected, [turn, 999999999] AS forbidden FROM prompts)
@@ -305,7 +381,11 @@ def case_violations(spark, sf_dir):
     return catalog.case_violations(cases, _catalog(spark, sf_dir))
 
 
-@query()
+_LANES = ", ".join(f"coalesce(sum(('0x' || substr(h, {8 * i + 1}, 8))::BIGINT), 0)::VARCHAR" for i in range(8))
+
+
+@query(f"""WITH r AS (SELECT sha256(concat_ws(chr(31), coalesce(doc_id::VARCHAR, chr(0)), coalesce(text, chr(0)), coalesce(lang, chr(0)), coalesce(source, chr(0)), coalesce(n_chars::VARCHAR, chr(0)))) AS h FROM documents)
+    SELECT sha256(concat_ws(',', {_LANES}, count(*)::VARCHAR)) AS fingerprint FROM r""")
 def catalog_fingerprint(spark, sf_dir):
     return catalog.fingerprint(_read(spark, sf_dir, "documents"))
 
@@ -370,16 +450,61 @@ def context_assembly(spark, sf_dir):
     return budget.assemble(retrieval.lexical_top(_prompts(spark, sf_dir), cat, 2), cat)
 
 
-@query()
+_SECTIONS = f"""{_CAT}, p AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(description), '[\\p{{L}}\\p{{N}}]+')) AS q, regexp_replace(body, '\\n(\\S)', chr(10) || '## \\1', 'g') AS body FROM cat),
+    x AS (SELECT *, string_split(body, chr(10) || '## ') AS parts, {_est("body")} AS tokens FROM p),
+    y AS (SELECT doc_id, q, parts, {_est("parts[1]")} AS spent FROM x WHERE tokens > 200 AND len(parts) > 2),
+    z0 AS (SELECT doc_id, q, spent, parts, len(parts) - 1 AS n, unnest(range(1, len(parts))) AS pos FROM y),
+    z AS (SELECT doc_id, q, spent, n, pos, '## ' || parts[pos + 1] AS section FROM z0),
+    w AS MATERIALIZED (SELECT doc_id, pos, spent, n, {_est("section")} AS tokens, row_number() OVER (PARTITION BY doc_id ORDER BY len(list_intersect(q, list_distinct(regexp_extract_all(lower(section), '[\\p{{L}}\\p{{N}}]+')))) DESC, pos) AS place FROM z),
+    f AS (SELECT doc_id, 0::BIGINT AS place, spent::BIGINT AS used, []::BIGINT[] AS kept FROM y
+          UNION ALL SELECT w.doc_id, w.place, CASE WHEN f.used + w.tokens <= 150 OR len(f.kept) < 1 THEN f.used + w.tokens ELSE f.used END, CASE WHEN f.used + w.tokens <= 150 OR len(f.kept) < 1 THEN list_append(f.kept, w.pos) ELSE f.kept END
+          FROM f JOIN w ON w.doc_id = f.doc_id AND w.place = f.place + 1),
+    e AS (SELECT doc_id, arg_max(kept, place) AS kept FROM f GROUP BY doc_id),
+    cutted AS (SELECT doc_id, len(parts) - 1 - len(kept) AS dropped, array_to_string(list_concat([parts[1]], list_transform(list_sort(kept), lambda k: '## ' || parts[k + 1])), chr(10)) || chr(10) || chr(10) || '[' || (len(parts) - 1 - len(kept))::VARCHAR || ' sections omitted]' AS body FROM e JOIN y USING (doc_id))"""
+
+
+@query(f"WITH RECURSIVE {_SECTIONS} SELECT p.doc_id, coalesce(CASE WHEN dropped > 0 THEN c.body END, p.body) AS body, coalesce(dropped, 0) AS dropped FROM p LEFT JOIN cutted c USING (doc_id)")
 def section_selection(spark, sf_dir):
-    """Lines as sections; a document's first words as its prompt."""
-    held = _catalog(spark, sf_dir).where("full_tokens > 2000").select("doc_id", F.col("description").alias("prompt"), "body")
-    return budget.select_sections(held, 1200, "\n")
+    """Each line of a text as a section (a heading mark is put before it); a document's description as its prompt."""
+    body = F.regexp_replace("body", "\n(\\S)", "\n## $1")
+    return budget.select_sections(_catalog(spark, sf_dir).select("doc_id", F.col("description").alias("prompt"), body.alias("body")), 150, 200)
+
+
+_TIER = f"""{_CAT}, {_PROMPTS}, {_LEX}, ranked5 AS (SELECT prompt_id, conv_id, turn // 2 AS now, doc_id, score, rank FROM lextop JOIN prompts USING (prompt_id) WHERE rank <= 5),
+    loads AS (SELECT prompt_id, conv_id, now, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY rank) AS place FROM ranked5 WHERE score >= 10) WHERE place <= 2),
+    res AS (SELECT DISTINCT r.prompt_id, l.doc_id FROM (SELECT DISTINCT prompt_id, conv_id, now FROM ranked5) r JOIN loads l ON l.conv_id = r.conv_id AND l.now < r.now),
+    offered AS (SELECT * FROM ranked5 WHERE (prompt_id, doc_id) NOT IN (SELECT (prompt_id, doc_id) FROM loads)),
+    shown AS (SELECT r.prompt_id, o.doc_id, max(o.now) AS last FROM (SELECT DISTINCT prompt_id, conv_id, now FROM ranked5) r JOIN offered o ON o.conv_id = r.conv_id AND o.now < r.now GROUP BY ALL),
+    bk AS (SELECT DISTINCT conv_id AS basket, doc_id AS item FROM loads), pr AS (SELECT x.item AS a, y.item AS b, count(*) AS support FROM bk x JOIN bk y ON x.basket = y.basket AND x.item <> y.item GROUP BY ALL HAVING count(*) >= 2),
+    cn AS (SELECT item AS a, count(*) AS n FROM bk GROUP BY 1), cf AS (SELECT a, pr.b, support, round(support / n::DOUBLE, 9) AS confidence FROM pr JOIN cn USING (a)),
+    ru AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY confidence DESC, support DESC, b) AS rank FROM cf) WHERE rank <= 2),
+    pc AS (SELECT prompt_id, ru.b AS doc_id, max(confidence) AS confidence, max(support) AS support FROM loads JOIN ru ON ru.a = loads.doc_id GROUP BY ALL),
+    pd AS (SELECT prompt_id, doc_id, row_number() OVER (PARTITION BY prompt_id ORDER BY confidence DESC, support DESC, doc_id) AS rank FROM pc WHERE (prompt_id, doc_id) NOT IN (SELECT (prompt_id, doc_id) FROM loads)),
+    alls AS (SELECT prompt_id, now, doc_id, 0 AS tier, rank FROM offered UNION ALL SELECT prompt_id, (SELECT any_value(now) FROM ranked5 r WHERE r.prompt_id = pd.prompt_id), doc_id, 1, rank FROM pd WHERE rank <= 2 AND (prompt_id, doc_id) NOT IN (SELECT (prompt_id, doc_id) FROM offered)),
+    kept AS (SELECT prompt_id, doc_id, tier, rank, activation_tokens AS tokens FROM alls LEFT JOIN shown USING (prompt_id, doc_id) JOIN cat USING (doc_id) WHERE (prompt_id, doc_id) NOT IN (SELECT (prompt_id, doc_id) FROM res) AND (last IS NULL OR now - last >= 2)),
+    pl AS (SELECT *, row_number() OVER w AS place, sum(tokens) OVER w AS running FROM kept WINDOW w AS (PARTITION BY prompt_id ORDER BY tier, rank, doc_id))"""
+
+
+@query(f"WITH {_TIER} SELECT prompt_id, doc_id, place, running::BIGINT AS running FROM pl WHERE running <= 400")
+def summary_tier(spark, sf_dir):
+    """Each prompt of a conversation: what lower ranks and earlier conversations offer besides what loads or has loaded; the clock counts prompts."""
+    cat = _catalog(spark, sf_dir)
+    clock = _prompts(spark, sf_dir).select("prompt_id", "conv_id", F.floor(F.col("turn") / 2).cast("long").alias("now"))
+    ranked = retrieval.lexical_top(_prompts(spark, sf_dir), cat, 5).join(clock, "prompt_id")
+    place = F.row_number().over(W.partitionBy("prompt_id").orderBy("rank"))
+    loads = ranked.where("score >= 10").withColumn("place", place).where("place <= 2").select("prompt_id", "conv_id", "now", "doc_id")
+    asked = ranked.select("prompt_id", "conv_id", F.col("now").alias("at")).distinct()
+    before = lambda df: asked.join(df.select("conv_id", "now", "doc_id"), "conv_id").where("now < at")
+    residents = before(loads).select("prompt_id", "doc_id").distinct()
+    shown = before(ranked.join(loads, ["prompt_id", "doc_id"], "left_anti")).groupBy("prompt_id", "doc_id").agg(F.max("now").alias("last"))
+    rules = sessions.associations(loads.select(F.col("conv_id").alias("basket"), F.col("doc_id").alias("item")))
+    predicted = sessions.predict_next(loads.select(F.col("prompt_id").alias("key"), F.col("doc_id").alias("item")), rules).select(F.col("key").alias("prompt_id"), F.col("item").alias("doc_id"), "rank")
+    return budget.summary_tier(ranked, residents, shown, predicted, cat.select("doc_id", F.col("activation_tokens").alias("tokens")), load_floor=10, apart=2)
 
 
 # Metrics ----------------------------------------------------------------------------------------------------------------
 
-_PRED = "pred AS (SELECT lang AS task_id, doc_id, row_number() OVER (PARTITION BY lang ORDER BY sha256('m' || chr(0) || doc_id::VARCHAR)) AS rank FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))"
+_PRED = "pred AS (SELECT * FROM (SELECT lang AS task_id, doc_id, row_number() OVER (PARTITION BY lang ORDER BY sha256('m' || chr(0) || doc_id::VARCHAR)) AS rank FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)) WHERE rank <= 60)"
 _RM = """gold AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY relevance DESC) AS place FROM qrels WHERE relevance > 0),
     ideal AS (SELECT task_id, count(*) AS gold, sum((pow(2, relevance) - 1) / log2(place + 1)) FILTER (WHERE place <= 50) AS ideal FROM gold GROUP BY task_id),
     hit AS (SELECT task_id, rank, relevance, row_number() OVER (PARTITION BY task_id ORDER BY rank) AS seen FROM pred JOIN gold USING (task_id, doc_id)),
@@ -388,8 +513,9 @@ _RM = """gold AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY rel
 
 
 def _predictions(spark, sf_dir):
+    """A list of sixty labelled documents for each language."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("task_id")).join(_read(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
-    return docs.withColumn("rank", F.row_number().over(W.partitionBy("task_id").orderBy(tx.stable_rank("m", F.col("doc_id")))))
+    return docs.withColumn("rank", F.row_number().over(W.partitionBy("task_id").orderBy(tx.stable_rank("m", F.col("doc_id"))))).where("rank <= 60")
 
 
 @query(f"WITH {_PRED}, {_QRELS}, {_RM} SELECT * FROM m")
@@ -402,7 +528,10 @@ def macro_metrics(spark, sf_dir):
     return metrics.macro_mean(metrics.ranked_metrics(_predictions(spark, sf_dir), _qrels(spark, sf_dir), 50))
 
 
-_CASES = "cases AS (SELECT session, event_id, event_type AS tag, CASE WHEN value > 50 THEN [item, item + 1] ELSE [] END AS selected, CASE WHEN event_id % 4 = 0 THEN [] ELSE [item + event_id % 2] END AS expected, [item + 1] AS forbidden FROM log)"
+_CASES = f"""{_CAT}, {_PROMPTS}, {_LEX}, {_BLEND}, tox AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1),
+    sel AS (SELECT prompt_id, list(doc_id ORDER BY rank) AS selected FROM lextop WHERE rank <= 2 AND score >= 10 GROUP BY 1), expd AS (SELECT prompt_id, list(doc_id ORDER BY rank) AS expected FROM blend WHERE rank <= 1 AND score >= 0.5 GROUP BY 1),
+    forb AS (SELECT prompt_id, list(doc_id ORDER BY rank) AS forbidden FROM lextop WHERE rank <= 5 AND doc_id IN (SELECT * FROM tox) GROUP BY 1),
+    cases AS (SELECT prompt_id, conv_id, turn, turn::VARCHAR AS tag, coalesce(selected, []) AS selected, coalesce(expected, []) AS expected, coalesce(forbidden, []) AS forbidden FROM prompts LEFT JOIN sel USING (prompt_id) LEFT JOIN expd USING (prompt_id) LEFT JOIN forb USING (prompt_id))"""
 _CM = """c AS (SELECT *, len(list_intersect(selected, expected)) AS tp, list_position(list_transform(selected, lambda x: list_contains(expected, x)), true) AS place FROM cases),
     k AS (SELECT *, len(selected) - tp AS fp, len(expected) - tp AS fn FROM c)"""
 _CMS = """count(*) AS cases, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, sum((fp = 0 AND fn = 0)::INT)::BIGINT AS exact, sum(len(list_intersect(selected, forbidden)))::BIGINT AS forbidden,
@@ -411,27 +540,60 @@ _CMS = """count(*) AS cases, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(f
     round(avg(CASE WHEN place > 0 THEN 1 / place::DOUBLE ELSE 0 END) FILTER (WHERE len(expected) > 0), 9) AS mrr, round(avg((len(selected) = 0)::INT) FILTER (WHERE len(expected) = 0), 9) AS abstained"""
 
 
+def _lists(ranked, name):
+    return ranked.groupBy("prompt_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]).alias(name))
+
+
+def _toxic(spark, sf_dir):
+    return _read(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
+
+
+def _with_lists(prompts, **lists):
+    """Every prompt with its lists; without rows, an empty one."""
+    for name, ranked in lists.items():
+        prompts = prompts.join(_lists(ranked, name), "prompt_id", "left").withColumn(name, F.coalesce(name, F.array().cast("array<long>")))
+    return prompts
+
+
 def _cases(spark, sf_dir):
-    none = F.array().cast("array<long>")
-    return _log(spark, sf_dir).select(
-        "session", "event_id", F.col("event_type").alias("tag"), F.when(F.col("value") > 50, F.array("item", F.col("item") + 1)).otherwise(none).alias("selected"),
-        F.when(F.col("event_id") % 4 == 0, none).otherwise(F.array(F.col("item") + F.col("event_id") % 2)).alias("expected"), F.array(F.col("item") + 1).alias("forbidden"),
-    )
+    """Prompts as cases: the lexical selection against the best after reranking; toxic candidates are forbidden."""
+    prompts, cat = _prompts(spark, sf_dir), _catalog(spark, sf_dir)
+    found = retrieval.lexical_top(prompts, cat, 5)
+    best = rerank_blend(spark, sf_dir).where("rank <= 1 and score >= 0.5")
+    bad = found.join(_toxic(spark, sf_dir), "doc_id", "left_semi")
+    return _with_lists(prompts.drop("prompt").withColumn("tag", F.col("turn").cast("string")), selected=found.where("rank <= 2 and score >= 10"), expected=best, forbidden=bad)
 
 
-@query(f"WITH {_LOG}, {_CASES}, {_CM} SELECT {_CMS} FROM k")
+@query(f"WITH {_CASES}, {_CM} SELECT {_CMS} FROM k")
 def case_totals(spark, sf_dir):
     return metrics.case_metrics(_cases(spark, sf_dir))
 
 
-@query(f"WITH {_LOG}, {_CASES}, {_CM} SELECT tag, {_CMS} FROM k GROUP BY tag")
+@query(f"WITH {_CASES}, {_CM} SELECT tag, {_CMS} FROM k GROUP BY tag")
 def case_totals_by_tag(spark, sf_dir):
     return metrics.case_metrics(_cases(spark, sf_dir), "tag")
 
 
-@query(f"WITH {_LOG}, s AS (SELECT item, count(DISTINCT event_type) = 1 AS same FROM log GROUP BY item) SELECT round(avg(same::INT), 9) AS stability FROM s")
+@query(f"""WITH {_CASES}, runs AS (SELECT prompt_id, selected FROM cases UNION ALL SELECT prompt_id, coalesce(r, []) FROM prompts LEFT JOIN (SELECT prompt_id, list(doc_id ORDER BY rank) AS r FROM blend WHERE rank <= 2 GROUP BY 1) USING (prompt_id)),
+    st AS (SELECT prompt_id, count(DISTINCT selected) = 1 AS same FROM runs GROUP BY 1) SELECT round(avg(same::INT), 9) AS stability FROM st""")
 def selection_stability(spark, sf_dir):
-    return metrics.stability(_log(spark, sf_dir).select(F.col("item").alias("case_id"), F.array("event_type").alias("selected")))
+    """Two runs of each case: the lexical selection and the reranked one."""
+    one = _cases(spark, sf_dir).select(F.col("prompt_id").alias("case_id"), "selected")
+    two = _with_lists(_prompts(spark, sf_dir), selected=rerank_blend(spark, sf_dir)).select(F.col("prompt_id").alias("case_id"), "selected")
+    return metrics.stability(one.union(two))
+
+
+@query(f"""WITH {_CASES} SELECT count(*) AS cases, (SELECT sum(activation_tokens) FROM cat)::BIGINT AS tokens_before, 0 AS tokens_after, (SELECT sum(activation_tokens) FROM cat)::BIGINT AS tokens_avoided,
+    (SELECT sum(full_tokens) FROM (SELECT unnest(selected) AS doc_id FROM cases) JOIN cat USING (doc_id))::BIGINT AS selected_tokens, round((SELECT sum(full_tokens) FROM (SELECT unnest(selected) AS doc_id FROM cases) JOIN cat USING (doc_id)) / count(*)::DOUBLE, 9) AS mean_selected_tokens FROM cases""")
+def selection_accounting(spark, sf_dir):
+    return metrics.selection_accounting(_cases(spark, sf_dir).select(F.col("prompt_id").alias("case_id"), F.col("selected").alias("doc_ids")), _catalog(spark, sf_dir))
+
+
+@query(f"WITH {_CASES} SELECT prompt_id AS task_id FROM cases WHERE len(expected) > 0 AND turn <> 2")
+def scorable_tasks(spark, sf_dir):
+    """Prompts as tasks; those of the second turn count as generic."""
+    gold = _cases(spark, sf_dir).select(F.col("prompt_id").alias("task_id"), F.when(F.col("turn") == 2, "generic_only").alias("task_type"), F.col("expected").alias("doc_ids"))
+    return metrics.scorable_tasks(gold).select("task_id")
 
 
 @query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, max(value) AS longest FROM events GROUP BY event_type")
@@ -439,29 +601,35 @@ def latency_percentiles(spark, sf_dir):
     return metrics.latency(_read(spark, sf_dir, "events"), "value", "event_type")
 
 
-@query(f"WITH {_LOG}, x AS (SELECT unnest(CASE WHEN value > 50 THEN [event_type, 'again'] ELSE ['none'] END) AS method FROM log) SELECT method, count(*) AS n FROM x GROUP BY method")
-def method_histogram(spark, sf_dir):
-    return metrics.method_histogram(_log(spark, sf_dir).select(F.when(F.col("value") > 50, F.array("event_type", F.lit("again"))).otherwise(F.array().cast("array<string>")).alias("methods")))
-
-
-@query(f"""WITH {_CAT}, {_PRED}, l AS (SELECT sum(full_tokens)::BIGINT AS loaded_tokens FROM pred JOIN cat USING (doc_id) WHERE rank <= 2), t AS (SELECT sum(full_tokens)::BIGINT AS catalog_tokens FROM cat)
-    SELECT catalog_tokens, loaded_tokens, catalog_tokens * 4 AS baseline_tokens, catalog_tokens * 4 - loaded_tokens AS avoided_tokens, round(1 - loaded_tokens / (catalog_tokens * 4)::DOUBLE, 9) AS reduction FROM t, l""")
+@query(f"""WITH {_CAT}, {_PRED}, l AS (SELECT sum(full_tokens)::BIGINT AS loaded_tokens FROM pred JOIN cat USING (doc_id) WHERE rank <= 2), t AS (SELECT sum(activation_tokens)::BIGINT AS catalog_tokens FROM cat), q AS (SELECT count(DISTINCT task_id) AS queries FROM pred)
+    SELECT queries, catalog_tokens, loaded_tokens, catalog_tokens * queries AS baseline_tokens, catalog_tokens * queries - loaded_tokens AS avoided_tokens, round(1 - loaded_tokens / (catalog_tokens * queries)::DOUBLE, 9) AS reduction FROM t, l, q""")
 def token_accounting(spark, sf_dir):
-    return metrics.token_accounting(_predictions(spark, sf_dir), _catalog(spark, sf_dir), 4)
+    return metrics.token_accounting(_predictions(spark, sf_dir), _catalog(spark, sf_dir))
 
 
-_TURNS = "turns AS (SELECT CASE WHEN event_id % 5 = 0 THEN [] ELSE [item, item % 7 + 1000] END AS expected, [item, item + 500] AS resident, CASE WHEN event_id % 3 = 0 THEN [item] ELSE [] END AS injected, [item % 7 + 1000] AS summarized, [item + 500] AS forbidden, value AS tokens FROM log)"
+_TURNS = f"""{_CASES}, loadn AS (SELECT prompt_id, conv_id, turn, doc_id, l.rank AS rank FROM lextop l JOIN prompts USING (prompt_id) WHERE l.rank <= 2 AND l.score >= 10),
+    resd AS (SELECT prompt_id, list(doc_id) AS resident FROM (SELECT DISTINCT p.prompt_id, l.doc_id FROM prompts p JOIN loadn l ON l.conv_id = p.conv_id AND l.turn <= p.turn) GROUP BY 1),
+    earl AS (SELECT DISTINCT p.prompt_id, l.doc_id FROM prompts p JOIN loadn l ON l.conv_id = p.conv_id AND l.turn < p.turn),
+    inj AS (SELECT prompt_id, list(doc_id) AS injected FROM loadn WHERE (prompt_id, doc_id) NOT IN (SELECT (prompt_id, doc_id) FROM earl) GROUP BY 1),
+    summ AS (SELECT prompt_id, list(doc_id) AS summarized FROM lextop WHERE rank BETWEEN 3 AND 5 GROUP BY 1), retr AS (SELECT prompt_id, list(doc_id) AS retrieved FROM lextop WHERE rank <= 5 GROUP BY 1),
+    cost AS (SELECT prompt_id, sum(full_tokens)::DOUBLE AS tokens FROM loadn JOIN cat USING (doc_id) GROUP BY 1),
+    turns AS (SELECT prompt_id, c.conv_id, c.turn, expected, forbidden, coalesce(resident, []) AS resident, coalesce(injected, []) AS injected, coalesce(summarized, []) AS summarized, coalesce(retrieved, []) AS retrieved, coalesce(tokens, 0) AS tokens
+              FROM cases c LEFT JOIN resd USING (prompt_id) LEFT JOIN inj USING (prompt_id) LEFT JOIN summ USING (prompt_id) LEFT JOIN retr USING (prompt_id) LEFT JOIN cost USING (prompt_id))"""
 
 
 def _turns(spark, sf_dir):
-    none, item, n = F.array().cast("array<long>"), F.col("item"), F.col("event_id")
-    return _log(spark, sf_dir).select(
-        F.when(n % 5 == 0, none).otherwise(F.array(item, item % 7 + 1000)).alias("expected"), F.array(item, item + 500).alias("resident"), F.when(n % 3 == 0, F.array(item)).otherwise(none).alias("injected"),
-        F.array(item % 7 + 1000).alias("summarized"), F.array(item + 500).alias("forbidden"), F.col("value").alias("tokens"),
-    )
-
-
-@query(f"""WITH {_LOG}, {_TURNS}, x AS (SELECT *, len(list_intersect(expected, resident)) AS held, list_filter(expected, lambda e: NOT list_contains(resident, e)) AS missed FROM turns)
+    """The turns of conversations: what the lexical selection loaded so far is resident."""
+    prompts, cat = _prompts(spark, sf_dir).drop("prompt"), _catalog(spark, sf_dir)
+    found = retrieval.lexical_top(_prompts(spark, sf_dir), cat, 5).join(prompts, "prompt_id")
+    loads = found.where("rank <= 2 and score >= 10").select("prompt_id", "conv_id", "turn", "doc_id", "rank")
+    so_far = prompts.join(loads.select("conv_id", F.col("turn").alias("then"), "doc_id"), "conv_id").where("then <= turn").groupBy("prompt_id", "doc_id", "turn").agg(F.min("then").alias("rank"))
+    fresh = loads.join(so_far.where("rank < turn").select("prompt_id", "doc_id"), ["prompt_id", "doc_id"], "left_anti")
+    cost = loads.join(cat.select("doc_id", "full_tokens"), "doc_id").groupBy("prompt_id").agg(F.sum("full_tokens").cast("double").alias("tokens"))
+    held = _with_lists(_cases(spark, sf_dir), resident=so_far, injected=fresh, summarized=found.where("rank >= 3"), retrieved=found)
+    return held.join(cost, "prompt_id", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0.0)))
+
+
+@query(f"""WITH {_TURNS}, x AS (SELECT *, len(list_intersect(expected, resident)) AS held, list_filter(expected, lambda e: NOT list_contains(resident, e)) AS missed FROM turns)
     SELECT round(avg(2 * held / (len(expected) + len(resident))::DOUBLE) FILTER (WHERE len(expected) > 0), 9) AS f1, round(avg(held / len(expected)::DOUBLE) FILTER (WHERE len(expected) > 0), 9) AS coverage,
     round(avg((held - len(list_intersect(list_intersect(expected, resident), injected))) / held::DOUBLE) FILTER (WHERE held > 0), 9) AS reuse, round(avg(len(list_intersect(missed, summarized)) / len(missed)::DOUBLE) FILTER (WHERE len(missed) > 0), 9) AS recovery,
     round(avg((len(injected) = 0)::INT) FILTER (WHERE len(expected) = 0), 9) AS abstained, round(avg(tokens), 9) AS tokens, sum(len(list_intersect(resident, forbidden)))::BIGINT AS forbidden FROM x""")
@@ -469,9 +637,17 @@ def turn_metrics(spark, sf_dir):
     return metrics.turn_metrics(_turns(spark, sf_dir))
 
 
-@query(f"WITH {_LOG}, {_TURNS} SELECT round(avg(len(list_intersect(expected, resident)) / len(expected)::DOUBLE) FILTER (WHERE len(expected) > 0), 9) AS retention, count(*) FILTER (WHERE len(expected) > 0) AS compactions FROM turns")
+@query(f"""WITH {_TURNS}, o AS (SELECT *, len(list_intersect(expected, retrieved)) / len(expected)::DOUBLE AS got, len(list_intersect(expected, resident)) / len(expected)::DOUBLE AS stay FROM turns WHERE len(expected) > 0)
+    SELECT round(avg(got), 9) AS gold_retrieved, round(avg(stay), 9) AS gold_resident, round(avg(stay) FILTER (WHERE got > 0), 9) AS memory_retention FROM o""")
+def retention_given_retrieval(spark, sf_dir):
+    return metrics.retention_given_retrieval(_turns(spark, sf_dir))
+
+
+@query(f"WITH {_TURNS}, ends AS (SELECT * FROM turns WHERE (conv_id, turn) IN (SELECT (conv_id, max(turn)) FROM prompts GROUP BY conv_id)) SELECT round(avg(len(list_intersect(expected, resident)) / len(expected)::DOUBLE) FILTER (WHERE len(expected) > 0), 9) AS retention, count(*) FILTER (WHERE len(expected) > 0) AS compactions FROM ends")
 def compaction_retention(spark, sf_dir):
-    return metrics.retention(_turns(spark, sf_dir).select("expected", F.col("resident").alias("restored")))
+    """Conversations are compacted after their last prompt."""
+    ends = _prompts(spark, sf_dir).groupBy("conv_id").agg(F.max("turn").alias("turn"))
+    return metrics.retention(_turns(spark, sf_dir).join(ends, ["conv_id", "turn"], "left_semi").select("expected", F.col("resident").alias("restored")))
 
 
 @query("""WITH d AS (SELECT user_id AS run_id, count(*) AS completed, max(ts) AS last FROM events WHERE event_type <> 'signup' GROUP BY 1), t AS (SELECT user_id AS run_id, count(*) AS total FROM events GROUP BY 1), now AS (SELECT max(ts) AS now FROM events)
@@ -482,7 +658,7 @@ def run_progress(spark, sf_dir):
     return metrics.progress(e.where("event_type <> 'signup'"), e.groupBy("run_id").agg(F.count("*").alias("total")), F.lit(now), 86_400)
 
 
-@query(f"WITH {_LOG}, {_CASES}, {_CM}, {_PRED}, {_QRELS}, {_RM} SELECT 'routing' AS family, cases, precision, NULL AS ndcg FROM (SELECT {_CMS} FROM k) UNION ALL SELECT 'ranking', count(*), round(avg(precision), 9), round(avg(ndcg), 9) FROM m")
+@query(f"WITH {_CASES}, {_CM.replace("c AS (", "cc AS (").replace("FROM c)", "FROM cc)")}, {_PRED}, {_QRELS}, {_RM} SELECT 'routing' AS family, cases, precision, NULL AS ndcg FROM (SELECT {_CMS} FROM k) UNION ALL SELECT 'ranking', count(*), round(avg(precision), 9), round(avg(ndcg), 9) FROM m")
 def report_union(spark, sf_dir):
     routing = case_totals(spark, sf_dir).select(F.lit("routing").alias("family"), "cases", "precision")
     return metrics.side_by_side(routing, macro_metrics(spark, sf_dir).select(F.lit("ranking").alias("family"), "cases", "precision", "ndcg"))
@@ -558,11 +734,24 @@ def next_items(spark, sf_dir):
 
 
 def session_events(spark, sf_dir) -> DataFrame:
-    """Events as prompts that select one item; a signup also compacts to a budget of eight."""
+    """Events as prompts that select one item and offer the next; a signup also compacts to a budget of eight, every fiftieth event ends its session."""
     log = _log(spark, sf_dir)
-    asked = log.select("session", F.lit("prompt").alias("event"), "ts", (F.col("event_id") * 2).alias("event_id"), F.array("item").alias("selected"), F.lit(None).cast("int").alias("budget"))
-    packed = log.where("event_type = 'signup'").select("session", F.lit("compact").alias("event"), "ts", (F.col("event_id") * 2 + 1).alias("event_id"), F.lit(None).cast("array<long>").alias("selected"), F.lit(8).alias("budget"))
-    return asked.unionByName(packed)
+    asked = log.select("session", F.lit("prompt").alias("event"), "ts", (F.col("event_id") * 2).alias("event_id"), F.array("item").alias("selected"), F.lit(None).cast("int").alias("budget"), F.array(F.col("item") + 1).alias("offered"))
+    packed = log.where("event_type = 'signup'").select("session", F.lit("compact").alias("event"), "ts", (F.col("event_id") * 2 + 1).alias("event_id"), F.lit(None).cast("array<long>").alias("selected"), F.lit(8).alias("budget"), F.lit(None).cast("array<long>").alias("offered"))
+    ended = log.where("event_id % 50 = 49").select("session", F.lit("end").alias("event"), "ts", (F.col("event_id") * 2 + 1).alias("event_id"), F.lit(None).cast("array<long>").alias("selected"), F.lit(None).cast("int").alias("budget"), F.lit(None).cast("array<long>").alias("offered"))
+    return asked.unionByName(packed.where("(event_id - 1) / 2 % 50 <> 49")).unionByName(ended)
+
+
+@query(f"""WITH RECURSIVE {_LOG}, {_FEAT}, w AS (SELECT *, last_use > max(last_use) OVER (PARTITION BY session) - 10 AS near FROM feat),
+    c AS MATERIALIZED (SELECT session AS prompt_id, item AS doc_id, 300 + ('0x' || substr(sha256(item::VARCHAR), 1, 8))::BIGINT % 2201 AS tokens, row_number() OVER (PARTITION BY session ORDER BY near DESC, last_use DESC, insert_seq) AS rank FROM w),
+    f AS (SELECT prompt_id, 0::BIGINT AS rank, NULL::BIGINT AS doc_id, 0::BIGINT AS tokens, NULL::VARCHAR AS reason, 0::BIGINT AS used FROM (SELECT DISTINCT prompt_id FROM c)
+          UNION ALL SELECT c.prompt_id, c.rank, c.doc_id, c.tokens, CASE WHEN f.used + c.tokens > 8000 THEN 'token-budget' END, CASE WHEN f.used + c.tokens > 8000 THEN f.used ELSE f.used + c.tokens END FROM f JOIN c ON c.prompt_id = f.prompt_id AND c.rank = f.rank + 1 WHERE f.used < 8000)
+    SELECT prompt_id AS session, doc_id AS item, rank AS place, reason IS NULL AS restored FROM f WHERE rank > 0""")
+def compaction_snapshot(spark, sf_dir):
+    """What a compaction after each session's last event would restore: the working set first, admitted under a budget."""
+    held = sessions.restore_order(sessions.access_features(_log(spark, sf_dir)), "lru")
+    item = held.select(F.col("session").alias("prompt_id"), F.col("place").alias("rank"), F.col("item").alias("doc_id"), tx.synthetic_cost(F.col("item")).alias("tokens"), F.col("item").cast("string").alias("content_hash"))
+    return budget.greedy_budget(item, 8000).select(F.col("prompt_id").alias("session"), F.col("doc_id").alias("item"), F.col("rank").cast("long").alias("place"), F.col("reason").isNull().alias("restored"))
 
 
 @query()
@@ -596,6 +785,12 @@ def hash_fill(spark, sf_dir):
     return sampling.hash_fill(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels").select("doc_id"), 100, "fill")
 
 
+@query(f"""WITH ch AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1), o AS (SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ch) ORDER BY ('0x' || substr({_rank('pool', 'doc_id')}, 1, 12))::BIGINT, doc_id LIMIT (SELECT greatest(0, 150 - count(*)) FROM ch))
+    SELECT doc_id, true AS chosen FROM ch UNION ALL SELECT doc_id, false FROM o""")
+def fill_pool(spark, sf_dir):
+    return sampling.fill_pool(_toxic(spark, sf_dir), _read(spark, sf_dir, "documents").select("doc_id"), 150, "pool")
+
+
 @query(f"""WITH {_CAT}, a AS (SELECT item_id, unnest({_wrd("text")}) AS w FROM benchmark), n AS (SELECT item_id, count(*) AS n FROM a GROUP BY 1),
     m AS (SELECT doc_id, unnest({_wrd("name || ' ' || description")}) AS w FROM cat WHERE doc_id NOT IN (SELECT doc_id FROM labels)),
     s AS (SELECT doc_id, item_id, count(*) AS k FROM m JOIN a USING (w) GROUP BY ALL)
@@ -645,9 +840,13 @@ def document_chunks(spark, sf_dir):
     return vectors.chunks(_catalog(spark, sf_dir)).drop("text")
 
 
-@query("SELECT vec_id, len(embedding) AS size FROM embeddings WHERE len(embedding) <> 64 OR list_any_value(list_filter(embedding, lambda v: NOT isfinite(v))) IS NOT NULL")
+@query("""WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN embedding[1:63] WHEN vec_id % 11 = 0 THEN list_transform(embedding, lambda v: CASE WHEN v > 0 THEN 'nan'::FLOAT ELSE v END) ELSE embedding END AS embedding FROM embeddings)
+    SELECT vec_id, len(embedding) AS size FROM e WHERE len(embedding) <> 64 OR len(list_filter(embedding, lambda v: NOT isfinite(v))) > 0""")
 def invalid_vectors(spark, sf_dir):
-    return vectors.invalid_vectors(_read(spark, sf_dir, "embeddings"), 64).select("vec_id", F.size("embedding").alias("size"))
+    """Every seventh vector is cut short, every eleventh has values that are no numbers."""
+    e = F.col("embedding")
+    spoilt = F.when(F.col("vec_id") % 7 == 0, F.slice(e, 1, 63)).when(F.col("vec_id") % 11 == 0, F.transform(e, lambda v: F.when(v > 0, F.lit(float("nan")).cast("float")).otherwise(v))).otherwise(e)
+    return vectors.invalid_vectors(_read(spark, sf_dir, "embeddings").withColumn("embedding", spoilt), 64).select("vec_id", F.size("embedding").alias("size"))
 
 
 @query("""WITH k AS (SELECT doc_id, sha256(text) AS key FROM documents), c AS (SELECT key FROM k WHERE doc_id % 3 = 0 UNION SELECT sha256(text) FROM benchmark)
