@@ -82,8 +82,66 @@ def test_newest_notes_within_budget(spark):
 def test_sections(spark):
     body = "head\n## pdf tables\n" + "word " * 200 + "\n## other\n" + "thing " * 200
     df = spark.createDataFrame([(1, "pdf tables please", body), (2, "x", "no section")], "doc_id long, prompt string, body string")
-    got = {r.doc_id: r for r in budget.select_sections(df, 400).collect()}
+    got = {r.doc_id: r for r in budget.select_sections(df, 400, 100).collect()}
     assert "pdf tables" in got[1].body and "## other" not in got[1].body and got[1].dropped == 1 and got[2].body == "no section"
+    assert budget.select_sections(df, 400).where("dropped > 0").isEmpty()  # under the gate
+
+
+def test_sections_keep_front_matter_and_pay_for_it(spark):
+    head = "---\nname: x\n---\n"
+    first = "  ## one\n" + "alpha " * 40
+    rows = [(1, "beta", f"{head}{first}\n## two\n" + "beta " * 40 + "\n## three\ngamma"), (2, "beta", first + "\n## two\n" + "beta " * 40)]
+    got = {r.doc_id: r for r in budget.select_sections(spark.createDataFrame(rows, "doc_id long, prompt string, body string"), 60, 10).collect()}
+    assert got[1].body == head + "## two\n" + "beta " * 40 + "\n\n[2 sections omitted]" and got[1].dropped == 2
+    assert got[2].body.startswith("## two") and got[2].dropped == 1  # a body may begin with a heading
+
+
+def test_summary_tier(spark):
+    ranked = spark.createDataFrame([(1, 20, d, s, r) for d, s, r in ((10, 9.0, 1), (11, 9.0, 2), (12, 9.0, 3), (13, 1.0, 4), (14, 1.0, 5))], "prompt_id long, now long, doc_id long, score double, rank int")
+    pairs = lambda rows, more="": spark.createDataFrame(rows, "prompt_id long, doc_id long" + more)
+    costs = spark.createDataFrame([(d, 100) for d in range(10, 20)], "doc_id long, tokens long")
+    got = budget.summary_tier(ranked, pairs([(1, 13)]), pairs([(1, 12, 5), (1, 14, 15)], ", last long"), pairs([(1, 15, 1), (1, 12, 2), (1, 13, 3)], ", rank int"), costs, budget=250)
+    assert [(r.doc_id, r.place, r.running) for r in got.orderBy("place").collect()] == [(12, 1, 100), (15, 2, 200)]
+
+
+def test_token_accounting_refuses_unknown_documents(spark):
+    cat = spark.createDataFrame([(1, 10, 100), (2, 10, 200)], "doc_id long, activation_tokens long, full_tokens long")
+    good = spark.createDataFrame([("a", 1, 1), ("b", 2, 1)], "task_id string, doc_id long, rank int")
+    assert tuple(metrics.token_accounting(good, cat).first()) == (2, 20, 300, 40, -260, -6.5)
+    with pytest.raises(Exception, match="1 predicted documents"):
+        metrics.token_accounting(good.union(spark.createDataFrame([("c", 9, 1)], good.schema)), cat).collect()
+
+
+def test_targeted_variants_and_pools(spark):
+    ids = ["distractor/dist_gold_0a", "distractor/dist_gold_1b", "distractor/dist_other_2c", "plain"]
+    got = sampling.targeted_variants(spark.createDataFrame([(i,) for i in ids], "doc_id string"), spark.createDataFrame([("gold",)], "doc_id string"), 5, "s")
+    assert {r.doc_id for r in got.collect()} == set(ids[:2])
+    pool = sampling.fill_pool(spark.range(3).select(F.col("id").alias("doc_id")), spark.range(50).select(F.col("id").alias("doc_id")), 10, "s").collect()
+    assert len(pool) == 10 and {r.doc_id for r in pool if r.chosen} == {0, 1, 2} and len({r.doc_id for r in pool}) == 10
+
+
+def test_sample_writer(spark, tmp_path):
+    tasks = spark.createDataFrame([("a",), ("b",)], "task_id string")
+    grades = spark.createDataFrame([("a", 1, 3.0), ("a", 2, 0.0), ("b", 9, 1.0), ("c", 1, 1.0)], "task_id string, doc_id long, relevance double")
+    pool, chosen = spark.range(6).select(F.col("id").alias("doc_id")), spark.range(1, 4).select(F.col("id").alias("doc_id"))
+    stats = sampling.write_sample(tasks, grades, pool, chosen, str(tmp_path / "s")).first()
+    assert (stats.tasks, stats.pool, stats.required) == (2, 3, 1)
+    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "s/grades")).select("task_id", "doc_id").collect()} == {("a", 1), ("a", 2)}
+    with pytest.raises(ValueError):
+        sampling.write_sample(tasks, grades, pool, spark.range(4, 9).select(F.col("id").alias("doc_id")), str(tmp_path / "t"))
+
+
+def test_dedup_of_ranked_lists_and_cache_keys(spark):
+    rows = [(1, 10, 5.0, "h"), (1, 11, 6.0, "h"), (1, 12, 1.0, "g"), (2, 10, 5.0, "h")]
+    got = retrieval.dedup_by_content(spark.createDataFrame(rows, "prompt_id long, doc_id long, score double, content_hash string")).collect()
+    assert {(r.prompt_id, r.doc_id) for r in got} == {(1, 11), (1, 12), (2, 10)}
+    keys = vectors.cache_key(spark.createDataFrame([(1, 0, "h"), (1, 1, "h"), (2, 0, "h")], "doc_id long, position int, content_hash string"), "m").collect()
+    assert len({r.key for r in keys}) == 3
+
+
+def test_staleness(spark):
+    df = spark.createDataFrame([(1, 5), (2, 0), (3, 10)], "item long, last_injected long")
+    assert [r.item for r in sessions.stale(df, F.lit(25)).collect()] == [1]
 
 
 def test_ranked_metrics(spark):
@@ -151,6 +209,57 @@ def test_json_lines_and_layouts(spark, tmp_path):
     assert tasks.count() == 1 and {tuple(r) for r in gold.collect()} == {("t", "a", 1.0), ("t", "b", 2.0)}
 
 
+def test_flat_layout_and_splits(spark, tmp_path):
+    for kind, line in (("queries", '{"id": "q", "query": "do"}'), ("qrels", '{"query_id": "q", "skill_id": "a", "relevance": 2}\n{"query_id": "q", "skill_id": "b", "relevance": 0}')):
+        (tmp_path / f"data/{kind}").mkdir(parents=True)
+        (tmp_path / f"data/{kind}/test.jsonl").write_text(line + "\n")
+    (tmp_path / "pool").mkdir()
+    (tmp_path / "pool/a.jsonl").write_text('{"id": "a", "name": "n", "description": "d", "body": "b"}\n')
+    tasks, pool, gold = tables.normalize_dataset(spark, str(tmp_path))
+    assert [tuple(r) for r in tasks.collect()] == [("q", "do")] and pool.count() == 1 and [tuple(r) for r in gold.collect()] == [("q", "a", 2.0)]
+    assert tables.split_path(spark, str(tmp_path), "qrels", "test").endswith("data/qrels/test.jsonl")
+    with pytest.raises(FileNotFoundError):
+        tables.split_path(spark, str(tmp_path), "qrels", "train")
+
+
+def test_trees_and_manifests(spark, tmp_path):
+    deep = "/".join("abcdefghij")
+    for at in ("one", "node_modules/two", deep):
+        (tmp_path / at).mkdir(parents=True)
+        (tmp_path / at / "SKILL.md").write_text("---\ndescription: d\n---\ntext")
+    got = {r.name: r.description for r in tables.document_tree(spark, str(tmp_path)).collect()}
+    assert got == {"one": "d"}
+    assert {r.name for r in tables.document_tree(spark, str(tmp_path), 20).collect()} == {"one", "j"}
+    (tmp_path / "p/q").mkdir(parents=True)
+    (tmp_path / "p/q/good.json").write_text('{"name": "g"}')
+    (tmp_path / "p/q/bad.json").write_text("{nothing")
+    assert {(r.name, r.invalid) for r in tables.manifests(spark, str(tmp_path / "p")).collect()} == {("g", False), ("p", True)}
+
+
+def test_published_versions(spark, tmp_path):
+    root = str(tmp_path / "t")
+    tables.publish(spark.range(3), root, "1")
+    tables.publish(spark.range(5), root, "2")
+    (tmp_path / "t/version=3").mkdir()
+    assert tables.published(spark, root).count() == 5
+
+
+def test_vector_shards_resume(spark, tmp_path):
+    root, all_ = str(tmp_path / "v"), spark.range(10).select(F.col("id").alias("doc_id"), F.array(F.lit(1.0), F.lit(0.0)).alias("embedding"))
+    tables.append_shards(all_.where("doc_id < 4"), root, "m1")
+    tables.append_shards(all_, root, "m1")
+    tables.append_shards(all_.where("doc_id < 2"), root, "m2")
+    held = spark.read.parquet(root)
+    assert tuple(tables.shard_progress(held, all_, "m1").first()) == (10, 2, 10) and held.where("fingerprint = 'm2'").count() == 2
+
+
+def test_reports_replace_only_their_own(spark, tmp_path):
+    root = str(tmp_path / "r")
+    for name, n in (("a b", 1), ("other", 2), ("a b", 3)):
+        tables.write_report(spark.range(n, n + 1), root, name, "p 1")
+    assert {(r.id, r.benchmark, r.partition) for r in spark.read.parquet(root).collect()} == {(3, "a-b", "p-1"), (2, "other", "p-1")}
+
+
 def test_stream_equals_batch(spark, tmp_path):
     events = plans.session_events(spark, "/root/testdata/sf0.001").where("session < 8")
     events.repartition(1).sortWithinPartitions("ts", "event_id").write.parquet(str(tmp_path / "in"))
@@ -163,6 +272,44 @@ def test_stream_equals_batch(spark, tmp_path):
     assert batch and ours == batch
 
 
+def test_ends_and_legacy_states(spark):
+    legacy = live.from_legacy(spark.createDataFrame([(1, [7, 8])], "session long, ids array<long>"))
+    more = spark.createDataFrame([(1, "prompt", 1, [7], None), (1, "end", 2, None, None), (1, "prompt", 3, [7], None)], "session long, event string, event_id long, selected array<long>, budget int").withColumn("ts", F.timestamp_seconds(F.lit(1)))
+    trace = live.trace_batch(legacy.unionByName(more, allowMissingColumns=True))
+    got = trace.orderBy("event_id").collect()
+    assert [(r.injected, r.deduplicated, r.now) for r in got] == [([7, 8], [], 1), ([], [7], 2), ([], [], 2), ([7], [], 1)]
+    assert {(r.item, r.since) for r in live.residents(trace).collect()} == {(7, 1)}
+
+
+def test_summaries_are_spaced():
+    s = live.Session()
+    told = [s.step("prompt", [1], None, [1, 2])["summarized"] for _ in range(12)]
+    assert told == [[2]] + [[]] * 9 + [[2], []] and live.Session(s.dump()).shown == {2: 11}
+
+
+def test_routing_a_stream_into_sessions(spark, tmp_path):
+    """Prompts on a stream are routed in micro-batches; the selections feed the sessions' state; both equal the batch."""
+    prompts, cat = plans._prompts(spark, "/root/testdata/sf0.001"), plans._catalog(spark, "/root/testdata/sf0.001")
+
+    def events(batch):
+        found = retrieval.lexical_top(batch, cat, 5).groupBy("prompt_id").agg(F.sort_array(F.collect_list(F.struct("rank", "doc_id"))).alias("x"))
+        ids = lambda a, b: F.transform(F.filter("x", lambda r: r["rank"].between(a, b)), lambda r: r["doc_id"])
+        held = batch.join(found, "prompt_id", "left").select(F.col("conv_id").alias("session"), F.lit("prompt").alias("event"), F.timestamp_seconds("turn").alias("ts"), F.col("prompt_id").alias("event_id"), ids(1, 2).alias("selected"), F.lit(None).cast("int").alias("budget"), ids(3, 5).alias("offered"))
+        return held
+
+    for k in range(2):
+        prompts.where(F.floor(F.col("turn") / 4) == k).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    stream = spark.readStream.schema(prompts.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    tables.route_stream(stream, events, str(tmp_path / "routed"), str(tmp_path / "c1")).awaitTermination()
+    key = lambda r: (r.session, r.event_id)
+    routed = spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "routed"))
+    assert sorted(routed.collect(), key=key) == sorted(events(prompts).collect(), key=key)
+    again = spark.readStream.schema(routed.schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(str(tmp_path / "routed"))
+    tables.append_trace(live.trace_stream(again), str(tmp_path / "trace"), str(tmp_path / "c2")).awaitTermination()
+    batch = sorted(live.trace_batch(events(prompts)).collect(), key=key)
+    assert sorted(spark.read.parquet(str(tmp_path / "trace")).collect(), key=key) == batch and any(r.summarized for r in batch)
+
+
 def test_refresh_clock():
     s = live.Session()
     s.step("prompt", [1], None)
@@ -171,7 +318,28 @@ def test_refresh_clock():
     assert s.step("prompt", [1], None)["refreshed"] == [1] and s.step("prompt", [1], None)["refreshed"] == []
 
 
-@pytest.mark.parametrize("name", ["lexical_top2", "exact_name", "greedy_budget", "ranked_metrics", "association_rules", "method_histogram", "single_gold_groups"])
+def test_lexical_blocks_and_names(spark, monkeypatch):
+    cat, prompts = plans._catalog(spark, "/root/testdata/sf0.001"), plans._prompts(spark, "/root/testdata/sf0.001")
+    prompts = prompts.unionByName(prompts.limit(3).withColumn("prompt_id", F.col("prompt_id") + 10**6)).unionByName(cat.limit(2).select((F.col("doc_id") + 2 * 10**6).alias("prompt_id"), F.lit(0).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.concat(F.lit("say "), "name", F.lit(" now")).alias("prompt")))
+    key = lambda r: (r.prompt_id, r.rank)
+    one = sorted(retrieval.lexical_top(prompts, cat, 3).collect(), key=key)
+    assert any(r.prompt_id >= 2 * 10**6 and r.score >= 12 for r in one)
+    monkeypatch.setattr(retrieval, "PROMPT_BLOCK", 10)
+    monkeypatch.setattr(retrieval, "SCORE_CELLS", 500)
+    assert sorted(retrieval.lexical_top(prompts, cat.repartition(5), 3).collect(), key=key) == one
+
+
+def test_rerank_by_a_model(spark):
+    prompts = spark.createDataFrame([(1, "p")], "prompt_id long, prompt string")
+    cat = spark.createDataFrame([(1, "short"), (2, "a longer body")], "doc_id long, body string")
+    held = spark.createDataFrame([(1, 1, 0.9), (1, 2, 0.1)], "prompt_id long, doc_id long, score double")
+    order = lambda mode, load=None: [r.doc_id for r in retrieval.rerank(held, prompts, cat, 2, mode, load).orderBy("rank").collect()]
+    assert order("none") == [1, 2] and order("model", lambda: lambda a, b: [len(x) / 100 for x in b]) == [2, 1]
+    with pytest.raises(ValueError):
+        retrieval.rerank(held, prompts, cat, 2, "model")
+
+
+@pytest.mark.parametrize("name", ["lexical_top2", "exact_name", "greedy_budget", "ranked_metrics", "association_rules", "method_histogram", "single_gold_groups", "section_selection", "summary_tier", "hybrid_decision", "turn_metrics", "suite_violations", "catalog_fingerprint"])
 def test_against_sql(spark, name):
     import verify
 
