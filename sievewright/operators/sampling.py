@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 
+SALTS = 64
+
 
 def stratified_sample(rows: DataFrame, key: str, stratum: str, size: int, seed: str) -> DataFrame:
     """Largest-remainder seats for each stratum, then the first by hash within it. Counts by stratum are one small row each."""
@@ -18,8 +20,10 @@ def stratified_sample(rows: DataFrame, key: str, stratum: str, size: int, seed:
     left = F.col("size") - F.sum("seats").over(W.partitionBy(F.lit(1)))
     place = F.row_number().over(W.partitionBy(F.lit(1)).orderBy(F.desc("rest"), F.desc(stratum)))
     seats = seats.withColumn("left", left).withColumn("place", place).select(stratum, (F.col("seats") + (F.col("place") <= F.col("left")).cast("int")).alias("seats"))
-    order = F.row_number().over(W.partitionBy(stratum).orderBy(tx.stable_rank(seed, F.col(key))))
-    first = rows.withColumn("place", order).where(F.col("place") <= size)  # no task hands on more than this of a stratum
+    rank = tx.stable_rank(seed, F.col(key))
+    first_of = lambda df, *by: df.withColumn("place", F.row_number().over(W.partitionBy(*by).orderBy(rank))).where(F.col("place") <= size)
+    salt = F.pmod(F.xxhash64(key), F.lit(SALTS))
+    first = first_of(first_of(rows.withColumn("salt", salt), stratum, "salt").drop("salt"), stratum)  # a stratum is ranked in parts, then the firsts of the parts
     return first.join(F.broadcast(seats), stratum).where("place <= seats").drop("place", "seats")
 
 

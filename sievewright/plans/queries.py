@@ -316,9 +316,13 @@ def name_dedup(spark, sf_dir):
     return catalog.name_dedup(_pages(spark, sf_dir).withColumn("path", path)).select("page_id", "path", "reason")
 
 
-@query(f"""WITH {_PAGES} SELECT page_id, CASE WHEN NOT regexp_matches(path, '\\.(md|html)$') THEN 'unsupported-kind' END AS reason FROM pg WHERE provider = 'en'""")
+@query(f"""WITH {_PAGES}, m AS (SELECT page_id, CASE page_id % 8 WHEN 2 THEN '.system/' WHEN 4 THEN 'x/plugins/cache/' WHEN 6 THEN '.state/' ELSE '' END || path || CASE WHEN page_id % 2 = 0 THEN '.md' ELSE '' END AS path FROM pg WHERE provider = 'en')
+    SELECT page_id, CASE WHEN NOT (ends_with(path, '.md') OR ends_with(path, '.html')) THEN 'unsupported-kind' WHEN contains('/' || path, '/.system/') THEN 'system-path' WHEN contains(path, '/plugins/cache/') THEN 'plugin-cache' WHEN contains('/' || path, '/.state/') THEN 'own-state' END AS reason FROM m""")
 def eligibility(spark, sf_dir):
-    return catalog.eligible(_pages(spark, sf_dir), "en").select("page_id", catalog.rejection_reason(F.col("path")).alias("reason"))
+    """Pages with an even id are Markdown files, three quarters of them in folders that are not taken."""
+    folder = F.when(F.col("page_id") % 8 == 2, ".system/").when(F.col("page_id") % 8 == 4, "x/plugins/cache/").when(F.col("page_id") % 8 == 6, ".state/").otherwise("")
+    pages = _pages(spark, sf_dir).withColumn("path", F.concat(folder, "path", F.when(F.col("page_id") % 2 == 0, ".md").otherwise("")))
+    return catalog.eligible(pages, "en").select("page_id", catalog.rejection_reason(F.col("path")).alias("reason"))
 
 
 @query(f"""WITH {_CAT}, refs AS (SELECT DISTINCT name AS ref FROM cat WHERE doc_id % 2 = 0 UNION SELECT doc_id::VARCHAR FROM cat UNION SELECT DISTINCT source FROM cat),
@@ -371,13 +375,16 @@ def suite_violations(spark, sf_dir):
     return catalog.suite_violations(skills, suite, turns)
 
 
-@query(f"""WITH {_PROMPTS}, c AS (SELECT prompt_id AS case_id, prompt, [conv_id, conv_id + turn] AS expected, [turn, 999999999] AS forbidden FROM prompts)
-    SELECT case_id, 'expected-and-forbidden' AS rule FROM c WHERE list_has_any(expected, forbidden)
+@query(f"""WITH {_PROMPTS}, c AS (SELECT prompt_id AS case_id, CASE WHEN turn = 6 THEN ' ' ELSE prompt END AS prompt, CASE WHEN turn = 2 THEN [conv_id, conv_id + turn, conv_id + 1] ELSE [conv_id, conv_id + turn] END AS expected, [turn, 999999999] AS forbidden FROM prompts)
+    SELECT case_id, 'too-many-expected' AS rule FROM c WHERE len(expected) > 2 UNION ALL SELECT case_id, 'expected-and-forbidden' AS rule FROM c WHERE list_has_any(expected, forbidden)
     UNION ALL SELECT DISTINCT case_id, 'unknown-id' FROM (SELECT case_id, unnest(list_concat(expected, forbidden)) AS d FROM c) WHERE d NOT IN (SELECT doc_id FROM documents)
     UNION ALL SELECT case_id, 'repeated-prompt' FROM (SELECT case_id, row_number() OVER (PARTITION BY lower(trim(prompt)) ORDER BY case_id) AS n FROM c) WHERE n > 1
     UNION ALL SELECT case_id, 'empty-prompt' FROM c WHERE trim(prompt) = ''""")
 def case_violations(spark, sf_dir):
-    cases = _prompts(spark, sf_dir).select(F.col("prompt_id").alias("case_id"), "prompt", F.array("conv_id", F.col("conv_id") + F.col("turn")).alias("expected"), F.array("turn", F.lit(999_999_999).cast("long")).alias("forbidden"))
+    """Prompts as cases: the third turn expects three documents, the seventh says nothing."""
+    two = F.array("conv_id", F.col("conv_id") + F.col("turn"))
+    expected = F.when(F.col("turn") == 2, F.concat(two, F.array(F.col("conv_id") + 1))).otherwise(two)
+    cases = _prompts(spark, sf_dir).select(F.col("prompt_id").alias("case_id"), F.when(F.col("turn") == 6, " ").otherwise(F.col("prompt")).alias("prompt"), expected.alias("expected"), F.array("turn", F.lit(999_999_999).cast("long")).alias("forbidden"))
     return catalog.case_violations(cases, _catalog(spark, sf_dir))
 
 
@@ -759,7 +766,15 @@ def session_trace(spark, sf_dir):
     return live.trace_batch(session_events(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_LOG}, said AS (SELECT session, 'prompt' AS event, item, ts, event_id * 2 AS id FROM log UNION ALL SELECT session, 'compact', NULL, ts, event_id * 2 + 1 FROM log WHERE event_type = 'signup' AND event_id % 50 <> 49 UNION ALL SELECT session, 'end', NULL, ts, event_id * 2 + 1 FROM log WHERE event_id % 50 = 49),
+    ev AS MATERIALIZED (SELECT session, event, item, row_number() OVER (PARTITION BY session ORDER BY ts, id) AS pos FROM said),
+    f AS (SELECT session, 0::BIGINT AS pos, 0::BIGINT AS clock, 0::BIGINT AS seq, []::STRUCT(item BIGINT, last BIGINT, seq BIGINT, since BIGINT)[] AS held FROM (SELECT DISTINCT session FROM ev)
+          UNION ALL SELECT e.session, e.pos, CASE e.event WHEN 'prompt' THEN clock + 1 WHEN 'end' THEN 0 ELSE clock END, CASE e.event WHEN 'prompt' THEN seq + 1 WHEN 'end' THEN 0 ELSE seq END,
+              CASE WHEN e.event = 'end' THEN [] WHEN e.event = 'compact' THEN list_transform(list_sort(list_transform(held, lambda h: {{'far': (h.last <= clock - 10)::INT, 'newest': -h.last, 'seq': h.seq, 'h': h}}))[1:8], lambda x: {{'item': x.h.item, 'last': clock, 'seq': x.h.seq, 'since': x.h.since}})
+                   WHEN list_contains(list_transform(held, lambda h: h.item), e.item) THEN list_transform(held, lambda h: {{'item': h.item, 'last': CASE WHEN h.item = e.item THEN clock + 1 ELSE h.last END, 'seq': h.seq, 'since': h.since}})
+                   ELSE list_append(held, {{'item': e.item, 'last': clock + 1, 'seq': seq, 'since': clock + 1}}) END
+          FROM f JOIN ev e ON e.session = f.session AND e.pos = f.pos + 1)
+    SELECT session, h.item AS item, h.since AS since FROM (SELECT session, unnest(held) AS h FROM (SELECT session, arg_max(held, pos) AS held FROM f GROUP BY session))""")
 def session_residents(spark, sf_dir):
     return live.residents(live.trace_batch(session_events(spark, sf_dir), "lru"))
 
@@ -835,7 +850,16 @@ def held_out_documents(spark, sf_dir):
 # Chunks and vectors -----------------------------------------------------------------------------------------------------
 
 
-@query()
+_back = lambda n, c: f"nullif(instr(reverse(substr(t, {n} + 1, 4001)), {c}), 0)"
+_gap = lambda n: f"""{n} + 4001 - least({_back(n, "' '")}, {_back(n, "chr(10)")})"""
+_stop = lambda n: f"CASE WHEN {n} + 4000 < length(t) AND {_gap(n)} > {n} + 2400 THEN {_gap(n)} ELSE least(length(t), {n} + 4000) END"
+_WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+@query(f"""WITH RECURSIVE {_CAT}, b AS (SELECT doc_id, trim(replace(coalesce(body, ''), chr(13) || chr(10), chr(10)), {_WHITE}) AS t FROM cat),
+    w AS (SELECT doc_id, t, 0::BIGINT AS head, ({_stop("0")})::BIGINT AS stop FROM b UNION ALL SELECT doc_id, t, n, ({_stop("n")})::BIGINT FROM (SELECT doc_id, t, greatest(head + 1, stop - 400) AS n FROM w WHERE stop < length(t))),
+    x AS (SELECT doc_id, head, trim(substr(t, head + 1, stop - head), {_WHITE}) AS piece FROM w WHERE length(t) <= 4000 OR trim(substr(t, head + 1, stop - head), {_WHITE}) <> '')
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY head) - 1 AS position, sha256(name || ' | ' || description || ' | ' || piece) AS content_hash FROM x JOIN cat USING (doc_id)""")
 def document_chunks(spark, sf_dir):
     return vectors.chunks(_catalog(spark, sf_dir)).drop("text")
 
