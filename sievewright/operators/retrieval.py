@@ -156,15 +156,15 @@ def lexical_top(prompts: DataFrame, catalog: DataFrame, top: int = 2, min_score:
 
 
 def exact_name_matches(prompts: DataFrame, catalog: DataFrame, max_entries: int = 300, min_chars: int = 4) -> DataFrame:
-    """(prompt_id, doc_id) of prompts that name exactly one entry; only for catalogs of up to ``max_entries``."""
+    """(prompt_id, doc_id) of prompts that name exactly one entry; only for catalogs of up to ``max_entries``, which is checked first."""
+    if max_entries < 1 or catalog.count() > max_entries:
+        return prompts.sparkSession.createDataFrame([], "prompt_id long, doc_id long")
     plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[\s_-]+", " "))
-    small = catalog.agg((F.count("*") <= max_entries).alias("small"))
     names = catalog.where(F.length(F.regexp_replace("name", r"[-_\s]", "")) >= min_chars).select("doc_id", plain(F.col("name")).alias("name"))
     said = prompts.select("prompt_id", plain(F.col("prompt")).alias("prompt"))
     bounded = F.concat(F.lit(r"(^|[^\p{L}\p{N}])\Q"), F.replace("name", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E($|[^\p{L}\p{N}])"))
     held = phrase_matches(said, names).join(said, "prompt_id").where(F.rlike("prompt", bounded)).join(names, "name")
-    one = held.groupBy("prompt_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1")
-    return one.join(F.broadcast(small), F.lit(True)).where("small").select("prompt_id", "doc_id")
+    return held.groupBy("prompt_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1").select("prompt_id", "doc_id")
 
 
 def _vectors(lists: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -242,6 +242,7 @@ def fuse(*lists: DataFrame, top: int, k: int = RRF) -> DataFrame:
 
 def rerank_blend(candidates: DataFrame, prompts: DataFrame, catalog: DataFrame, top: int) -> DataFrame:
     """max(s, 0.85 s + 0.15 overlap of prompt and body); bodies are joined for the candidates only."""
+    candidates = candidates.where("prompt_id IS NOT NULL")  # said before the list is used twice, so that its shuffle is reused
     bodies = candidates.select("doc_id").distinct().join(catalog.select("doc_id", "body"), "doc_id")
     held = candidates.join(bodies, "doc_id").join(prompts, "prompt_id")
     share = tx.overlap(tx.tokenize(F.col("prompt")), tx.tokenize(F.col("body")))

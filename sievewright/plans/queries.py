@@ -169,19 +169,31 @@ def rank_fusion(spark, sf_dir):
     return retrieval.fuse(retrieval.lexical_top(prompts, _catalog(spark, sf_dir), 5), retrieval.vector_top(asked, _pool(spark, sf_dir), 5), top=3)
 
 
-def _scaled(spark, sf_dir):
-    return retrieval.lexical_top(_prompts(spark, sf_dir), _catalog(spark, sf_dir), 5).select("prompt_id", "doc_id", F.least(F.lit(1.0), F.col("score") / 20).alias("score"))
+#: Of the five candidates those that load; not a ``<=``, which would be a second, smaller top-k under the shuffle, so the first could not be reused.
+_LOADED = "rank IN (1, 2) AND score >= 10"
+
+
+def _five(spark, sf_dir):
+    return retrieval.lexical_top(_prompts(spark, sf_dir), _catalog(spark, sf_dir), 5)
+
+
+def _scaled(found):
+    return found.select("prompt_id", "doc_id", F.least(F.lit(1.0), F.col("score") / 20).alias("score"))
+
+
+def _blended(spark, sf_dir, found):
+    return retrieval.rerank(_scaled(found), _prompts(spark, sf_dir), _catalog(spark, sf_dir), 2, "similarity")
 
 
 @query(f"WITH {_CAT}, {_PROMPTS}, {_LEX}, {_BLEND} SELECT prompt_id, doc_id, score, rank FROM blend WHERE rank <= 2")
 def rerank_blend(spark, sf_dir):
-    return retrieval.rerank(_scaled(spark, sf_dir), _prompts(spark, sf_dir), _catalog(spark, sf_dir), 2, "similarity")
+    return _blended(spark, sf_dir, _five(spark, sf_dir))
 
 
 @query(f"""WITH {_CAT}, {_PROMPTS}, {_LEX}, {_BLEND}, plain AS (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY score DESC, doc_id) AS rank FROM bs)
     SELECT 'none' AS mode, prompt_id, doc_id, score, rank FROM plain WHERE rank <= 3 UNION ALL SELECT 'similarity', prompt_id, doc_id, score, rank FROM blend WHERE rank <= 3""")
 def rerank_modes(spark, sf_dir):
-    held, prompts, cat = _scaled(spark, sf_dir), _prompts(spark, sf_dir), _catalog(spark, sf_dir)
+    held, prompts, cat = _scaled(_five(spark, sf_dir)), _prompts(spark, sf_dir), _catalog(spark, sf_dir)
     one = lambda mode: retrieval.rerank(held, prompts, cat, 3, mode).select(F.lit(mode).alias("mode"), "prompt_id", "doc_id", "score", "rank")
     return one("none").unionByName(one("similarity"))
 
@@ -225,14 +237,14 @@ def method_histogram(spark, sf_dir):
 
 @query(f"""WITH {_CAT}, {_PROMPTS}, {_LEX} SELECT prompt_id, doc_id FROM lextop WHERE rank <= 5 AND (prompt_id, doc_id) NOT IN (SELECT (prompt_id, doc_id) FROM lextop WHERE rank <= 2)""")
 def lexical_only_extras(spark, sf_dir):
-    held = retrieval.lexical_top(_prompts(spark, sf_dir), _catalog(spark, sf_dir), 5)
+    held = _five(spark, sf_dir)
     return held.join(held.where("rank <= 2").select("prompt_id", "doc_id"), ["prompt_id", "doc_id"], "left_anti").select("prompt_id", "doc_id")
 
 
 @query(f"""WITH {_CAT}, {_PROMPTS}, {_LEX} SELECT prompt_id, doc_id, rank, score >= 20 AS admitted FROM lextop WHERE rank <= 5""")
 def two_floor_search(spark, sf_dir):
     """Retrieved with the relaxed floor and depth, admitted with the strict one."""
-    return retrieval.lexical_top(_prompts(spark, sf_dir), _catalog(spark, sf_dir), 5).select("prompt_id", "doc_id", "rank", (F.col("score") >= 20).alias("admitted"))
+    return _five(spark, sf_dir).select("prompt_id", "doc_id", "rank", (F.col("score") >= 20).alias("admitted"))
 
 
 # Text and catalog -------------------------------------------------------------------------------------------------------
@@ -408,7 +420,7 @@ def _candidates(spark, sf_dir):
 @query(f"""WITH {_CAT}, {_PROMPTS}, {_LEX}, r AS (SELECT prompt_id, doc_id, rank, activation_tokens AS tokens, sum(activation_tokens) OVER (PARTITION BY prompt_id ORDER BY rank) AS running FROM lextop JOIN cat USING (doc_id) WHERE rank <= 5)
     SELECT prompt_id, doc_id, rank, running::BIGINT AS running FROM r WHERE running <= 400""")
 def prefix_budget(spark, sf_dir):
-    held = retrieval.lexical_top(_prompts(spark, sf_dir), _catalog(spark, sf_dir), 5).join(_catalog(spark, sf_dir).select("doc_id", F.col("activation_tokens").alias("tokens")), "doc_id")
+    held = _five(spark, sf_dir).join(_catalog(spark, sf_dir).select("doc_id", F.col("activation_tokens").alias("tokens")), "doc_id")
     return budget.prefix_budget(held, 400).select("prompt_id", "doc_id", "rank", "running")
 
 
@@ -562,13 +574,12 @@ def _with_lists(prompts, **lists):
     return prompts
 
 
-def _cases(spark, sf_dir):
+def _cases(spark, sf_dir, found=None):
     """Prompts as cases: the lexical selection against the best after reranking; toxic candidates are forbidden."""
-    prompts, cat = _prompts(spark, sf_dir), _catalog(spark, sf_dir)
-    found = retrieval.lexical_top(prompts, cat, 5)
-    best = rerank_blend(spark, sf_dir).where("rank <= 1 and score >= 0.5")
+    found = _five(spark, sf_dir) if found is None else found
+    best = _blended(spark, sf_dir, found).where("rank <= 1 and score >= 0.5")
     bad = found.join(_toxic(spark, sf_dir), "doc_id", "left_semi")
-    return _with_lists(prompts.drop("prompt").withColumn("tag", F.col("turn").cast("string")), selected=found.where("rank <= 2 and score >= 10"), expected=best, forbidden=bad)
+    return _with_lists(_prompts(spark, sf_dir).drop("prompt").withColumn("tag", F.col("turn").cast("string")), selected=found.where(_LOADED), expected=best, forbidden=bad)
 
 
 @query(f"WITH {_CASES}, {_CM} SELECT {_CMS} FROM k")
@@ -585,8 +596,9 @@ def case_totals_by_tag(spark, sf_dir):
     st AS (SELECT prompt_id, count(DISTINCT selected) = 1 AS same FROM runs GROUP BY 1) SELECT round(avg(same::INT), 9) AS stability FROM st""")
 def selection_stability(spark, sf_dir):
     """Two runs of each case: the lexical selection and the reranked one."""
-    one = _cases(spark, sf_dir).select(F.col("prompt_id").alias("case_id"), "selected")
-    two = _with_lists(_prompts(spark, sf_dir), selected=rerank_blend(spark, sf_dir)).select(F.col("prompt_id").alias("case_id"), "selected")
+    found = _five(spark, sf_dir)
+    one = _cases(spark, sf_dir, found).select(F.col("prompt_id").alias("case_id"), "selected")
+    two = _with_lists(_prompts(spark, sf_dir), selected=_blended(spark, sf_dir, found)).select(F.col("prompt_id").alias("case_id"), "selected")
     return metrics.stability(one.union(two))
 
 
@@ -627,12 +639,13 @@ _TURNS = f"""{_CASES}, loadn AS (SELECT prompt_id, conv_id, turn, doc_id, l.rank
 def _turns(spark, sf_dir):
     """The turns of conversations: what the lexical selection loaded so far is resident."""
     prompts, cat = _prompts(spark, sf_dir).drop("prompt"), _catalog(spark, sf_dir)
-    found = retrieval.lexical_top(_prompts(spark, sf_dir), cat, 5).join(prompts, "prompt_id")
-    loads = found.where("rank <= 2 and score >= 10").select("prompt_id", "conv_id", "turn", "doc_id", "rank")
+    held = _five(spark, sf_dir)
+    found = held.join(prompts, "prompt_id")
+    loads = found.where(_LOADED).select("prompt_id", "conv_id", "turn", "doc_id", "rank")
     so_far = prompts.join(loads.select("conv_id", F.col("turn").alias("then"), "doc_id"), "conv_id").where("then <= turn").groupBy("prompt_id", "doc_id", "turn").agg(F.min("then").alias("rank"))
     fresh = loads.join(so_far.where("rank < turn").select("prompt_id", "doc_id"), ["prompt_id", "doc_id"], "left_anti")
     cost = loads.join(cat.select("doc_id", "full_tokens"), "doc_id").groupBy("prompt_id").agg(F.sum("full_tokens").cast("double").alias("tokens"))
-    held = _with_lists(_cases(spark, sf_dir), resident=so_far, injected=fresh, summarized=found.where("rank >= 3"), retrieved=found)
+    held = _with_lists(_cases(spark, sf_dir, held), resident=so_far, injected=fresh, summarized=found.where("rank >= 3"), retrieved=found)
     return held.join(cost, "prompt_id", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0.0)))
 
 
