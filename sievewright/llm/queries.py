@@ -15,40 +15,49 @@ BLOCKED_HOSTS = [f"{name}.example.{top}" for name in ("ads-track", "adult-x", "c
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document. Null and empty texts have zero counts and fail the base rule; long texts are counted whole; repeated rows and ties are judged alike; without labels the base rule decides alone; an empty table gives no row; other columns are not read."""
     return rule_learning.judge(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a page. Null and empty urls have an empty host and path and are allowed; long urls are probed with all their prefixes; repeated rows are judged alike, of rules the longest wins; an empty table gives no row; other columns are not read."""
     entries = spark.createDataFrame([(h,) for h in BLOCKED_HOSTS], "entry string")
     return url_filter.filter_urls(table(spark, sf_dir, "pages", "page_id", "url"), entries).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document. Null counts as empty, which has no span; long texts are scanned whole; repeated rows get equal spans; without labelled credentials only base spans are found; an empty table gives no row; other columns are not read."""
     return secret_grammar.scan_secrets(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as often as drawn, with ``copy``. A null source is one source, null and empty and long texts are kept as they are; rows of one doc_id draw alike, rows without one by their content; an empty table gives no row; other columns are kept."""
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document with its class. Null, empty and wordless texts are alone unless an equal one exists; long texts are compared whole; repeated rows share a class, named by the least doc_id; a null doc_id has a null class; an empty table gives no row; other columns are not read."""
     return near_dedup.near_duplicate_classes(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document; toxic ones are grade 0, others 1 and their quality. Null and empty texts score as without words; long texts are scored whole; repeated rows are graded alike; without ratings grades are null and all are kept; an empty table gives no row; other columns are not read."""
     grade = F.when(F.col("toxic") == 1, 0).otherwise(1 + F.col("quality"))
     return ordinal_quality.grade(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", grade.alias("grade")))
 
 
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document. Null counts as empty, which has no span; long texts are read whole; repeated rows get equal spans; without seeds nothing is discovered; an empty table gives no row; other columns are not read."""
     return pii_bootstrap.find_personal_data(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document and test item that it holds. Null and empty texts and items match nothing; long ones are aligned whole; repeated rows are judged one by one, of equal passages the first is told; empty tables give no row; other columns are not read."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document; only rows that are not held out teach. Null and empty texts and those without a letter are ``und`` with score 0; long texts are scored whole; repeated rows are labelled alike, ties go to the first language; a null doc_id is not held out; an empty table gives no row; other columns are not read."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     held_out = F.coalesce(language_spans.held_out(F.col("doc_id")), F.lit(False))
     labelled = language_spans.label_languages(docs.select("doc_id", "text"), docs.where(~held_out))
@@ -56,6 +65,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document without its boilerplate. Null text stays null and empty text empty; long texts are cut whole; copies of a page count once; a null source is one host; an empty table gives no row; other columns are not read."""
     return site_lines.drop_boilerplate(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
 
 
