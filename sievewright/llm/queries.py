@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_spans, mixing, near_dedup, ordinal_quality, pii_bootstrap, rule_learning, secret_grammar, site_lines, url_filter
+from . import centroid_clusters, decontaminate, hard_negatives, language_spans, mixing, near_dedup, ordinal_quality, pii_bootstrap, rule_learning, secret_grammar, site_lines, url_filter, warc_archive
 from .scratch import table
 
 #: Hosts that are blocked with all their subdomains.
@@ -69,13 +69,59 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_lines.drop_boilerplate(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a vector of 64 finite components; null vectors, other lengths and null, NaN or infinite components have none. Repeated rows are vectors of their own, ties go to the smaller centroid, a null vec_id starts no centroid; an empty table gives no row; other columns are not read."""
+    return centroid_clusters.cluster_vectors(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows for each anchor and positive. Rows with a null vec_id, label or vector or a component that is null or not finite take no part, other vector lengths do not meet; repeated rows count once, ties go to the smaller vec_id; an empty table gives no row; other columns are not read."""
+    v = table(spark, sf_dir, "embeddings", "vec_id", "label", "embedding")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(v.withColumn("label", label))
+
+
+def op13_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a page, written and read back. Null html is an empty payload and a null url a name of its own; long pages are one record; repeated rows of the smallest page_id are all responses, a null page_id is never the smallest; an empty table gives no row; other columns are not read."""
+    return warc_archive.round_trip(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_url_filter, op3_secret_scan, op4_mixing, op5_near_dedup, op6_quality_classifier, op7_personal_data, op8_decontamination, op9_language_id, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_url_filter, op3_secret_scan, op4_mixing, op5_near_dedup, op6_quality_classifier, op7_personal_data, op8_decontamination, op9_language_id, op10_line_dedup, op11_centroid_clustering, op12_hard_negatives, op13_warc_archive)}
 
 
 _WHITE = "concat(' ', chr(9), chr(11), chr(12), chr(13))"
 
 
+def _cluster_sql() -> str:
+    nearest = lambda k: f"a{k} AS MATERIALIZED (SELECT i, min((n + m - 2 * list_dot_product(k.v, s{k}.v)::BIGINT) * 16 + c) AS best FROM k, (SELECT c, v, list_dot_product(v, v)::BIGINT AS m FROM s{k}) s{k} GROUP BY i)"
+    moved = lambda k: f"""p{k} AS (SELECT best % 16 AS c, j, sum(v[j + 1]::BIGINT)::BIGINT AS t, count(*) AS n FROM a{k} JOIN k USING (i), range(0, 64) r(j) GROUP BY ALL),
+        m{k} AS (SELECT c, list(((t - ((t % n) + n) % n) // n)::DOUBLE ORDER BY j) AS v FROM p{k} GROUP BY c), s{k + 1} AS MATERIALIZED (SELECT c, coalesce(m{k}.v, s{k}.v) AS v FROM s{k} LEFT JOIN m{k} USING (c))"""
+    rounds = ", ".join(f"{nearest(k)}, {moved(k)}" for k in range(3))
+    return f"""
+        WITH k AS MATERIALIZED (SELECT row_number() OVER () AS i, vec_id, v, list_dot_product(v, v)::BIGINT AS n FROM (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)),
+        s0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM (SELECT v, sha256('1:' || vec_id::VARCHAR) AS h FROM k WHERE vec_id IS NOT NULL ORDER BY h, v LIMIT 16)),
+        {rounds}, {nearest(3)},
+        e AS (SELECT vec_id, (best % 16)::INTEGER AS cluster, best // 16 AS distance FROM a3 JOIN k USING (i))
+        SELECT vec_id, cluster, distance, sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia,
+            (SELECT sha256(array_to_string(list_transform(v, lambda x: x::BIGINT::VARCHAR), ',')) FROM s3 WHERE c = cluster) AS centroid_sha256 FROM e"""
+
+
+_NEGATIVES = """
+    WITH r AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+        WHERE label IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+    s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score FROM r a JOIN r b ON a.vec_id % 100 = 0 AND len(a.v) = len(b.v)),
+    p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same AND id <> anchor_id QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+    SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INTEGER AS rank, id AS negative_id, positive_score, score AS negative_score
+    FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score QUALIFY rank <= 5"""
+
+_BASE32 = "array_to_string(list_transform(range(0, 32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 5 * (j // 4) + 1, 5))::BIGINT >> (15 - 5 * (j % 4))) & 31), 1)), '')"
+_WARC = f"""
+    WITH p AS (SELECT page_id, coalesce(html, '') AS payload, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages), d AS (SELECT *, sha1(payload) AS h, page_id = first OR first IS NULL AS own FROM p)
+    SELECT page_id, strlen(payload)::BIGINT AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN own THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN NOT own THEN first END AS refers_to FROM d"""
+
+
 def oracle_sql() -> dict[str, str]:
     listed = " OR ".join(f"host = '{h}' OR host LIKE '%.{h}'" for h in BLOCKED_HOSTS)
     fits = lambda host, path: f"((host = '{host}' OR host LIKE '%.{host}') AND starts_with(path, '{path}'))"
@@ -83,6 +129,9 @@ def oracle_sql() -> dict[str, str]:
     rule = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for h, p, _ in ordered) + " END"
     says = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{v}'" for h, p, v in ordered) + f" WHEN {listed} THEN 'block' ELSE 'allow' END"
     return {
+        "op11_centroid_clustering": _cluster_sql(),
+        "op12_hard_negatives": _NEGATIVES,
+        "op13_warc_archive": _WARC,
         "op2_url_filter": f"""
             WITH r AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
             s AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{url_filter.UPPER}', '{url_filter.LOWER}') AS host, regexp_extract(rest, '^[^/?#]*(/[^?#]*)?', 1) AS path FROM r)
