@@ -53,6 +53,23 @@ def _updated(change: np.ndarray, centres: np.ndarray) -> Callable[[Iterator[pa.R
     return run
 
 
+def _sums(centroids: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's number of vectors and sums of components (the last place) by cluster."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((centroids, SIDE + 1), np.int64)
+        for batch in batches:
+            cluster, matrix = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().astype(np.int64).reshape(batch.num_rows, SIDE)
+            for k in np.unique(cluster):
+                own = matrix[cluster == k]
+                sums[k] += np.append(own.sum(0), len(own))
+        held = np.flatnonzero(sums[:, SIDE])
+        place = np.tile(np.arange(SIDE + 1, dtype=np.int32), len(held))
+        yield pa.record_batch([pa.array(np.repeat(held.astype(np.int32), SIDE + 1)), pa.array(place), pa.array(sums[held].ravel())], ["cluster", "place", "total"])
+
+    return run
+
+
 def cluster_vectors(vectors: DataFrame, centroids: int = CENTROIDS, rounds: int = ROUNDS, seed: int = 1) -> DataFrame:
     """vectors (vec_id, embedding) to (vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256).
 
@@ -83,8 +100,9 @@ def cluster_vectors(vectors: DataFrame, centroids: int = CENTROIDS, rounds: int
             discard(spark, held)
         held = path
         if k < rounds:
-            for r in state.groupBy("cluster").agg(F.count("*").alias("n"), F.array(*(F.sum(F.get("v", F.lit(j))) for j in range(SIDE))).alias("sums")).collect():
-                target[r.cluster] = np.array(r.sums, np.int64) // r.n
+            totals = {(r.cluster, r.place): r.total for r in state.select("cluster", "v").mapInArrow(_sums(len(first)), "cluster int, place int, total long").groupBy("cluster", "place").agg(F.sum("total").alias("total")).collect()}
+            for c in {c for c, _ in totals}:
+                target[c] = np.array([totals[c, j] for j in range(SIDE)], np.int64) // totals[c, SIDE]
     spread = {r.cluster: int(r.inertia) for r in state.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(20,0)")).alias("inertia")).collect()}
     top = (1 << 63) - 1
     told = [(c, min(i, top), min(sum(spread.values()), top), hashlib.sha256(",".join(map(str, centres[c])).encode()).hexdigest()) for c, i in spread.items()]
