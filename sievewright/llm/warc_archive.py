@@ -5,9 +5,10 @@ through Spark's text source, which reads and writes raw bytes in any store, comm
 
 * Writing, a task gives its dictionary frame and then a row a record; the line separator is an empty skippable frame, which
   readers of the format pass over.
-* Reading, lines are cut at the magic number of a frame, so memory holds a record, not an archive. Compressed bytes may hold
+* Reading, lines are cut at the magic number of a frame, so memory holds a record, not an archive (but for archives whose
+  names end in ``.zst``, which the text source would decompress: they are read whole and must fit a task). Compressed bytes may hold
   that number by chance, so frames are put together again from their own headers (`_frame_end`); what lies across the border
-  of two splits is gathered by archive and joined. One pass finds the dictionaries and these remains, the second decodes.
+  of two splits is gathered by archive and joined. One pass finds the dictionaries, one these remains, the last decodes.
 
 A frame must hold exactly one record; its version, mandatory fields, Content-Length, closing line ends, the length of the HTTP
 body and the SHA-1 of the payload are checked, and the first fault is told in ``error``.
@@ -30,6 +31,7 @@ from .scratch import HOT_ROWS, HOT_SHARE, folder, stored
 
 # Fixed values of the two formats.
 FRAME, SKIPPABLE, DICTIONARY = b"\x28\xb5\x2f\xfd", range(0x184D2A50, 0x184D2A60), b"\x5d\x2a\x4d\x18"
+NAMED = r"\.zstd?$"
 EMPTY_FRAME = b"\x50\x2a\x4d\x18\x00\x00\x00\x00"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANDATORY = (b"warc-type", b"warc-record-id", b"warc-date", b"content-length")
@@ -48,9 +50,9 @@ _COLUMNS = [c.split()[0] for c in RECORD.split(", ")]
 
 
 def _dictionary(pages: DataFrame) -> bytes | None:
-    """Taught by the pages of least hash, whole ones of up to ``TEACHER_BYTES``; None if they are too few to teach one."""
-    short = pages.where(F.length("payload").between(1, TEACHER_BYTES)).select("payload", F.xxhash64("page_id", "key").alias("draw"))
-    samples = [bytes(r.payload) for r in short.orderBy("draw", "payload").limit(TEACHERS).collect()]
+    """Taught by about ``TEACHERS`` pages drawn at random, whole ones of up to ``TEACHER_BYTES``; None if they are too few to teach one."""
+    drawn = pages.where(F.rand(1) < TEACHERS / max(1, pages.count())).where(F.length("payload").between(1, TEACHER_BYTES))
+    samples = [bytes(r.payload) for r in drawn.select("payload").limit(2 * TEACHERS).collect()]
     try:
         return zstandard.train_dictionary(min(DICTIONARY_SIZE, max(256, sum(map(len, samples)) // 10)), samples, k=512, d=8).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -176,29 +178,39 @@ def _cut(data: bytes) -> tuple[list[bytes], bytes, str | None]:
     return frames, data[at:], None
 
 
-def _frames(lines: Iterator[tuple[str, int, bytes]]) -> Iterator[tuple[str, int, int, bytes]]:
+def _frames(lines: Iterator[tuple[str, int, bytes]], sound: Callable[[str, bytes], bool]) -> Iterator[tuple[str, int, int, bytes]]:
     """(archive, split, kind, bytes) from the lines of splits, in order.
 
-    Kinds: 0 a whole frame, 1 what comes before the first frame of a later split, 2 what is not whole at the end of a split.
-    Anything else that is no frame has kind 0 too: it is a fault of the archive, not of its splits.
+    Kinds: 0 a whole frame, 1 what comes before the first frame of a later split, 2 what is not whole at the end of a split. A later
+    split begins with the rest of a frame if a magic number in that frame was taken for an end of line, so its first frame
+    is the first that is ``sound``. What is no frame and not at a border has kind 0 too: it is a fault of the archive.
     """
-    now, left, seen = None, b"", False
+    now, left, starts = None, b"", []  # starts: where the first frame of a later split may begin; empty: it is found
     for archive, start, line in lines:
         if (archive, start) != now:
             if left:
-                yield *now, 2, left
-            now, left, seen = (archive, start), line if start == 0 else FRAME + line, start == 0
+                yield *now, 1 if starts else 2, left
+            now, left, starts = (archive, start), line if start == 0 else FRAME + line, [0] if start else []
         else:
+            starts = [*starts, len(left)] if starts else starts
             left += FRAME + line
+        for at in starts:
+            found, _, fault = _cut(left[at:])
+            if found and sound(archive, found[0]):
+                if at:
+                    yield *now, 1, left[:at]
+                left, starts = left[at:], []
+                break
+        if starts:
+            continue
         whole, left, fault = _cut(left)
         for frame in whole:
-            seen = True
             yield *now, 0, frame
         if fault:
-            yield *now, 0 if seen else 1, left
+            yield *now, 0, left
             left = b""
     if left:
-        yield *now, 2, left
+        yield *now, 1 if starts else 2, left
 
 
 def _payload(kind: bytes, fields: dict[bytes, bytes], block: bytes) -> tuple[bytes, int]:
@@ -263,21 +275,24 @@ def _split_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, b
 
 
 def _lines(spark: SparkSession, root: str) -> DataFrame:
+    """(archive, start, value): the lines of each split. Spark's text source would decompress names that end in ``.zst``, so those are read whole."""
     lines = spark.read.option("encoding", "ISO-8859-1").option("lineSep", FRAME.decode("latin-1")).text(root)
-    return lines.select(F.col("_metadata.file_path").alias("archive"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("value"))
+    lines = lines.where(~F.col("_metadata.file_name").rlike(NAMED)).select(F.col("_metadata.file_path").alias("archive"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("value"))
+    whole = spark.read.format("binaryFile").option("pathGlobFilter", "*.{zst,zstd}").load(root)
+    return lines.unionByName(whole.select(F.col("_metadata.file_path").alias("archive"), F.lit(0).cast("long").alias("start"), F.col("content").alias("value")))
 
 
-def _remains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Leading dictionary frames (kind 0) and what is not whole inside a split."""
+def _dictionaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Leading dictionary frames, from the first splits."""
 
     def found() -> Iterator[tuple]:
         begun = None
-        for archive, start, kind, data in _frames(_split_rows(batches)):
-            if kind or (start == 0 and archive != begun and data.startswith(DICTIONARY)):
-                yield archive, start, kind, data
-            begun = archive if start == 0 else begun
+        for archive, _, _, data in _frames(_split_rows(batches), lambda *_: True):
+            if archive != begun and data.startswith(DICTIONARY):
+                yield archive, data
+            begun = archive
 
-    return _batches(found(), [pa.string(), pa.int64(), pa.int32(), pa.binary()], ["archive", "start", "kind", "data"], lambda row: len(row[3]))
+    return _batches(found(), [pa.string(), pa.binary()], ["archive", "data"], lambda row: len(row[1]))
 
 
 def _plain(frame: bytes) -> bytes:
@@ -292,10 +307,8 @@ def read_archives(spark: SparkSession, root: str, payload: bool = True) -> DataF
     header tells; ``payload`` is null if not asked for. Archives without a dictionary frame are read without one. Dictionaries are
     broadcast, up to ``BROADCAST_BYTES`` at once: with more of them the archives are read in groups.
     """
-    lines = _lines(spark, root)
-    remains = stored(lines.mapInArrow(_remains, "archive string, start long, kind int, data binary"), "remains", folder(spark, "warc"))
-    torn = remains.where("kind > 0")
-    heads = remains.where("kind = 0").select("archive", "data", F.sha2("data", 256).alias("digest"))
+    lines, within = _lines(spark, root), folder(spark, "warc")
+    heads = stored(lines.where("start = 0").mapInArrow(_dictionaries, "archive string, data binary"), "dictionaries", within).withColumn("digest", F.sha2("data", 256))
     names = {r.archive: r.digest for r in heads.select("archive", "digest").collect()}
     sizes = heads.groupBy("digest").agg(F.max(F.length("data")).alias("size")).orderBy("digest").collect()
     groups: list[list[str]] = [[]]
@@ -312,7 +325,9 @@ def read_archives(spark: SparkSession, root: str, payload: bool = True) -> DataF
         found = heads.where(F.col("digest").isin(digests)).groupBy("digest").agg(F.first("data").alias("data")).collect() if digests else []
         taught = spark.sparkContext.broadcast((own, {r.digest: _plain(bytes(r.data)) for r in found}))
         mine = F.lit(True) if len(groups) == 1 else F.col("archive").isin([*own]) | (F.lit(k == 0) & ~F.col("archive").isin([*names]))  # the first group has those without a dictionary
-        part = lines.where(mine).mapInArrow(_decoded(taught, payload), RECORD).unionByName(torn.where(mine).groupBy("archive").applyInPandas(_joined(taught, payload), RECORD))
+        own_lines = lines.where(mine)
+        torn = stored(own_lines.mapInArrow(_torn(taught), "archive string, start long, kind int, data binary"), "torn", within)
+        part = own_lines.mapInArrow(_decoded(taught, payload), RECORD).unionByName(torn.groupBy("archive").applyInPandas(_joined(taught, payload), RECORD))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -323,10 +338,20 @@ def _row(archive: str, frame: bytes, packs: dict, taught: tuple[dict, dict], pay
     return archive, *most, body if payload else None, error
 
 
+def _held(batches: Iterator[pa.RecordBatch], taught, packs: dict) -> Iterator[tuple[str, int, int, bytes]]:
+    return _frames(_split_rows(batches), lambda archive, frame: _row(archive, frame, packs, taught.value, False)[-1] is None)
+
+
+def _torn(taught) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What is not whole inside a split."""
+    kinds, names = [pa.string(), pa.int64(), pa.int32(), pa.binary()], ["archive", "start", "kind", "data"]
+    return lambda batches: _batches((x for x in _held(batches, taught, {}) if x[2]), kinds, names, lambda row: len(row[3]))
+
+
 def _decoded(taught, payload: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         packs: dict = {}
-        for archive, _, kind, frame in _frames(_split_rows(batches)):
+        for archive, _, kind, frame in _held(batches, taught, packs):
             if kind == 0 and int.from_bytes(frame[:4], "little") not in SKIPPABLE:
                 yield _row(archive, frame, packs, taught.value, payload)
 
