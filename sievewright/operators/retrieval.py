@@ -12,23 +12,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from . import vectors
+from . import index, vectors
 from .best import Best
 
 NAME_WEIGHT, DESCRIPTION_WEIGHT, PHRASE_WEIGHT = 6, 2, 12
 MIN_SCORE, MIN_SIMILARITY, MARGIN = 2, 0.42, 0.04
 RRF = 60
 GRAM = 4
-QUERY_BLOCK = PROMPT_BLOCK = 4096
+QUERY_BLOCK = 4096
 SCORE_CELLS = 2_000_000
 
 
-def _substrings(text: Column, sizes: list[int]) -> Column:
-    """All different substrings of these lengths."""
-    each = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i: F.substr(text, i, F.lit(n)))
-    return F.array_distinct(F.concat(*map(each, sizes)))
-
-
 def phrase_matches(prompts: DataFrame, names: DataFrame) -> DataFrame:
     """(prompt_id, name) where the prompt holds the name.
 
@@ -38,7 +32,7 @@ def phrase_matches(prompts: DataFrame, names: DataFrame) -> DataFrame:
     names = names.select("name").where("name <> ''").distinct()
     sizes = sorted(r[0] for r in names.select(F.least(F.length("name"), F.lit(GRAM)).alias("size")).distinct().collect())
     text = F.lower("prompt").alias("p")
-    held = prompts.select("prompt_id", text).select("prompt_id", "p", F.explode(_substrings(F.col("p"), sizes or [GRAM])).alias("gram"))
+    held = prompts.select("prompt_id", text).select("prompt_id", "p", F.explode(index.substrings(F.col("p"), sizes or [GRAM])).alias("gram"))
     counts = held.groupBy("gram").agg(F.count("*").alias("n"))
     name = F.lower("name")
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - (GRAM - 1), F.lit(1))), lambda i: F.substr(name, i, F.lit(GRAM)))
@@ -47,112 +41,19 @@ def phrase_matches(prompts: DataFrame, names: DataFrame) -> DataFrame:
     return held.join(rarest, "gram").where(F.contains("p", F.lower("name"))).select("prompt_id", "name")
 
 
-class _Prompts:
-    """A block of prompts: terms to prompts, and all texts in one string for the search of names."""
-
-    def __init__(self, rows: list):
-        self.ids: list[list[int]] = []
-        self.terms: list[frozenset[str]] = []
-        texts: list[str] = []
-        same: dict[str, int] = {}
-        for r in rows:
-            if r.said not in same:  # equal prompts are asked once
-                same[r.said] = len(texts)
-                texts.append(r.said)
-                self.ids.append([])
-                self.terms.append(frozenset(r.terms))
-            self.ids[same[r.said]].append(r.prompt_id)
-        lists: dict[str, list[int]] = {}
-        for i, terms in enumerate(self.terms):
-            for t in terms:
-                lists.setdefault(t, []).append(i)
-        self.vocabulary = sorted(lists)
-        self.size = np.array([len(lists[t]) for t in self.vocabulary], np.int64)
-        self.head = np.cumsum(self.size) - self.size
-        self.prompts = np.array([i for t in self.vocabulary for i in lists[t]], np.int64)
-        self.text = "\x00".join(texts)
-        self.begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
-
-    def holding(self, name: str) -> np.ndarray:
-        """Prompts that hold the name."""
-        found, at = set(), self.text.find(name)
-        while at >= 0:
-            i = int(np.searchsorted(self.begin, at, "right")) - 1
-            if at + len(name) < self.begin[i + 1]:
-                found.add(i)
-            at = self.text.find(name, int(self.begin[i + 1]) if i in found else at + 1)
-        return np.array(sorted(found), np.int64)
-
-
-def _flat(lists: pa.ListArray, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Row and place in ``words`` of the list elements that are among them."""
-    row = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
-    at = pc.fill_null(pc.index_in(lists.flatten(), value_set=words), -1).to_numpy(zero_copy_only=False)
-    return row[at >= 0], at[at >= 0].astype(np.int64)
-
-
-def _scored(held, top: int, min_score: float) -> callable:
-    """The best documents of a task for every prompt of the block, given once, when the task has seen all its documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block: _Prompts = held.value
-        n, words = len(block.ids), pa.array(block.vocabulary, pa.string())
-        best, own = Best(n, top, min_score), {}
-        for batch in batches:
-            ids, tie = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            names, lists = batch.column(2).to_pylist(), [c if isinstance(c, pa.ListArray) else c.cast(pa.list_(pa.string())) for c in batch.columns[3:5]]
-            flat = [(*_flat(c, words), w) for c, w in zip(lists, (NAME_WEIGHT, DESCRIPTION_WEIGHT), strict=True)]
-            row, term, weight = (np.concatenate(x) for x in zip(*((r, t, np.full(len(r), w)) for r, t, w in flat), strict=True))
-            order = np.argsort(row, kind="stable")
-            row, term, weight = row[order], term[order], weight[order]
-            hits = np.cumsum(np.bincount(row, block.size[term], len(ids)))
-            phrase = {name: block.holding(name) for name in set(names) if name}
-            first = 0
-            while first < len(ids):  # chunks of bounded work: postings and cells of the table of scores
-                last = min(first + max(1, SCORE_CELLS // max(1, n)), max(first + 1, int(np.searchsorted(hits, (hits[first - 1] if first else 0) + SCORE_CELLS, "right"))), len(ids))
-                a, b = np.searchsorted(row, [first, last])
-                size = block.size[term[a:b]]
-                entry = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(block.head[term[a:b]], size)
-                cell = block.prompts[entry] * (last - first) + np.repeat(row[a:b] - first, size)
-                scores = np.bincount(cell, np.repeat(weight[a:b], size), n * (last - first)).reshape(n, last - first)
-                for i in range(first, last):
-                    if names[i] and len(phrase[names[i]]):
-                        scores[phrase[names[i]], i - first] += PHRASE_WEIGHT
-                best.add(scores, tie[first:last], ids[first:last])
-                first = last
-            kept = set(best.rows()[3].tolist())
-            own = {i: t for i, t in own.items() if i in kept}
-            for i in np.flatnonzero(np.isin(ids, list(kept))):
-                own[int(ids[i])] = frozenset(lists[0][int(i)].as_py() or ()) | frozenset(lists[1][int(i)].as_py() or ())
-        rows = [(p, int(d), float(s), int(t), " ".join(sorted(block.terms[q] & own[int(d)]))) for q, s, t, d in zip(*best.rows(), strict=True) for p in block.ids[q]]
-        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.string())
-        yield pa.record_batch([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], ["prompt_id", "doc_id", "score", "activation_tokens", "matches"])
-
-    return run
-
-
 def ranked(scored: DataFrame, top: int, *order: Column) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(W.partitionBy("prompt_id").orderBy(*order))).where(F.col("rank") <= top)
 
 
-def lexical_top(prompts: DataFrame, catalog: DataFrame, top: int = 2, min_score: float = MIN_SCORE) -> DataFrame:
+def lexical_top(prompts: DataFrame, catalog: DataFrame | index.Index, top: int = 2, min_score: float = MIN_SCORE, body_weight: float = 0) -> DataFrame:
     """(prompt_id, doc_id, score, matches, rank): terms shared with name and description, and whole names in the prompt.
 
-    The prompts are the stated query set and are taken in blocks of ``PROMPT_BLOCK``: a block is broadcast as lists of prompts
-    by term, one scan of the catalog scores it, and each task hands on its best ``top`` of a prompt, so what is shuffled
-    does not grow with the matches. Descriptions are what a catalog entry shows: `catalog.from_documents` takes the first
-    ``DESCRIPTION_SIZE`` characters of a text; bodies count in `rerank_blend`. A prompt without a term has no candidates.
+    catalog: an index, or a table that is indexed first. Descriptions are what a catalog entry shows: `catalog.from_documents`
+    takes the first ``DESCRIPTION_SIZE`` characters of a text. With a ``body_weight`` the terms of the whole body count too, so that
+    any part of a text can be found (0: bodies count in `rerank_blend` only). A prompt without a term has no candidates.
     """
-    spark = prompts.sparkSession
-    asked = prompts.select("prompt_id", F.lower(F.coalesce("prompt", F.lit(""))).alias("said"), F.array_distinct(tx.tokenize(F.col("prompt"))).alias("terms")).where(F.size("terms") > 0)
-    entries = catalog.select(F.col("doc_id").cast("long"), F.col("activation_tokens").cast("long"), F.lower(F.coalesce("name", F.lit(""))), F.array_distinct(tx.tokenize(F.col("name"))), F.array_distinct(tx.tokenize(F.col("description"))))
-    schema = "prompt_id long, doc_id long, score double, activation_tokens long, matches string"
-    found = spark.createDataFrame([], schema)
-    n = -(-asked.count() // PROMPT_BLOCK)
-    for k in range(n):
-        block = _Prompts(asked.where(F.pmod(F.xxhash64("prompt_id"), F.lit(n)) == k).orderBy("prompt_id").collect())
-        found = found.unionByName(entries.mapInArrow(_scored(spark.sparkContext.broadcast(block), top, min_score), schema))
-    return ranked(found, top, F.desc("score"), F.col("activation_tokens"), F.col("doc_id")).select("prompt_id", "doc_id", "score", "matches", "rank")
+    held = catalog if isinstance(catalog, index.Index) else index.build(catalog, body=body_weight > 0)
+    return index.search(prompts, held, top, min_score, [NAME_WEIGHT, DESCRIPTION_WEIGHT, body_weight, PHRASE_WEIGHT])
 
 
 def exact_name_matches(prompts: DataFrame, catalog: DataFrame, max_entries: int = 300, min_chars: int = 4) -> DataFrame:

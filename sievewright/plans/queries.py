@@ -117,6 +117,19 @@ def lexical_top2(spark, sf_dir):
     return retrieval.lexical_top(_prompts(spark, sf_dir), _catalog(spark, sf_dir), 2)
 
 
+_BODY_HITS = f"""q AS (SELECT prompt_id, unnest(list_distinct({_tok("prompt")})) AS term FROM prompts),
+tt AS (SELECT doc_id, unnest(list_distinct({_tok("name")})) AS term, 6 AS weight FROM cat UNION ALL SELECT doc_id, unnest(list_distinct({_tok("description")})), 2 FROM cat UNION ALL SELECT doc_id, unnest(list_distinct({_tok("body")})), 1 FROM cat),
+hits AS (SELECT prompt_id, doc_id, term, weight FROM q JOIN tt USING (term) UNION ALL SELECT prompt_id, doc_id, NULL, 12 FROM prompts JOIN cat ON cat.name <> '' AND contains(lower(prompt), lower(cat.name)) WHERE prompt_id IN (SELECT prompt_id FROM q)),
+lex AS (SELECT prompt_id, doc_id, sum(weight)::DOUBLE AS score, coalesce(array_to_string(list_sort(list(DISTINCT term) FILTER (WHERE term IS NOT NULL)), ' '), '') AS matches FROM hits GROUP BY ALL)"""
+
+
+@query(f"""WITH {_CAT}, {_PROMPTS}, {_BODY_HITS}
+    SELECT * FROM (SELECT lex.*, row_number() OVER (PARTITION BY prompt_id ORDER BY score DESC, activation_tokens, doc_id) AS rank FROM lex JOIN cat USING (doc_id) WHERE score >= 2) WHERE rank <= 2""")
+def body_search(spark, sf_dir):
+    """Whole texts: the terms of the bodies count 1 each."""
+    return retrieval.lexical_top(_prompts(spark, sf_dir), _catalog(spark, sf_dir), 2, body_weight=1)
+
+
 def _vector_list(spark, sf_dir, top):
     """Every vector whose id is divisible by 100 against all vectors, itself included."""
     v = _read(spark, sf_dir, "embeddings")

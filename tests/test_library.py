@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievewright.functions import text as tx
-from sievewright.operators import budget, catalog, metrics, retrieval, sampling, sessions, vectors
+from sievewright.operators import budget, catalog, index, metrics, retrieval, sampling, sessions, vectors
 from sievewright.plans import queries as plans
 from sievewright.sources import tables
 from sievewright.streaming import sessions as live
@@ -324,9 +324,53 @@ def test_lexical_blocks_and_names(spark, monkeypatch):
     key = lambda r: (r.prompt_id, r.rank)
     one = sorted(retrieval.lexical_top(prompts, cat, 3).collect(), key=key)
     assert any(r.prompt_id >= 2 * 10**6 and r.score >= 12 for r in one)
-    monkeypatch.setattr(retrieval, "PROMPT_BLOCK", 10)
-    monkeypatch.setattr(retrieval, "SCORE_CELLS", 500)
-    assert sorted(retrieval.lexical_top(prompts, cat.repartition(5), 3).collect(), key=key) == one
+    monkeypatch.setattr(index, "BLOCK", 10)
+    monkeypatch.setattr(index, "SHARD", (30, 30))
+    held = index.build(cat.repartition(5))
+    assert held.shards > 5 and sorted(retrieval.lexical_top(prompts, held, 3).collect(), key=key) == one
+    assert retrieval.lexical_top(prompts.limit(0), held).collect() == [] and retrieval.lexical_top(prompts, cat.limit(0)).collect() == []
+
+
+def test_pruned_search_by_brute_force(monkeypatch):
+    rng = np.random.default_rng(1)
+    for _ in range(400):
+        monkeypatch.setattr(index, "SEEDS", int(rng.integers(0, 60)))
+        lists = [np.unique(rng.integers(0, 200, size=int(2 ** rng.integers(0, 9)))) for _ in range(rng.integers(1, 12))]
+        weights, tie = rng.choice([2.0, 6.0, 12.0, 0.5], size=len(lists)), rng.integers(0, 3, size=200)
+        scores = {}
+        for docs, w in zip(lists, weights, strict=True):
+            for d in docs.tolist():
+                scores[d] = scores.get(d, 0) + w
+        for top, floor in ((1, 2), (3, 2), (10, 9)):
+            want = sorted((-s, tie[d], d) for d, s in scores.items() if s >= floor)[:top]
+            got = index._best(lists, weights, top, floor, lambda d: tie[d])
+            assert [(-s, d) for d, s in zip(*got, strict=True)] == [(s, d) for s, _, d in want]
+
+
+def test_a_large_table_of_prompts(spark):
+    """100,000 prompts cut from texts; a sample of them against a plain version."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    cat = catalog.from_documents(docs)
+    cuts = docs.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.lit(99))).alias("k")).select((F.col("doc_id") * 100 + F.col("k")).alias("prompt_id"), F.expr("substr(text, 1 + k * 7, 90)").alias("prompt"))
+    assert cuts.count() == 100_000
+    found = retrieval.lexical_top(cuts, cat, 2).select("prompt_id", "rank", "doc_id", "score").toPandas()
+    assert len(found) > 100_000
+    got = {(r.prompt_id, r.rank): (r.doc_id, r.score) for r in found.itertuples()}
+    words = lambda df, c: F.array_distinct(tx.tokenize(F.col(c)))
+    entries = [(r.doc_id, r.activation_tokens, r.name.lower(), set(r.n), set(r.d)) for r in cat.select("doc_id", "activation_tokens", "name", words(cat, "name").alias("n"), words(cat, "description").alias("d")).collect()]
+    asked = cuts.where("prompt_id % 1999 = 0").select("prompt_id", "prompt", words(cuts, "prompt").alias("t")).collect()
+    for r in asked:
+        said, t = (r.prompt or "").lower(), set(r.t or [])
+        scored = [(-(6 * len(t & n) + 2 * len(t & d) + 12 * bool(name and name in said)), tie, i) for i, tie, name, n, d in entries] if t else []
+        want = [(i, float(-s)) for s, _, i in sorted(scored)[:2] if s <= -2]
+        assert [got.get((r.prompt_id, k + 1)) for k in range(2)] == (want + [None, None])[:2]
+
+
+def test_whole_texts_are_searchable(spark):
+    cat = catalog.from_documents(spark.createDataFrame([(1, "word " * 200 + "zanzibar"), (2, "other text"), (3, None)], "doc_id long, text string").withColumn("lang", F.lit("en")).withColumn("source", F.lit("s")))
+    asked = spark.createDataFrame([(1, "where is zanzibar"), (2, None), (3, "")], "prompt_id long, prompt string")
+    assert retrieval.lexical_top(asked, cat).collect() == []
+    assert [(r.prompt_id, r.doc_id, r.score, r.matches) for r in retrieval.lexical_top(asked, cat, body_weight=2).collect()] == [(1, 1, 2.0, "zanzibar")]
 
 
 def test_rerank_by_a_model(spark):
