@@ -1,6 +1,7 @@
 """Small golden cases of the library's own operators, and stream against batch."""
 
 import json
+import time
 
 import numpy as np
 import pytest
@@ -281,6 +282,80 @@ def test_ends_and_legacy_states(spark):
     assert {(r.item, r.since) for r in live.residents(trace).collect()} == {(7, 1)}
 
 
+def _drained(spark, frame, tmp_path, name):
+    """One run over all that is there: what the sink has then."""
+    tables.append_trace(frame, str(tmp_path / "out" / name), str(tmp_path / "state" / name)).awaitTermination(120)
+    return sorted(map(tuple, spark.read.parquet(str(tmp_path / "out" / name)).collect()), key=lambda r: (r[0], r[1]))
+
+
+def _written(events, path, k):
+    events.coalesce(1).write.mode("append").parquet(str(path / "in" / str(k)))
+
+
+def _stream(spark, events, path):
+    return spark.readStream.schema(events.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(path / "in"))
+
+
+def test_state_over_batches_and_a_restart(spark, tmp_path):
+    """Several micro-batches, then a second run from the checkpoint with more input; memo, summaries and compactions included."""
+    events = plans.session_events(spark, "/root/testdata/sf0.001").where("session < 6").withColumn("prompt_key", F.when(F.col("event") == "prompt", F.concat(F.lit("k"), F.col("event_id") % 7)))
+    events = events.withColumn("offered", F.transform("selected", lambda x: (x + 1) % 50)).withColumn("offered", F.col("offered").cast("array<long>"))
+    events = events.withColumn("budget", F.when(F.col("event") == "compact", 3))
+    rows = [r.event_id for r in events.orderBy("ts", "event_id").select("event_id").collect()]
+    cuts = [rows[len(rows) * k // 4 : len(rows) * (k + 1) // 4] for k in range(4)]
+    batch = sorted(map(tuple, live.trace_batch(events).collect()), key=lambda r: (r[0], r[1]))
+    for k, ids in enumerate(cuts[:3]):
+        _written(events.where(F.col("event_id").isin(ids)), tmp_path, k)
+    first = _drained(spark, live.trace_stream(_stream(spark, events, tmp_path)), tmp_path, "a")
+    assert len(first) == sum(map(len, cuts[:3]))
+    _written(events.where(F.col("event_id").isin(cuts[3])), tmp_path, 3)
+    assert _drained(spark, live.trace_stream(_stream(spark, events, tmp_path)), tmp_path, "a") == batch
+    assert any(r[-1] for r in batch) and any(r[-2] for r in batch) and any(r[8] for r in batch)
+
+
+def test_state_begins_with_legacy_lists(spark, tmp_path):
+    legacy = spark.createDataFrame([(1, [7, 8]), (2, [])], "session long, ids array<long>")
+    events = spark.createDataFrame([(s, "prompt", t, t + 10 * s, [7, t], None) for s in (1, 2, 3) for t in (1, 2)] + [(1, "compact", 3, 19, None, 2)], "session long, event string, t long, event_id long, selected array<long>, budget int").withColumn("ts", F.timestamp_seconds("t")).drop("t")
+    _written(events, tmp_path, 0)
+    got = _drained(spark, live.trace_stream(_stream(spark, events, tmp_path), legacy=legacy), tmp_path, "b")
+    batch = sorted(map(tuple, live.trace_batch(live.from_legacy(legacy).unionByName(events)).where("event <> 'legacy'").collect()), key=lambda r: (r[0], r[1]))
+    assert got == batch and [r[5] for r in got if r[0] == 1] == [[7], [7], []]
+
+
+def test_idle_sessions_end_by_timer(spark, tmp_path):
+    events = spark.createDataFrame([(1, "prompt", 1, [7], None)], "session long, event string, event_id long, selected array<long>, budget int").withColumn("ts", F.timestamp_seconds("event_id"))
+    _written(events, tmp_path, 0)
+    frame = live.trace_stream(_stream(spark, events, tmp_path), idle_ms=1000, ttl_ms=3_600_000)
+    at = str(tmp_path / "out")
+    query = frame.writeStream.format("parquet").option("path", at).option("checkpointLocation", str(tmp_path / "state")).trigger(processingTime="200 milliseconds").start()
+    told = lambda: {(r.session, r.event_id, r.event, r.now) for r in (spark.read.parquet(at).collect() if tables.exists(spark, at + "/_spark_metadata/0") else [])}
+
+    def wait(row):
+        end = time.time() + 60
+        while row not in told() and time.time() < end and query.isActive:
+            time.sleep(0.5)
+        assert row in told()
+
+    try:
+        wait((1, -1, "end", 1))
+        _written(events.withColumn("event_id", F.lit(5).cast("long")), tmp_path, 1)
+        wait((1, 5, "prompt", 1))  # the state is gone: the clock begins anew
+    finally:
+        query.stop()
+
+
+def test_prompt_memo():
+    s = live.Session()
+    say = lambda k, ids: s.step("prompt", ids, None, None, f"k{k}")
+    for k in range(32):
+        say(k, [k])
+    again = say(0, None)
+    assert again["recalled"] and again["deduplicated"] == [0]  # and the key is now the latest
+    assert not say(32, [32])["recalled"] and len(s.memo) == 32
+    assert not say(1, [77])["recalled"] and say(0, [99])["deduplicated"] == [0]
+    assert say(1, None)["deduplicated"] == [77]
+
+
 def test_summaries_are_spaced():
     s = live.Session()
     told = [s.step("prompt", [1], None, [1, 2])["summarized"] for _ in range(12)]
