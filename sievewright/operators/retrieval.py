@@ -19,7 +19,7 @@ NAME_WEIGHT, DESCRIPTION_WEIGHT, PHRASE_WEIGHT = 6, 2, 12
 MIN_SCORE, MIN_SIMILARITY, MARGIN = 2, 0.42, 0.04
 RRF = 60
 GRAM = 4
-QUERY_BLOCK = 4096
+QUERY_BLOCK, POOL_SHARD = 4096, 65_536
 SCORE_CELLS = 2_000_000
 
 
@@ -78,40 +78,71 @@ def _vectors(lists: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield rows, flat[head[rows][:, None] + np.arange(n)]
 
 
+def _unit(m: np.ndarray) -> np.ndarray:
+    return np.divide(m, np.sqrt((m * m).sum(1))[:, None], out=np.zeros_like(m), where=(m != 0).any(1)[:, None])
+
+
+def _nearest(ids: np.ndarray, lists: pa.ListArray, batches: Iterator[tuple[np.ndarray, pa.ListArray]], top: int, floor: float) -> tuple[np.ndarray, ...]:
+    """(query, row, similarity): the best rows of the batches for each query, by vectors of the same size."""
+    asked = {m.shape[1]: (ids[at], _unit(m)) for at, m in _vectors(lists)}
+    kept = {size: Best(len(own), top, floor) for size, (own, _) in asked.items()}
+    for rows, held in batches:
+        for at, matrix in _vectors(held):
+            if matrix.shape[1] in kept:
+                mine = asked[matrix.shape[1]][1]
+                step = max(1, SCORE_CELLS // len(mine))
+                for i in range(0, len(at), step):
+                    part = at[i : i + step]
+                    kept[matrix.shape[1]].add(np.round(mine @ _unit(matrix[i : i + step]).T, 9), np.zeros(len(part), np.int64), rows[part])
+    found = [(asked[size][0][query], at, score) for size, one in kept.items() for query, score, _, at in [one.rows()]]
+    return tuple(np.concatenate([np.asarray(f[j], kind) for f in found] or [np.zeros(0, kind)]) for j, kind in enumerate((np.int64, np.int64, np.float64)))
+
+
+_NEAR = "prompt_id long, doc_id long, score double"
+
+
+def _by_broadcast(queries: DataFrame, pool: DataFrame, top: int, floor: float) -> DataFrame:
+    rows = queries.collect()
+    held = queries.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), [r[1] for r in rows]))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, own = held.value
+        found = _nearest(ids, pa.array(own, pa.list_(pa.float64())), ((b.column(0).to_numpy(zero_copy_only=False), b.column(1)) for b in batches), top, floor)
+        yield pa.record_batch([pa.array(x) for x in found], ["prompt_id", "doc_id", "score"])
+
+    return pool.mapInArrow(best, _NEAR)
+
+
+def _by_grid(queries: DataFrame, pool: DataFrame, top: int, floor: float, blocks: int, shards: int) -> DataFrame:
+    """Cells of a block of queries and a shard of the pool meet in one task each; both sides are dealt by hash."""
+    dealt = lambda key, n: F.pmod(F.xxhash64(*key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.select("prompt_id", "embedding", dealt(["prompt_id", "embedding"], blocks).alias("block"), every(shards).alias("shard"))
+    given = pool.select("doc_id", "embedding", dealt(["doc_id", "embedding"], shards).alias("own_shard"), every(blocks).alias("own_block"))
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        vectors_ = lambda t: t.column("embedding").combine_chunks()
+        found = _nearest(left.column("prompt_id").to_numpy(), vectors_(left), iter([(right.column("doc_id").to_numpy(), vectors_(right))]), top, floor)
+        return pa.table(dict(zip(("prompt_id", "doc_id", "score"), found, strict=True)))
+
+    return asked.groupBy("block", "shard").cogroup(given.groupBy("own_block", "own_shard")).applyInArrow(best, _NEAR)
+
+
 def vector_top(queries: DataFrame, pool: DataFrame, top: int, floor: float = -1.0) -> DataFrame:
     """(prompt_id, doc_id, score, rank): queries (prompt_id, embedding) against pool (doc_id, embedding), by cosine.
 
-    The queries are the stated set: they are broadcast in blocks of ``QUERY_BLOCK``, one scan of the pool each. A task
-    multiplies its batches with a block and hands on its best ``top`` of a query once; a window picks the best of those.
-    Different sizes do not meet, a zero vector has similarity 0, ties go to the lesser id.
+    Up to ``QUERY_BLOCK`` queries are broadcast and the pool is scanned once, without a shuffle. More of them meet the pool on a grid
+    of query blocks and pool shards (``POOL_SHARD`` vectors): neither side passes through the driver, and a cell is bounded however
+    large both are. A task or cell hands on its best ``top`` of a query; a window picks the best of those. Different sizes do
+    not meet, a zero vector has similarity 0, ties go to the lesser id; null vectors take no part.
     """
-    spark = queries.sparkSession
-    queries = queries.where("embedding is not null").select("prompt_id", "embedding")
-    n = -(-queries.count() // QUERY_BLOCK)
-    schema = "prompt_id long, doc_id long, score double"
-    found = spark.createDataFrame([], schema)
-    unit = lambda m: np.divide(m, np.sqrt((m * m).sum(1))[:, None], out=np.zeros_like(m), where=(m != 0).any(1)[:, None])
-    for k in range(n):
-        rows = queries.where(F.pmod(F.xxhash64("prompt_id"), F.lit(n)) == k).orderBy("prompt_id").collect()
-        sizes = {len(r[1]) for r in rows}
-        held = spark.sparkContext.broadcast({size: ([r[0] for r in rows if len(r[1]) == size], unit(np.array([r[1] for r in rows if len(r[1]) == size], np.float64))) for size in sizes})
-
-        def best(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            kept = {size: Best(len(ids), top, floor) for size, (ids, _) in held.value.items()}
-            for batch in batches:
-                doc_ids = batch.column(0).to_numpy(zero_copy_only=False)
-                for mine, matrix in _vectors(batch.column(1)):
-                    if matrix.shape[1] in kept:
-                        asked = held.value[matrix.shape[1]][1]
-                        step = max(1, SCORE_CELLS // len(asked))
-                        for i in range(0, len(mine), step):
-                            part = mine[i : i + step]
-                            kept[matrix.shape[1]].add(np.round(asked @ unit(matrix[i : i + step]).T, 9), np.zeros(len(part), np.int64), doc_ids[part])
-            for size, one in kept.items():
-                query, score, _, ids = one.rows()
-                yield pa.record_batch([pa.array(np.array(held.value[size][0], np.int64)[query]), pa.array(ids.astype(np.int64)), pa.array(score)], ["prompt_id", "doc_id", "score"])
-
-        found = found.unionByName(pool.where("embedding is not null").select(F.col("doc_id").cast("long"), "embedding").mapInArrow(best, schema))
+    queries = queries.where("embedding is not null").select(F.col("prompt_id").cast("long"), F.col("embedding").cast("array<double>"))
+    pool = pool.where("embedding is not null").select(F.col("doc_id").cast("long"), F.col("embedding").cast("array<double>"))
+    n = queries.count()
+    if n <= QUERY_BLOCK:
+        found = _by_broadcast(queries, pool, top, floor)
+    else:
+        found = _by_grid(queries, pool, top, floor, -(-n // QUERY_BLOCK), max(1, -(-pool.count() // POOL_SHARD)))
     return ranked(found, top, F.desc("score"), F.col("doc_id"))
 
 

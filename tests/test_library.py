@@ -60,6 +60,21 @@ def test_vector_top_and_abstention(spark):
     assert retrieval.vector_top(q, pool.where("doc_id = 2"), 1, 0.42).isEmpty()
 
 
+def test_vectors_on_a_grid(spark, monkeypatch):
+    """The same list at any size of block and shard as by one broadcast; sizes, null and zero vectors and ties included."""
+    rng = np.random.default_rng(2)
+    vector = lambda i: None if i % 50 == 7 else [0.0] * 4 if i % 50 == 9 else [float(x) for x in rng.integers(-2, 3, size=3 + i % 2)]
+    q = spark.createDataFrame([(i, vector(i)) for i in range(300)], "prompt_id long, embedding array<float>")
+    pool = spark.createDataFrame([(i, vector(i)) for i in range(500)], "doc_id long, embedding array<float>")
+    one = sorted(map(tuple, retrieval.vector_top(q, pool, 4, 0.1).collect()))
+    assert len(one) > 900
+    for block, shard in ((100, 1000), (37, 60), (299, 7)):
+        monkeypatch.setattr(retrieval, "QUERY_BLOCK", block)
+        monkeypatch.setattr(retrieval, "POOL_SHARD", shard)
+        assert sorted(map(tuple, retrieval.vector_top(q, pool, 4, 0.1).collect())) == one
+    assert retrieval.vector_top(q, pool.limit(0), 4).collect() == []
+
+
 def test_exact_name(spark):
     p = spark.createDataFrame([(1, "run pdf-extraction on this document")], "prompt_id long, prompt string")
     cat = spark.createDataFrame([(1, "pdf_extraction"), (2, "sheets")], "doc_id long, name string")
