@@ -12,12 +12,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..sources.shared import folder, stored
 from . import index, vectors
 from .best import Best
 
 NAME_WEIGHT, DESCRIPTION_WEIGHT, PHRASE_WEIGHT = 6, 2, 12
 MIN_SCORE, MIN_SIMILARITY, MARGIN = 2, 0.42, 0.04
-RRF = 60
+RRF, DEPTH = 60, 20
 GRAM = 4
 QUERY_BLOCK, POOL_SHARD = 4096, 65_536
 SCORE_CELLS = 2_000_000
@@ -163,6 +164,33 @@ def ambiguity(ranked_list: DataFrame, margin: float = MARGIN) -> DataFrame:
     return ranked_list.withColumn("ambiguous", F.coalesce(F.col("score") - second < margin, F.lit(False))).where("rank = 1")
 
 
+def semantic_list(asked: DataFrame, pool: DataFrame, catalog: DataFrame, top: int, floor: float = MIN_SIMILARITY, depth: int = DEPTH, margin: float = MARGIN) -> DataFrame:
+    """(prompt_id, doc_id, score, rank, ambiguous): the ``max(top, depth)`` best different texts over the floor; none if the best is under it.
+
+    Of copies of a text the best stays; a document that the catalog lacks is a text of its own. Ambiguous is only the
+    first of a list that is asked for one document (top = 1), if the second is within the margin.
+    """
+    depth = max(top, depth)
+    texts = catalog.select(F.col("doc_id").cast("long"), tx.content_hash(F.col("body")).alias("content_hash"))
+    own = pool.select(F.col("doc_id").cast("long"), "embedding").join(texts, "doc_id", "left").withColumn("content_hash", F.coalesce("content_hash", F.col("doc_id").cast("string")))
+    most = own.groupBy("content_hash").count().agg(F.max("count")).first()[0] or 1  # so many copies may stand before another text
+    found = vector_top(asked, own.select("doc_id", "embedding"), depth * most, floor).drop("rank").join(own.select("doc_id", "content_hash"), "doc_id")
+    best = ranked(dedup_by_content(found).drop("content_hash"), depth, F.desc("score"), F.col("doc_id"))
+    second = F.lead("score").over(W.partitionBy("prompt_id").orderBy("rank"))
+    return best.withColumn("ambiguous", F.coalesce(F.lit(top == 1) & (F.col("rank") == 1) & (F.col("score") - second < margin), F.lit(False)))
+
+
+def fused_pool(semantic: DataFrame, lexical: DataFrame, k: int = DEPTH) -> DataFrame:
+    """(prompt_id, doc_id, score, rank, method, ambiguous): both lists in one order by reciprocal ranks, cut to ``k``, for prompts with a semantic list.
+
+    What only the terms found has the score 0, so that a reranker has to lift it.
+    """
+    own = semantic.select("prompt_id", "doc_id", "score", "ambiguous", F.lit("semantic").alias("method"))
+    both = fuse(semantic, lexical.join(semantic.select("prompt_id").distinct(), "prompt_id", "left_semi"), top=k).drop("score")
+    held = both.join(own, ["prompt_id", "doc_id"], "left")
+    return held.select("prompt_id", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"), "rank", F.coalesce("method", F.lit("lexical")).alias("method"), F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"))
+
+
 def fuse(*lists: DataFrame, top: int, k: int = RRF) -> DataFrame:
     """Reciprocal rank fusion of lists (prompt_id, doc_id, rank)."""
     held = lists[0].select("prompt_id", "doc_id", "rank")
@@ -172,11 +200,17 @@ def fuse(*lists: DataFrame, top: int, k: int = RRF) -> DataFrame:
     return ranked(held.groupBy("prompt_id", "doc_id").agg(score.alias("score")), top, F.desc("score"), F.col("doc_id"))
 
 
-def rerank_blend(candidates: DataFrame, prompts: DataFrame, catalog: DataFrame, top: int) -> DataFrame:
-    """max(s, 0.85 s + 0.15 overlap of prompt and body); bodies are joined for the candidates only."""
+def with_bodies(candidates: DataFrame, catalog: DataFrame) -> DataFrame:
+    """candidates with ``body``, read for them only; a candidate that the catalog lacks is an error."""
     candidates = candidates.where("prompt_id IS NOT NULL")  # said before the list is used twice, so that its shuffle is reused
-    bodies = candidates.select("doc_id").distinct().join(catalog.select("doc_id", "body"), "doc_id")
-    held = candidates.join(bodies, "doc_id").join(prompts, "prompt_id")
+    bodies = candidates.select("doc_id").distinct().join(catalog.select("doc_id", "body", F.lit(True).alias("there")), "doc_id", "left")
+    missing = F.raise_error(F.concat(F.lit("candidate without a body: "), F.col("doc_id").cast("string")))
+    return candidates.join(bodies, "doc_id").withColumn("body", F.when(F.col("there").isNull(), missing).otherwise(F.col("body"))).drop("there")
+
+
+def rerank_blend(candidates: DataFrame, prompts: DataFrame, catalog: DataFrame, top: int) -> DataFrame:
+    """max(s, 0.85 s + 0.15 overlap of prompt and body)."""
+    held = with_bodies(candidates, catalog).join(prompts.select("prompt_id", "prompt"), "prompt_id")
     share = tx.overlap(tx.tokenize(F.col("prompt")), tx.tokenize(F.col("body")))
     blend = F.round(F.greatest(F.col("score"), 0.85 * F.col("score") + 0.15 * share), 9)
     return ranked(held.select("prompt_id", "doc_id", blend.alias("score")), top, F.desc("score"), F.col("doc_id"))
@@ -190,35 +224,53 @@ def rerank(candidates: DataFrame, prompts: DataFrame, catalog: DataFrame, top: i
         return rerank_blend(candidates, prompts, catalog, top)
     if mode != "model" or load is None:
         raise ValueError("mode is none, similarity, or model with a model to load")
-    pairs = candidates.select("prompt_id", "doc_id").join(catalog.select("doc_id", "body"), "doc_id").join(prompts.select("prompt_id", "prompt"), "prompt_id")
+    pairs = with_bodies(candidates.select("prompt_id", "doc_id"), catalog).join(prompts.select("prompt_id", "prompt"), "prompt_id")
     return ranked(vectors.score_pairs(pairs, load).select("prompt_id", "doc_id", "score"), top, F.desc("score"), F.col("doc_id"))
 
 
-def decide(exact: DataFrame, semantic: DataFrame, lexical: DataFrame, asked: DataFrame, floor: float = MIN_SIMILARITY) -> DataFrame:
-    """One method a prompt: exact name, else semantic over the floor and not ambiguous, else lexical where no vector was asked.
+def decide(exact: DataFrame, accepted: DataFrame, lexical: DataFrame, asked: DataFrame) -> DataFrame:
+    """One method a prompt: exact name, else what was accepted by similarity, else terms where no vector was asked.
 
-    asked: prompt_id of the prompts that have a query vector. Lexical confidence is min(0.6, score / 20).
+    accepted: prompt_id, doc_id, score, rank, method; asked: prompt_id of the prompts that have a query vector. Lexical confidence is
+    min(0.6, score / 20).
     """
     first = exact.select("prompt_id", "doc_id", F.lit(1.0).alias("score"), F.lit(1).alias("rank"), F.lit("exact").alias("method"), F.lit(0).alias("priority"))
-    clear = ambiguity(semantic).where(~F.col("ambiguous") & (F.col("score") >= floor)).select("prompt_id")
-    middle = semantic.join(clear, "prompt_id", "left_semi").where(F.col("score") >= floor).select("prompt_id", "doc_id", "score", "rank", F.lit("semantic").alias("method"), F.lit(1).alias("priority"))
+    middle = accepted.select("prompt_id", "doc_id", "score", "rank", "method", F.lit(1).alias("priority"))
     last = lexical.join(asked, "prompt_id", "left_anti").select("prompt_id", "doc_id", F.least(F.lit(0.6), F.col("score") / 20).alias("score"), "rank", F.lit("lexical").alias("method"), F.lit(2).alias("priority"))
     held = first.unionByName(middle).unionByName(last)
     best = held.groupBy("prompt_id").agg(F.min("priority").alias("priority"))
     return held.join(best, ["prompt_id", "priority"]).drop("priority")
 
 
-def route(prompts: DataFrame, catalog: DataFrame, top: int = 2, mode: str = "hybrid", pool: DataFrame | None = None, max_entries: int = 300) -> DataFrame:
+def accept(candidates: DataFrame, prompts: DataFrame, catalog: DataFrame, top: int, reranker: str = "similarity", load: Callable | None = None, floor: float = MIN_SIMILARITY, depth: int = DEPTH) -> DataFrame:
+    """(prompt_id, doc_id, score, rank, method): the candidates of `fused_pool` after the reranker, over its floor, ``top`` of them.
+
+    Without a reranker the fused order stays, and a prompt whose only accepted document is ambiguous gets none.
+    """
+    if reranker == "none":
+        held = candidates.where(F.col("score") >= floor).withColumn("rank", F.row_number().over(W.partitionBy("prompt_id").orderBy("rank"))).where(F.col("rank") <= top)
+        n = F.count("*").over(W.partitionBy("prompt_id"))
+        return held.withColumn("n", n).where(~((F.col("n") == 1) & F.col("ambiguous"))).drop("n", "ambiguous")
+    scored = rerank(candidates.select("prompt_id", "doc_id", "score"), prompts, catalog, depth, reranker, load).where(F.col("score") >= floor)
+    return scored.where(F.col("rank") <= top).join(candidates.select("prompt_id", "doc_id", "method"), ["prompt_id", "doc_id"])
+
+
+def route(prompts: DataFrame, catalog: DataFrame, top: int = 2, mode: str = "hybrid", pool: DataFrame | None = None, max_entries: int = 300, reranker: str = "similarity", load: Callable | None = None, depth: int = DEPTH) -> DataFrame:
     """(prompt_id, doc_id, score, rank, method) by mode ``lexical``, ``semantic`` or ``hybrid``.
 
-    prompts: prompt_id, prompt and, but for the lexical mode, embedding (null: no vector); pool: doc_id, embedding.
-    ``semantic`` leaves out the exact-name shortcut; in both modes with vectors, prompts without one fall back on terms.
+    prompts: prompt_id, prompt and, but for the lexical mode, embedding (null: no vector); pool: doc_id, embedding. Prompts with a
+    vector take the fused and reranked list, or nothing if that accepts nothing; prompts without one fall back on terms.
+    ``semantic`` leaves out the exact-name shortcut. reranker and load: see `rerank`.
     """
     if mode not in ("lexical", "semantic", "hybrid"):
         raise ValueError("mode is lexical, semantic or hybrid")
-    lexical = lexical_top(prompts, catalog, top)
     if mode == "lexical":
-        return lexical.select("prompt_id", "doc_id", "score", "rank", F.lit("lexical").alias("method"))
+        return lexical_top(prompts, catalog, top).select("prompt_id", "doc_id", "score", "rank", F.lit("lexical").alias("method"))
+    within = folder(prompts.sparkSession, "route")  # what is read more than once is stored
+    prompts = stored(prompts.select("prompt_id", "prompt", "embedding"), "prompts", within)
     asked = prompts.where("embedding is not null").select("prompt_id", "embedding")
     exact = exact_name_matches(prompts, catalog, max_entries if mode == "hybrid" else -1)
-    return decide(exact, vector_top(asked, pool, top), lexical, asked.select("prompt_id"))
+    lexical, semantic = stored(lexical_top(prompts, catalog, max(top, 2)), "lexical", within), stored(semantic_list(asked, pool, catalog, top, depth=depth), "semantic", within)
+    candidates = stored(fused_pool(semantic, lexical, max(top, depth)), "candidates", within)
+    accepted = accept(candidates, prompts, catalog, top, reranker, load, depth=max(top, depth))
+    return decide(exact, accepted, lexical.where(F.col("rank") <= top), asked.select("prompt_id"))

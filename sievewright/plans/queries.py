@@ -80,26 +80,38 @@ t AS (SELECT doc_id, list_distinct({_tok("name")}) AS n, list_distinct({_tok("de
 tt AS (SELECT doc_id, n, d, unnest(list_distinct(list_concat(n, d))) AS term FROM t),
 hits AS (SELECT prompt_id, doc_id, term, CASE WHEN list_contains(n, term) THEN 6 ELSE 0 END + CASE WHEN list_contains(d, term) THEN 2 ELSE 0 END AS weight FROM q JOIN tt USING (term)
          UNION ALL SELECT prompt_id, doc_id, NULL, 12 FROM prompts JOIN cat ON cat.name <> '' AND contains(lower(prompt), lower(cat.name)) WHERE prompt_id IN (SELECT prompt_id FROM q)),
-lex AS (SELECT prompt_id, doc_id, sum(weight)::DOUBLE AS score, coalesce(array_to_string(list_sort(list(DISTINCT term) FILTER (WHERE term IS NOT NULL)), ' '), '') AS matches FROM hits GROUP BY ALL),
-lextop AS (SELECT * FROM (SELECT lex.*, row_number() OVER (PARTITION BY prompt_id ORDER BY score DESC, activation_tokens, doc_id) AS rank FROM lex JOIN cat USING (doc_id) WHERE score >= 2))"""
+lex AS MATERIALIZED (SELECT prompt_id, doc_id, sum(weight)::DOUBLE AS score, coalesce(array_to_string(list_sort(list(DISTINCT term) FILTER (WHERE term IS NOT NULL)), ' '), '') AS matches FROM hits GROUP BY ALL),
+lextop AS MATERIALIZED (SELECT * FROM (SELECT lex.*, row_number() OVER (PARTITION BY prompt_id ORDER BY score DESC, activation_tokens, doc_id) AS rank FROM lex JOIN cat USING (doc_id) WHERE score >= 2))"""
 _LOG = "log AS (SELECT user_id AS session, (props->>'$.k')::BIGINT AS item, ts, event_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS now FROM events)"
 _FEAT = "feat AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY first_use, item) AS insert_seq FROM (SELECT session, item, min(now) AS first_use, max(now) AS last_use, count(*) - 1 AS hits FROM log GROUP BY ALL))"
 _QRELS = "qrels AS (SELECT lang AS task_id, doc_id, (CASE WHEN toxic = 1 THEN 0 ELSE 1 + 2 * quality END)::DOUBLE AS relevance FROM labels JOIN documents USING (doc_id))"
 _PAGES = "pg AS (SELECT page_id, regexp_replace(regexp_extract(url, '://([^?#]*)', 1), '/+$', '') AS path, regexp_extract(url, '://[^/]*/([a-z]+)/', 1) AS provider, regexp_extract(url, '/(\\d+)[^/]*/?$', 1) AS name FROM pages)"
 _SIM = "round(list_dot_product(qv.e::DOUBLE[], pv.e::DOUBLE[]) / (sqrt(list_dot_product(qv.e::DOUBLE[], qv.e::DOUBLE[])) * sqrt(list_dot_product(pv.e::DOUBLE[], pv.e::DOUBLE[]))), 9)"
 _SEM = f"""pv AS (SELECT vec_id AS doc_id, label, embedding AS e FROM embeddings),
-sims AS (SELECT prompt_id, doc_id, {_SIM} AS score FROM qv, pv),
+sims AS MATERIALIZED (SELECT prompt_id, doc_id, {_SIM} AS score FROM qv, pv),
 sem AS (SELECT prompt_id, doc_id, score, row_number() OVER (PARTITION BY prompt_id ORDER BY score DESC, doc_id) AS rank FROM sims)"""
 _VEC = f"qv AS (SELECT vec_id AS prompt_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0), {_SEM}"
-_PVEC = f"qv AS (SELECT prompt_id, embedding AS e FROM prompts JOIN embeddings ON vec_id = conv_id WHERE prompt_id % 100 = 0), {_SEM}"
+_QV = """near AS (SELECT prompt_id, unnest(range(conv_id, conv_id + 1 + conv_id % 8)) AS vec_id FROM prompts WHERE prompt_id % 100 = 0 AND conv_id IN (SELECT vec_id FROM embeddings)),
+parts AS (SELECT prompt_id, generate_subscripts(embedding, 1) AS j, unnest(embedding)::DOUBLE AS x FROM near JOIN embeddings USING (vec_id)),
+qv AS MATERIALIZED (SELECT prompt_id, list(x ORDER BY j) AS e FROM (SELECT prompt_id, j, sum(x) AS x FROM parts GROUP BY ALL) GROUP BY prompt_id)"""
+_PVEC = f"{_QV}, {_SEM}".replace("FROM embeddings),", "FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)),")
 _TITLED = _CAT.replace("'-') AS name FROM d0", "'-') AS old, regexp_extract(description, '^\\p{L}+ \\p{L}+', 0) AS name FROM d0").replace(_est("name || ' ' || description"), _est("old || ' ' || description"))
 _EXACT = """said AS (SELECT prompt_id, trim(regexp_replace(lower(prompt), '[\\s_-]+', ' ', 'g')) AS p FROM prompts),
 own AS (SELECT doc_id, trim(regexp_replace(lower(name), '[\\s_-]+', ' ', 'g')) AS n FROM cat WHERE length(regexp_replace(name, '[-_\\s]', '', 'g')) >= 4),
-met AS (SELECT prompt_id, doc_id FROM said JOIN own ON contains(p, n) AND regexp_matches(p, '(^|[^\\p{L}\\p{N}])' || n || '($|[^\\p{L}\\p{N}])')),
+held AS MATERIALIZED (SELECT prompt_id, doc_id, p, n FROM said JOIN own ON contains(p, n)), met AS (SELECT prompt_id, doc_id FROM held WHERE regexp_matches(p, '(^|[^\\p{L}\\p{N}])' || n || '($|[^\\p{L}\\p{N}])')),
 ex AS (SELECT prompt_id, min(doc_id) AS doc_id FROM met GROUP BY prompt_id HAVING count(*) = 1)"""
-_DECIDE = """clear AS (SELECT s.prompt_id FROM sem s LEFT JOIN sem n ON n.prompt_id = s.prompt_id AND n.rank = 2 WHERE s.rank = 1 AND s.score >= 0.42 AND NOT coalesce(s.score - n.score < 0.04, false)),
-u AS (SELECT prompt_id, doc_id, 1.0::DOUBLE AS score, 1 AS rank, 'exact' AS method, 0 AS p FROM ex
-      UNION ALL SELECT prompt_id, doc_id, score, rank, 'semantic', 1 FROM sem WHERE rank <= 2 AND score >= 0.42 AND prompt_id IN (SELECT * FROM clear)
+_ACCEPT = f"""texts AS MATERIALIZED (SELECT sims.*, row_number() OVER (PARTITION BY prompt_id, sha256(body) ORDER BY score DESC, doc_id) AS copy FROM sims JOIN cat USING (doc_id) WHERE score >= 0.42),
+semlist AS MATERIALIZED (SELECT prompt_id, doc_id, score, row_number() OVER (PARTITION BY prompt_id ORDER BY score DESC, doc_id) AS rank FROM texts WHERE copy = 1 QUALIFY rank <= 20),
+places AS (SELECT prompt_id, doc_id, rank FROM semlist UNION ALL SELECT prompt_id, doc_id, rank FROM lextop WHERE rank <= 2 AND prompt_id IN (SELECT prompt_id FROM semlist)),
+fused AS MATERIALIZED (SELECT prompt_id, doc_id, row_number() OVER (PARTITION BY prompt_id ORDER BY rrf DESC, doc_id) AS place FROM (SELECT prompt_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf FROM places GROUP BY ALL) QUALIFY place <= 20),
+based AS MATERIALIZED (SELECT prompt_id, doc_id, place, coalesce(s.score, 0) AS score, CASE WHEN s.doc_id IS NULL THEN 'lexical' ELSE 'semantic' END AS method, coalesce(s.rank = 1 AND s.score - n.score < 0.04, false) AS close
+    FROM fused LEFT JOIN semlist s USING (prompt_id, doc_id) LEFT JOIN (SELECT prompt_id, score FROM semlist WHERE rank = 2) n USING (prompt_id)),
+judged AS (SELECT based.*, list_distinct({_tok("prompt")}) AS q, list_distinct({_tok("body")}) AS d FROM based JOIN prompts USING (prompt_id) JOIN cat USING (doc_id)),
+lifted AS (SELECT prompt_id, doc_id, method, round(greatest(score, 0.85::DOUBLE * score + 0.15::DOUBLE * CASE WHEN len(q) > 0 THEN len(list_intersect(q, d)) / len(q)::DOUBLE ELSE 0 END), 9) AS score FROM judged),
+accepted AS MATERIALIZED (SELECT prompt_id, doc_id, score, row_number() OVER (PARTITION BY prompt_id ORDER BY score DESC, doc_id) AS rank, method FROM lifted WHERE score >= 0.42 QUALIFY rank <= 2)"""
+_DECIDE = _ACCEPT + """,
+u AS MATERIALIZED (SELECT prompt_id, doc_id, 1.0::DOUBLE AS score, 1 AS rank, 'exact' AS method, 0 AS p FROM ex
+      UNION ALL SELECT prompt_id, doc_id, score, rank, method, 1 FROM accepted
       UNION ALL SELECT prompt_id, doc_id, least(0.6, score / 20), rank, 'lexical', 2 FROM lextop WHERE rank <= 2 AND prompt_id NOT IN (SELECT prompt_id FROM qv)),
 decided AS (SELECT prompt_id, doc_id, score, rank, method FROM u WHERE p = (SELECT min(p) FROM u v WHERE v.prompt_id = u.prompt_id))"""
 _BLEND = f"""bs AS (SELECT prompt_id, doc_id, least(1, score / 20) AS score FROM lextop WHERE rank <= 5),
@@ -137,14 +149,19 @@ def _vector_list(spark, sf_dir, top):
 
 
 def _vectored(spark, sf_dir):
-    """Prompts; those whose id is divisible by 100 (first turns) have their conversation's vector."""
-    v = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("conv_id"), "embedding")
-    prompts = _prompts(spark, sf_dir)
-    return prompts.join(v, "conv_id", "left").withColumn("embedding", F.when(F.col("prompt_id") % 100 == 0, F.col("embedding")))
+    """Prompts; those whose id is divisible by 100 (first turns) have the sum of one to eight vectors, the conversation's and those after it: from one clear answer over near ties to none over the floor."""
+    v, prompts = _read(spark, sf_dir, "embeddings"), _prompts(spark, sf_dir)
+    first = prompts.where("prompt_id % 100 = 0").join(v.select(F.col("vec_id").alias("conv_id")), "conv_id", "left_semi")
+    near = first.select("prompt_id", F.explode(F.sequence("conv_id", F.col("conv_id") + F.col("conv_id") % 8)).alias("vec_id")).join(v.select("vec_id", "embedding"), "vec_id")
+    parts = near.select("prompt_id", F.posexplode("embedding").alias("j", "x")).groupBy("prompt_id", "j").agg(F.sum(F.col("x").cast("double")).alias("x"))
+    sums = parts.groupBy("prompt_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "x"))), lambda y: y["x"]).alias("embedding"))
+    return prompts.join(sums, "prompt_id", "left")
 
 
 def _pool(spark, sf_dir):
-    return _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    """The vectors of the catalog's documents."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id")
+    return _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding").join(docs, "doc_id", "left_semi")
 
 
 def _titled(spark, sf_dir):
@@ -242,6 +259,21 @@ def routing_modes(spark, sf_dir):
     return one("lexical").unionByName(one("semantic"))
 
 
+@query(f"""WITH {_TITLED}, {_PROMPTS}, {_LEX}, {_PVEC}, {_ACCEPT}
+    SELECT 2 AS top, prompt_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY prompt_id ORDER BY place) AS rank FROM based WHERE score >= 0.42 QUALIFY rank <= 2
+    UNION ALL SELECT 1, prompt_id, doc_id, round(score, 6), 1 FROM (SELECT * FROM based WHERE score >= 0.42 QUALIFY row_number() OVER (PARTITION BY prompt_id ORDER BY place) = 1) WHERE NOT close""")
+def unranked_decision(spark, sf_dir):
+    """Without a reranker: the fused order stays; asked for one document, a near tie gives none, asked for two it gives both."""
+    prompts, cat, pool = _vectored(spark, sf_dir), _titled(spark, sf_dir), _pool(spark, sf_dir)
+    asked, lexical = prompts.where("embedding is not null").select("prompt_id", "embedding"), retrieval.lexical_top(prompts, cat, 2)
+
+    def one(top):
+        candidates = retrieval.fused_pool(retrieval.semantic_list(asked, pool, cat, top), lexical)
+        return retrieval.accept(candidates, prompts, cat, top, "none").select(F.lit(top).alias("top"), "prompt_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+    return one(2).unionByName(one(1))
+
+
 @query(f"WITH {_HYBRID}, d AS (SELECT DISTINCT prompt_id, method FROM decided) SELECT coalesce(method, 'none') AS method, count(*) AS n FROM prompts LEFT JOIN d USING (prompt_id) GROUP BY 1")
 def method_histogram(spark, sf_dir):
     methods = hybrid_decision(spark, sf_dir).groupBy("prompt_id").agg(F.collect_set("method").alias("methods"))
