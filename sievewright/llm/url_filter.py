@@ -1,8 +1,8 @@
 """URL filters: host and path rules, then a block list held as a sorted array of 64-bit digests.
 
 The block list is a table of entries, each a host or a host with a path prefix that ends at a ``/``. Its xxhash64 digests
-are sorted and kept beside the full strings. A url is probed by all its host suffixes, alone and with all path prefixes:
-one vectorised binary search for a batch of urls, and equal digests are confirmed on the stored strings.
+are sorted and kept beside the full strings. A url is probed by all its host suffixes, alone and with all path prefixes, up to the
+length of the longest entry: one vectorised binary search for a batch of urls, and equal digests are confirmed on the stored strings.
 
 A list of up to ``ARRAY_ENTRIES`` entries and ``ARRAY_CHARS`` characters (both checked) is one array, broadcast to all
 tasks. A longer list is cut by a hash of the entry into shards of about half that size; each shard is packed into an array
@@ -11,7 +11,7 @@ way each Python worker writes an array to an unlinked file of its temporary fold
 by anyone else.
 
 Defined results: host and path of a null or empty url, or of one without ``://``, are empty: no rule fits and the verdict is
-allow; very long urls are probed with all their prefixes; repeated rows get equal verdicts; of rules that fit, the longest
+allow; very long urls are probed with all their prefixes that are no longer than the longest entry; repeated rows get equal verdicts; of rules that fit, the longest
 wins (ties: the last in order); null and empty entries and an empty list block nothing; an empty table gives no row; other
 columns of pages are not read, so their names do not matter.
 """
@@ -28,9 +28,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import folder, stored
+from .scratch import discard, folder, stored
 
-ARRAY_ENTRIES, ARRAY_CHARS, PROBES, SALTS = 2_000_000, 64_000_000, 2_000_000, 16
+ARRAY_ENTRIES, ARRAY_CHARS, PROBES, SALTS, BATCH_CHARS = 2_000_000, 64_000_000, 2_000_000, 16, 4_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: (host, path, verdict)
@@ -53,12 +53,21 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def probes(host: str, path: str) -> list[str]:
-    """What of a url a block list may hold."""
-    labels = host.split(".") if host else []
-    hosts = [".".join(labels[i:]) for i in range(len(labels))]
-    cuts = [i + 1 for i, c in enumerate(path) if c == "/"][1:] + [len(path)] * (len(path) > 1)
-    return [*hosts, *(h + path[:i] for h in hosts for i in dict.fromkeys(cuts))]
+def probes(host: str, path: str, longest: int) -> list[str]:
+    """What of a url a block list may hold whose longest entry has ``longest`` characters: nothing longer is built, however long the url is."""
+    hosts, at = [], len(host)
+    while host and at >= 0:
+        at = host.rfind(".", 0, at)
+        if len(host) - at - 1 > longest:
+            break
+        hosts.append(host[at + 1 :])
+    cuts, at = [], path.find("/", 1, longest) if path[:1] == "/" else -1
+    while at >= 0:
+        cuts.append(at + 1)
+        at = path.find("/", at + 1, longest)
+    if 1 < len(path) <= longest:
+        cuts.append(len(path))
+    return [*hosts, *(h + path[:i] for h in hosts for i in dict.fromkeys(cuts) if len(h) + i <= longest)]
 
 
 class DigestArray:
@@ -102,10 +111,10 @@ class DigestArray:
         return out
 
 
-def _mark(array) -> callable:
+def _mark(array, longest: int) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = [probes(h, p) for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            lists = [probes(h, p, longest) for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             found = array.value.holds([x for held in lists for x in held])
             owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
             yield pa.record_batch([*batch.columns, pa.array(np.bincount(owner[found], minlength=len(lists)) > 0)], [*batch.schema.names, "listed"])
@@ -113,11 +122,22 @@ def _mark(array) -> callable:
     return run
 
 
-def _probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for host, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            each = probes(host, path)
-            yield pa.record_batch([pa.array([host] * len(each), pa.string()), pa.array([path] * len(each), pa.string()), pa.array(each, pa.string())], ["host", "path", "probe"])
+def _probed(longest: int) -> callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[str, str, str]] = []
+        size = 0
+        for batch in batches:
+            for host, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for each in probes(host, path, longest):
+                    held.append((host, path, each))
+                    size += len(host) + len(path) + len(each)
+                    if size > BATCH_CHARS:
+                        yield pa.record_batch([pa.array(x, pa.string()) for x in zip(*held, strict=True)], ["host", "path", "probe"])
+                        held, size = [], 0
+        if held:
+            yield pa.record_batch([pa.array(x, pa.string()) for x in zip(*held, strict=True)], ["host", "path", "probe"])
+
+    return run
 
 
 def _pack(entries: pa.Table) -> pa.Table:
@@ -132,20 +152,22 @@ def _meet(asked: pa.Table, shard: pa.Table) -> pa.Table:
     return asked.select(["host", "path"]).filter(pa.array(found))
 
 
-def _sharded(pages: DataFrame, entries: DataFrame, shards: int) -> DataFrame:
+def _sharded(pages: DataFrame, entries: DataFrame, shards: int, longest: int) -> DataFrame:
     """The same for lists of any length: the sites' probes meet the arrays shard by shard."""
     spark = pages.sparkSession
     work = folder(spark, "url-filter")
     shard = lambda c: F.pmod(F.xxhash64(c), F.lit(shards)).cast("int").alias("shard")
     arrays = stored(entries.select("entry").distinct().select(shard("entry"), "entry").groupBy("shard").applyInArrow(_pack, "shard int, count long, packed binary"), "arrays", work)
     sites = pages.select("host", "path").distinct()
-    asked = stored(sites.mapInArrow(_probed, "host string, path string, probe string").select(shard("probe"), "host", "path", "probe"), "probes", work)
+    asked = stored(sites.mapInArrow(_probed(longest), "host string, path string, probe string").select(shard("probe"), "host", "path", "probe"), "probes", work)
     sizes = asked.groupBy("shard").count().select("shard", F.ceil(F.col("count") / PROBES).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("host", "path", "probe"), F.col("parts")).cast("int").alias("part")
     asked = asked.join(F.broadcast(sizes), "shard").select("shard", part, "host", "path", "probe")
     arrays = arrays.join(F.broadcast(sizes), "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "count", "packed")
     hit = asked.groupBy("shard", "part").cogroup(arrays.groupBy("shard", "part")).applyInArrow(_meet, "host string, path string").distinct()
-    hit = stored(hit, "listed-sites").select("host", "path", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(True).alias("found"))
+    listed = stored(hit, "listed-sites")
+    discard(spark, work)
+    hit = listed.select("host", "path", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(True).alias("found"))
     # one site may hold a third of all pages: its rows are dealt over the salts
     salted = pages.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(hit, ["host", "path", "salt"], "left")
     return salted.select("page_id", "host", "path", F.coalesce("found", F.lit(False)).alias("listed"))
@@ -156,11 +178,11 @@ def filter_urls(pages: DataFrame, entries: DataFrame, rules=RULES) -> DataFrame:
     host, path = host_and_path(F.col("url"))
     pages = pages.select("page_id", host.alias("host"), path.alias("path"))
     entries = entries.where("entry is not null and entry <> ''")
-    size = entries.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("entry")), F.lit(0)).alias("chars")).first()
+    size = entries.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("entry")), F.lit(0)).alias("chars"), F.coalesce(F.max(F.length("entry")), F.lit(0)).alias("longest")).first()
     if size["n"] <= ARRAY_ENTRIES and size["chars"] <= ARRAY_CHARS:
         array = pages.sparkSession.sparkContext.broadcast(DigestArray([r[0] for r in entries.select("entry").collect()]))
-        listed = pages.mapInArrow(_mark(array), "page_id long, host string, path string, listed boolean")
+        listed = pages.mapInArrow(_mark(array, size["longest"]), "page_id long, host string, path string, listed boolean")
     else:
-        listed = _sharded(pages, entries, math.ceil(2 * max(size["n"] / ARRAY_ENTRIES, size["chars"] / ARRAY_CHARS)))
+        listed = _sharded(pages, entries, math.ceil(2 * max(size["n"] / ARRAY_ENTRIES, size["chars"] / ARRAY_CHARS)), size["longest"])
     name, says = rule_of(F.col("host"), F.col("path"), rules)
     return listed.select("page_id", "host", "path", name.alias("rule"), "listed", F.coalesce(says, F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"))

@@ -134,6 +134,30 @@ def test_long_block_lists_are_cut_into_shards(spark, monkeypatch):
     assert one == sorted(map(str, url_filter.filter_urls(pages, entries).collect())) and any("listed=True" in x for x in one)
 
 
+def test_very_long_urls_stay_small(spark, monkeypatch):
+    """A megabyte of slashes or of dots makes no probe longer than the longest entry; the same on both ways."""
+    urls = {1: "x://h.net/" + "a/" * 500_000, 2: "x://" + "a." * 500_000 + "net/", 3: "x://h.net/b/" + "a/" * 500_000, 4: "x://" + "b." * 400_000 + "h.net/a/x", 5: "x://h.net/a"}
+    assert max(len(url_filter.probes("a." * 500_000 + "net", "/" + "a/" * 500_000, 8)[i]) for i in range(4)) <= 8 and len(url_filter.probes("a." * 500_000 + "net", "/" + "a/" * 500_000, 8)) < 30
+    df = spark.createDataFrame(list(urls.items()), "page_id long, url string")
+    entries = spark.createDataFrame([("h.net/a/",), ("other.org",)], "entry string")
+    assert {r.page_id for r in url_filter.filter_urls(df, entries).where("listed").collect()} == {1, 4}
+    monkeypatch.setattr(url_filter, "ARRAY_ENTRIES", 1)
+    monkeypatch.setattr(url_filter, "BATCH_CHARS", 3_000_000)
+    assert {r.page_id for r in url_filter.filter_urls(df, entries).where("listed").collect()} == {1, 4}
+
+
+def test_probes_by_brute_force():
+    rng = np.random.default_rng(5)
+    for _ in range(500):
+        host, path = "".join(rng.choice(list("ab.."), rng.integers(0, 9))), "".join(rng.choice(["/"], rng.integers(0, 2))) + "".join(rng.choice(list("xy//"), rng.integers(0, 9)))
+        path = path if path[:1] == "/" else ""
+        labels = host.split(".") if host else []
+        hosts = [".".join(labels[i:]) for i in range(len(labels))]
+        cuts = {i + 1 for i, c in enumerate(path) if c == "/" and i} | ({len(path)} if len(path) > 1 else set())
+        longest = int(rng.integers(0, 20))
+        assert set(url_filter.probes(host, path, longest)) == {x for x in [*hosts, *(h + path[:i] for h in hosts for i in cuts)] if len(x) <= longest}
+
+
 def test_digest_collisions_are_confirmed(monkeypatch):
     monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda b: 7)
     assert list(url_filter.DigestArray(["a", "b"]).holds(["a", "c", "b"])) == [True, False, True]
