@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators import sessions
+from .shared import discard, folder
 
 SKIPPED = "/(\\.git|node_modules|vendor|dist|build)/"
 POOL = "skill_id string, id string, name string, description string, desc string, body string, skill_md string"
@@ -89,21 +92,71 @@ def publish(df: DataFrame, root: str, version: str) -> str:
 
 
 def published(spark: SparkSession, root: str) -> DataFrame:
-    """The last version (by name) that was written to its end; versions without _SUCCESS are not seen."""
+    """The version that was completed last, whatever its name; versions without _SUCCESS are not seen."""
     at = spark._jvm.org.apache.hadoop.fs.Path(root)
-    names = sorted(f.getPath().getName() for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at) if f.isDirectory())
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in files.listStatus(at) if f.isDirectory()]
     done = [n for n in names if n.startswith("version=") and exists(spark, f"{root}/{n}/_SUCCESS")]
     if not done:
         raise FileNotFoundError(f"no complete version in {root}")
-    return spark.read.parquet(f"{root}/{done[-1]}")
+    when = lambda n: files.getFileStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{n}/_SUCCESS")).getModificationTime()
+    natural = lambda n: [(0, int(x), "") if x.isdigit() else (1, 0, x) for x in re.split(r"(\d+)", n)]
+    return spark.read.parquet(f"{root}/{max(done, key=lambda n: (when(n), natural(n)))}")
+
+
+def _shard(vectors: DataFrame, root: str, fingerprint: str, part: str) -> None:
+    """One commit: all of a shard is there or nothing; the same part again takes its place."""
+    vectors.write.mode("overwrite").parquet(f"{root}/fingerprint={fingerprint}/part={part}")
 
 
 def append_shards(vectors: DataFrame, root: str, fingerprint: str, key: str = "doc_id") -> None:
-    """Append vectors that are not stored yet under this run's fingerprint; an interrupted run is continued by calling it again."""
+    """Append vectors that are not stored yet under this run's fingerprint, as one shard."""
     spark = vectors.sparkSession
     if exists(spark, root):
         vectors = unfinished(vectors, spark.read.parquet(root), fingerprint, key)
-    vectors.withColumn("fingerprint", F.lit(fingerprint)).write.mode("append").partitionBy("fingerprint").parquet(root)
+    _shard(vectors, root, fingerprint, uuid.uuid4().hex)
+
+
+def encode_shards(items: DataFrame, encode: Callable[[DataFrame], DataFrame], root: str, fingerprint: str, key: str = "doc_id", every: int = 100_000) -> int:
+    """Encode the items without a stored vector, about ``every`` a shard, each shard one commit; the number of shards written.
+
+    If the encoder fails, the shards before stay, and the next call encodes only what is left. encode: adds ``embedding`` to rows.
+    Vectors of a shard whose size is not the one stored under this fingerprint are an error. Items of a null key are left out.
+    """
+    spark = items.sparkSession
+    items = items.where(F.col(key).isNotNull())
+    size = None
+    if exists(spark, f"{root}/fingerprint={fingerprint}"):
+        held = spark.read.parquet(root)
+        items = unfinished(items, held, fingerprint, key)
+        size = held.where(F.col("fingerprint") == fingerprint).agg(F.max(F.size("embedding"))).first()[0]
+    shards = -(-items.count() // every)
+    if not shards:
+        return 0
+    work, run = folder(spark, "shards"), uuid.uuid4().hex
+    items.withColumn("shard_of_run", F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")).write.partitionBy("shard_of_run").parquet(work)
+    pending = spark.read.schema(items.withColumn("shard_of_run", F.lit(0)).schema).parquet(work)
+    for k in range(shards):
+        wanted = F.lit(size) if size is not None else F.size("embedding")
+        odd = F.raise_error(F.concat(F.lit("a vector of another size: "), F.size("embedding").cast("string")))
+        vectors = encode(pending.where(F.col("shard_of_run") == k).drop("shard_of_run"))
+        _shard(vectors.withColumn("embedding", F.when(F.size("embedding") == wanted, F.col("embedding")).otherwise(odd)), root, fingerprint, f"{run}-{k}")
+        if size is None:
+            sizes = spark.read.parquet(root).where(F.col("fingerprint") == fingerprint).agg(F.min(F.size("embedding")).alias("low"), F.max(F.size("embedding")).alias("high")).first()
+            if sizes.low != sizes.high:
+                raise ValueError(f"vectors of sizes {sizes.low} to {sizes.high} in one shard")
+            size = sizes.high
+    discard(spark, work)
+    return shards
+
+
+def shard_stream(items: DataFrame, encode: Callable[[DataFrame], DataFrame], root: str, fingerprint: str, checkpoint: str):
+    """The same for a stream: a micro-batch is a shard; a batch that is run again takes its own place, so no row is stored twice."""
+
+    def one(batch: DataFrame, n: int) -> None:
+        _shard(encode(batch), root, fingerprint, f"batch-{n}")
+
+    return items.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def shard_progress(stored: DataFrame, total: DataFrame, fingerprint: str) -> DataFrame:
@@ -132,6 +185,11 @@ def route_stream(prompts: DataFrame, plan: Callable[[DataFrame], DataFrame], pat
     return prompts.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def predict_stream(selected: DataFrame, rules_root: str, path: str, checkpoint: str, limit: int = 2):
+    """What goes with the items (key, item) of a stream by the association rules that were published last, read anew for each micro-batch."""
+    return route_stream(selected, lambda batch: sessions.predict_next(batch.select("key", "item"), published(batch.sparkSession, rules_root), limit), path, checkpoint)
+
+
 def unfinished(tasks: DataFrame, done: DataFrame, run_fingerprint: str, key: str = "task_id") -> DataFrame:
     """Tasks without a result of this run's fingerprint."""
     return tasks.join(done.where(F.col("fingerprint") == run_fingerprint).select(key), key, "left_anti")

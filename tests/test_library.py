@@ -260,6 +260,64 @@ def test_published_versions(spark, tmp_path):
     assert tables.published(spark, root).count() == 5
 
 
+def test_the_version_completed_last_counts(spark, tmp_path):
+    root = str(tmp_path / "t")
+    for name, n in (("9", 9), ("10", 10), ("a", 1)):
+        tables.publish(spark.range(n), root, name)
+        assert tables.published(spark, root).count() == n
+
+
+def test_an_encoder_that_fails_half_way(spark, tmp_path):
+    root, items = str(tmp_path / "v"), spark.range(200).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    broken = F.pmod(F.xxhash64("doc_id"), F.lit(8)) == 5  # fails in the sixth of eight shards
+    vector = F.array(F.col("doc_id").cast("double"), F.lit(1.0))
+    fails = lambda df: df.withColumn("embedding", F.when(broken, F.raise_error(F.lit("out of memory"))).otherwise(vector))
+    with pytest.raises(Exception, match="out of memory"):
+        tables.encode_shards(items, fails, root, "m", every=25)
+    kept = spark.read.parquet(root)
+    assert 0 < kept.count() < 200 and kept.select("part").distinct().count() == 5
+    seen = []
+    assert tables.encode_shards(items, lambda df: (seen.append(df.count()), df.withColumn("embedding", vector))[1], root, "m", every=25) >= 1
+    assert sum(seen) == 200 - kept.count()
+    held = spark.read.parquet(root)
+    assert held.count() == held.select("doc_id").distinct().count() == 200 and tables.encode_shards(items, fails, root, "m") == 0
+    with pytest.raises(Exception, match="another size"):
+        tables.encode_shards(spark.range(300, 310).select(F.col("id").alias("doc_id")), lambda df: df.withColumn("embedding", F.array(F.lit(1.0))), root, "m")
+
+
+def test_a_retried_batch_adds_no_row(spark, tmp_path):
+    items = spark.range(10).select(F.col("id").alias("doc_id"))
+    items.coalesce(1).write.parquet(str(tmp_path / "in"))
+    encode = lambda df: df.withColumn("embedding", F.array(F.lit(1.0)))
+    for state in ("a", "b"):  # another checkpoint: batch 0 is run again
+        stream = spark.readStream.schema(items.schema).parquet(str(tmp_path / "in"))
+        tables.shard_stream(stream, encode, str(tmp_path / "v"), "m", str(tmp_path / state)).awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "v")).count() == 10
+
+
+def test_predictions_follow_the_published_rules(spark, tmp_path):
+    rule = lambda b: spark.createDataFrame([(1, b, 3, 0.5, 1)], "a long, b long, support long, confidence double, rank int")
+    selected = lambda k: spark.createDataFrame([(k, 1)], "key long, item long")
+    root, out = str(tmp_path / "rules"), str(tmp_path / "out")
+    for k, b in ((1, 20), (2, 30)):
+        tables.publish(rule(b), root, str(k))
+        selected(k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("key long, item long").parquet(str(tmp_path / "in"))
+        tables.predict_stream(stream, root, out, str(tmp_path / "c")).awaitTermination(120)
+    assert {(r.key, r.item) for r in spark.read.option("recursiveFileLookup", True).parquet(out).collect()} == {(1, 20), (2, 30)}
+
+
+def test_near_ties_by_depth_and_reranker(spark):
+    """Two documents within the margin: both are given if two are asked for, none for one without a reranker, the better one with it."""
+    prompts = spark.createDataFrame([(1, "alpha beta", [1.0, 0.0]), (2, "alpha", [0.0, -1.0]), (3, "gamma words", None)], "prompt_id long, prompt string, embedding array<double>")
+    pool = spark.createDataFrame([(1, [1.0, 1.0]), (2, [1.0, 1.02]), (3, [1.0, 1.03])], "doc_id long, embedding array<double>")
+    cat = spark.createDataFrame([(1, "one", "first", "same text", 5), (2, "two", "second", "same text", 5), (3, "three", "gamma", "alpha beta text", 5)], "doc_id long, name string, description string, body string, activation_tokens long")
+    go = lambda top, reranker: sorted((r.prompt_id, r.rank, r.doc_id, r.method) for r in retrieval.route(prompts, cat, top, "hybrid", pool, reranker=reranker).collect())
+    fallback = (3, 1, 3, "lexical")
+    assert go(2, "none") == [(1, 1, 1, "semantic"), (1, 2, 3, "semantic"), fallback]  # the copy of the first is left out; prompt 2 is under the floor
+    assert go(1, "none") == [fallback] and go(1, "similarity") == [(1, 1, 3, "semantic"), fallback]
+
+
 def test_vector_shards_resume(spark, tmp_path):
     root, all_ = str(tmp_path / "v"), spark.range(10).select(F.col("id").alias("doc_id"), F.array(F.lit(1.0), F.lit(0.0)).alias("embedding"))
     tables.append_shards(all_.where("doc_id < 4"), root, "m1")
