@@ -12,7 +12,7 @@
    span of kind ``learned``. The threshold comes from a held-out quarter of the sample: halfway between the highest ordinary
    ratio and the ``MISSED`` quantile of the credentials, but never under the highest ordinary ratio or ``MIN_RATIO``.
 
-No value is written anywhere: both scans read the texts, the result has offsets only.
+The result has offsets only. Sampled values and tokens do pass in clear text through Spark's shuffle files and the driver.
 
 Learning is bounded: ``LEARN`` different values of a kind by least hash, of up to ``LEARN_LENGTH`` characters (on the given
 tables none is longer than 40); scoring is not: all runs of any length are scored.
