@@ -837,6 +837,14 @@ def session_residents(spark, sf_dir):
     return live.residents(live.trace_batch(session_events(spark, sf_dir), "lru"))
 
 
+@query(f"""WITH {_LOG} SELECT session, event_id, row_number() OVER (PARTITION BY session, item % 30 ORDER BY now) > 1 AS recalled, first_value(item) OVER (PARTITION BY session, item % 30 ORDER BY now) AS taken FROM log""")
+def session_recall(spark, sf_dir):
+    """Prompts of thirty different keys, fewer than the memo holds: a repeat takes the selection that its key had first."""
+    log = _log(spark, sf_dir)
+    events = log.select("session", F.lit("prompt").alias("event"), "ts", "event_id", F.array("item").alias("selected"), F.lit(None).cast("int").alias("budget"), (F.col("item") % 30).cast("string").alias("prompt_key"))
+    return live.trace_batch(events).select("session", "event_id", "recalled", F.concat("injected", "deduplicated")[0].alias("taken"))
+
+
 # Sampling ---------------------------------------------------------------------------------------------------------------
 
 
