@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import discard, folder, stored
+
+RANGE_ROWS = 1_000_000
+
 
 def ranked_metrics(predictions: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
     """predictions: task_id, doc_id, rank; qrels: task_id, doc_id, relevance. One row for each task with a positive grade.
@@ -73,10 +80,40 @@ def stability(runs: DataFrame) -> DataFrame:
     return runs.groupBy("case_id").agg((F.count_distinct(F.to_json("selected")) == 1).cast("int").alias("same")).agg(F.round(F.avg("same"), 9).alias("stability"))
 
 
+def nearest_ranks(df: DataFrame, column: str, keys: list[str], shares: dict[str, float]) -> DataFrame:
+    """(keys, one column a share): the least value that at least this share of a group's values do not exceed; exact.
+
+    Values are counted, and the different ones are dealt by range, about ``RANGE_ROWS`` each: a group of any size is many ranges,
+    of which only the ones that hold a wanted rank are ordered. Null values do not count; a group of nulls only has no row.
+    """
+    spark = df.sparkSession
+    work = folder(spark, "ranks")
+    held = df.where(F.col(column).isNotNull())
+    counts = stored(held.groupBy(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), F.col(column).alias("value")).agg(F.count("*").alias("n")), "counts", work)
+    names = [f"k{i}" for i in range(len(keys))]
+    ranges = max(1, -(-counts.count() // RANGE_ROWS))
+    dealt = stored(counts.repartitionByRange(ranges, *names, "value").withColumn("range", F.spark_partition_id()), "ranges")
+    discard(spark, work)
+    sums = dealt.groupBy(*names, "range").agg(F.sum("n").alias("here"))
+    before = F.coalesce(F.sum("here").over(W.partitionBy(*names).orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.withColumn("before", before).withColumn("all", F.sum("here").over(W.partitionBy(*names)))
+    wanted = F.explode(F.array(*(F.struct(F.lit(s).alias("share"), F.greatest(F.lit(1), F.ceil(F.lit(p) * F.col("all"))).alias("rank")) for s, p in shares.items())))
+    sums = sums.withColumn("w", wanted).where((F.col("w.rank") > F.col("before")) & (F.col("w.rank") <= F.col("before") + F.col("here")))
+    sums = sums.select(*(F.col(k).alias(f"s{k}") for k in names), F.col("range").alias("at"), "before", F.col("w.share").alias("share"), F.col("w.rank").alias("rank"))
+    inside = reduce(and_, (F.col(k).eqNullSafe(F.col(f"s{k}")) for k in names), F.col("range") == F.col("at"))
+    upto = F.col("before") + F.sum("n").over(W.partitionBy(*names, "share").orderBy("value").rowsBetween(W.unboundedPreceding, 0))
+    found = dealt.join(sums, inside).withColumn("upto", upto).where(F.col("upto") >= F.col("rank")).groupBy(*names, "share").agg(F.min("value").alias("value"))
+    out = found.groupBy(*names).agg(*(F.max(F.when(F.col("share") == s, F.col("value"))).alias(s) for s in shares))
+    return out.select(*(F.col(n).alias(k) for n, k in zip(names, keys, strict=True)), *shares)
+
+
 def latency(df: DataFrame, column: str, *keys: str) -> DataFrame:
-    """Nearest-rank p50 and p95, and the maximum."""
-    at = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {column})")
-    return df.groupBy(*keys).agg(at(0.5).alias("p50"), at(0.95).alias("p95"), F.max(column).alias("longest"))
+    """Nearest-rank p50 and p95, and the maximum; a group of nulls only has nulls."""
+    top = df.groupBy(*keys).agg(F.max(column).alias("longest"))
+    ranks = nearest_ranks(df, column, list(keys), {"p50": 0.5, "p95": 0.95})
+    ranks = ranks.select(*(F.col(k).alias(f"r{i}") for i, k in enumerate(keys)), "p50", "p95")
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"r{i}")) for i, k in enumerate(keys)), F.lit(True))
+    return top.join(ranks, same, "left").select(*keys, "p50", "p95", "longest")
 
 
 def method_histogram(cases: DataFrame) -> DataFrame:

@@ -55,11 +55,31 @@ def hard_negatives(pool: DataFrame, tasks: DataFrame, chosen: DataFrame, size: i
     return best.orderBy(F.desc("overlap"), tx.stable_rank(seed, F.col("doc_id")), F.desc("doc_id")).limit(size)
 
 
+def _variants(pool: DataFrame, gold: DataFrame) -> DataFrame:
+    held = pool.select("doc_id", F.regexp_extract("doc_id", r"^distractor/dist_(.+)_[0-9a-f]+$", 1).alias("target"))
+    return held.join(gold.select(F.col("doc_id").alias("target")).distinct(), "target", "left_semi")
+
+
 def targeted_variants(pool: DataFrame, gold: DataFrame, budget: int, seed: str) -> DataFrame:
     """Ids ``distractor/dist_<gold>_<hex>`` whose target is selected, by hash within the budget."""
-    held = pool.select("doc_id", F.regexp_extract("doc_id", r"^distractor/dist_(.+)_[0-9a-f]+$", 1).alias("target"))
-    held = held.join(gold.select(F.col("doc_id").alias("target")), "target", "left_semi")
-    return held.orderBy(tx.stable_rank(seed, F.col("doc_id"))).limit(budget)
+    return _variants(pool, gold).orderBy(tx.stable_rank(seed, F.col("doc_id"))).limit(budget)
+
+
+def variant_counts(pool: DataFrame, gold: DataFrame, budget: int) -> DataFrame:
+    """(variants, kept, dropped): how many variants there are and how many the budget leaves out."""
+    n = F.col("variants")
+    return _variants(pool, gold).agg(F.count("*").alias("variants")).select("variants", F.least(n, F.lit(budget)).alias("kept"), F.greatest(n - budget, F.lit(0)).alias("dropped"))
+
+
+def required_in_pool(core: DataFrame, pool: DataFrame, budget: int) -> DataFrame:
+    """The different core ids; ids that the pool lacks and a budget under their number are errors."""
+    core = core.select("doc_id").distinct()
+    found = core.join(pool.select("doc_id", F.lit(1).alias("there")).distinct(), "doc_id", "left").agg(F.count("*").alias("n"), F.count(F.when(F.col("there").isNull(), 1)).alias("absent")).first()
+    if found.absent:
+        raise ValueError(f"{found.absent} required documents are not in the pool")
+    if found.n > budget:
+        raise ValueError(f"{found.n} documents are required, the budget is {budget}")
+    return core
 
 
 def single_gold_groups(qrels: DataFrame, least: int = 2) -> DataFrame:
@@ -71,11 +91,17 @@ def single_gold_groups(qrels: DataFrame, least: int = 2) -> DataFrame:
 ARCHETYPES = [("focused", 1), ("drift", 4), ("return", 4)]
 
 
-def deal_blocks(docs: DataFrame, sessions: int, seed: str, key: str = "doc_id") -> DataFrame:
-    """Documents in hash order, dealt to sessions of each archetype. Only as many as are needed are ordered."""
+def deal_blocks(docs: DataFrame, sessions: int, seed: str, key: str = "doc_id", block: int = 0) -> DataFrame:
+    """Documents in hash order, dealt to sessions of each archetype. Only as many as are needed are ordered.
+
+    ``block`` 0 is the first block of that order, 1 the next one, held out from it, and so on; too few documents are an error.
+    """
     need = sessions * sum(n for _, n in ARCHETYPES)
-    first = docs.select(key).withColumn("h", tx.stable_rank(seed, F.col(key))).orderBy("h", key).limit(need)
-    held = first.withColumn("place", F.row_number().over(W.partitionBy(F.lit(1)).orderBy("h", key)) - 1)
+    first = docs.select(key).withColumn("h", tx.stable_rank(seed, F.col(key))).orderBy("h", key).limit(need * (block + 1))
+    there = first.count()
+    if there < need * (block + 1):
+        raise ValueError(f"{need * (block + 1)} documents are needed for block {block} of {sessions} sessions, {there} are there")
+    held = first.withColumn("place", F.row_number().over(W.partitionBy(F.lit(1)).orderBy("h", key)) - 1 - need * block)
     out, at = [], 0
     for name, n in ARCHETYPES:
         out.append(held.where(F.col("place").between(at, at + n * sessions - 1)).select(key, F.lit(name).alias("archetype"), F.floor((F.col("place") - at) / n).cast("long").alias("session"), ((F.col("place") - at) % n).cast("long").alias("slot")))

@@ -64,10 +64,21 @@ def trace_tail(log: DataFrame, limit: int = 20) -> DataFrame:
     return log.orderBy(F.desc("ts"), F.desc("event_id")).limit(limit).orderBy("ts", "event_id")
 
 
-def pair_counts(baskets: DataFrame, min_support: int = 2) -> DataFrame:
-    """baskets: basket, item. (a, b, support) of different items of one basket, both ways."""
-    held = baskets.distinct()
-    pairs = held.select("basket", F.col("item").alias("a")).join(held.select("basket", F.col("item").alias("b")), "basket").where("a < b")
+def pair_counts(baskets: DataFrame, min_support: int = 2, basket_items: int = 2_000) -> DataFrame:
+    """baskets: basket, item. (a, b, support) of different items of one basket, both ways.
+
+    An item of fewer than ``min_support`` baskets is in no pair of that support and goes before pairing. A basket of more than
+    ``basket_items`` items is cut into parts, and every two parts (and each with itself) meet apart: no basket is one task.
+    """
+    held = baskets.where("basket is not null and item is not null").distinct()
+    if min_support > 1:
+        held = held.join(held.groupBy("item").count().where(F.col("count") >= min_support).select("item"), "item", "left_semi")
+    large = held.groupBy("basket").count().where(F.col("count") > basket_items).select("basket", F.ceil(F.col("count") / basket_items).cast("int").alias("parts"))
+    held = held.join(large, "basket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    held = held.withColumn("part", F.pmod(F.xxhash64("item"), F.col("parts")).cast("int"))
+    low = held.select("basket", F.col("item").alias("x"), F.col("part").alias("low"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("high"))
+    high = held.select("basket", F.col("item").alias("y"), F.explode(F.sequence(F.lit(0), "part")).alias("low"), F.col("part").alias("high"))
+    pairs = low.join(high, ["basket", "low", "high"]).where("low < high or x < y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     one_way = pairs.groupBy("a", "b").agg(F.count("*").alias("support")).where(F.col("support") >= min_support)
     return one_way.unionByName(one_way.select(F.col("b").alias("a"), F.col("a").alias("b"), "support"))
 

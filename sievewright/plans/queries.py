@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import budget, catalog, metrics, retrieval, sampling, sessions, vectors
+from ..sources import tables
+from ..sources.shared import folder
 from ..streaming import sessions as live
 
 _registered: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -775,6 +777,14 @@ def trace_tail(spark, sf_dir):
     return sessions.trace_tail(_read(spark, sf_dir, "events").select("event_id", "user_id", "ts"))
 
 
+@query("SELECT * FROM (SELECT event_id, user_id, ts FROM events WHERE ts IS NOT NULL ORDER BY ts DESC, event_id DESC LIMIT 200) ORDER BY ts, event_id")
+def daily_tail(spark, sf_dir):
+    """The last 200 events of a trace that lies in one folder a day: whole days are left unread."""
+    path = folder(spark, "trace")
+    _read(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.to_date("ts").alias("day")).write.partitionBy("day").parquet(path)
+    return tables.tail(spark, path, 200)
+
+
 @query(f"WITH {_BASKETS}, p AS (SELECT x.item AS a, y.item AS b, count(*) AS support FROM b x JOIN b y ON x.basket = y.basket AND x.item <> y.item GROUP BY ALL HAVING count(*) >= 2) SELECT * FROM p")
 def pair_support(spark, sf_dir):
     return sessions.pair_counts(_read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("basket"), F.col("l_suppkey").alias("item")))
@@ -895,6 +905,15 @@ def session_blocks(spark, sf_dir):
     return sampling.deal_blocks(_read(spark, sf_dir, "documents"), 10, "deal")
 
 
+_NEXT = _BLOCKS.replace("doc_id) - 1 AS p", "doc_id) - 91 AS p").replace("p < 10", "p BETWEEN 0 AND 9")
+
+
+@query(f"WITH {_NEXT} SELECT * FROM blocks")
+def heldout_blocks(spark, sf_dir):
+    """The next block of the same order: no document of ``session_blocks`` is in it."""
+    return sampling.deal_blocks(_read(spark, sf_dir, "documents"), 10, "deal", block=1)
+
+
 @query(f"""WITH {_BLOCKS}, q AS (SELECT event_id AS query_id, event_id % (SELECT count(*) FROM documents) AS doc_id FROM events), v AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY {_rank("turn", "query_id")}) AS visit FROM q)
     SELECT archetype, session, row_number() OVER (PARTITION BY archetype, session ORDER BY visit, slot) AS turn, doc_id, query_id FROM blocks JOIN v USING (doc_id) WHERE visit <= 2""")
 def session_turns(spark, sf_dir):

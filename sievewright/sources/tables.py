@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import sessions
+from ..operators import catalog, sessions
 from .shared import discard, folder
 
 SKIPPED = "/(\\.git|node_modules|vendor|dist|build)/"
@@ -170,6 +170,43 @@ def append_trace(trace: DataFrame, path: str, checkpoint: str):
     return trace.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
+def append_daily_trace(trace: DataFrame, path: str, checkpoint: str, at: str = "ts"):
+    """The same, one folder for each day of the events, so that ``tail`` reads the last days only; events without a time go to a folder of their own."""
+    return trace.withColumn("day", F.to_date(at)).writeStream.format("parquet").partitionBy("day").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+def tail(spark: SparkSession, path: str, limit: int = 20) -> DataFrame:
+    """The last events (ts, event_id, ...) of a daily trace in ascending order: days are taken backwards until they hold enough.
+
+    Older days are not opened. Days are counted one by one from the file footers; events without a time are not in the tail.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    names = [f.getPath().getName() for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at) if f.isDirectory()]
+    days = sorted((n.removeprefix("day=") for n in names if re.fullmatch(r"day=\d{4,}-\d\d-\d\d", n)), reverse=True)
+    if not days:
+        raise FileNotFoundError(f"no days in {path}")
+    schema = spark.read.parquet(f"{path}/day={days[0]}").schema
+    trace = spark.read.schema(schema.add("day", "date")).parquet(path)
+    held, first = 0, days[0]
+    for first in days:
+        held += trace.where(F.col("day") == F.lit(first).cast("date")).count()
+        if held >= limit:
+            break
+    return sessions.trace_tail(trace.where(F.col("day") >= F.lit(first).cast("date")).drop("day"), limit)
+
+
+def tree_fingerprint(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """A SHA-256 of the files below a folder: every file's path below it, length and SHA-256 are a row of ``catalog.fingerprint``.
+
+    A changed byte, a new name or place of a file and a missing file each change it; the order of listing does not. A file is
+    one row while it is hashed and so must be under 2 GB.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    above = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+    return catalog.fingerprint(files.select(F.substring("path", len(above) + 2, 1 << 30).alias("path"), "length", F.sha2("content", 256).alias("digest")))
+
+
 def write_report(report: DataFrame, root: str, benchmark: str, partition: str) -> None:
     """One partition for each benchmark and partition; a new report replaces only its own."""
     held = report.withColumn("benchmark", tx.slug(F.lit(benchmark))).withColumn("partition", tx.slug(F.lit(partition)))

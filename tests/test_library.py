@@ -1,7 +1,9 @@
 """Small golden cases of the library's own operators, and stream against batch."""
 
+import hashlib
 import json
 import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -536,3 +538,88 @@ def test_against_sql(spark, name):
     import verify
 
     assert verify.compare(spark, "/root/testdata/sf0.001", [name]) == 0
+
+
+def test_ranks_over_ranges(spark, monkeypatch):
+    """Ranges of a few rows each, ties over their borders, groups of one value, of nulls only and of a null key."""
+    monkeypatch.setattr(metrics, "RANGE_ROWS", 7)
+    rng = np.random.default_rng(4)
+    rows = [(None if i % 5 == 0 else f"k{i % 4}", float(rng.integers(40)) if i % 3 else float(rng.normal())) for i in range(600)]
+    rows += [("one", 2.0)] * 30 + [("none", None)] * 3 + [("k1", None)]
+    got = {r.k: (r.p50, r.p95, r.longest) for r in metrics.latency(spark.createDataFrame(rows, "k string, v double"), "v", "k").collect()}
+    for k in {k for k, _ in rows}:
+        v = sorted(x for key, x in rows if key == k and x is not None)
+        assert got.pop(k) == ((v[-(-len(v) // 2) - 1], v[-(-len(v) * 95 // 100) - 1], v[-1]) if v else (None, None, None))
+    assert not got
+    assert metrics.nearest_ranks(spark.createDataFrame(rows, "k string, v double"), "v", [], {"low": 0.0}).first().low == min(x for _, x in rows if x is not None)
+    assert metrics.latency(spark.createDataFrame([], "k string, v double"), "v", "k").count() == 0
+
+
+@pytest.mark.parametrize("support", [1, 2])
+def test_large_baskets_are_split(spark, support):
+    rng = np.random.default_rng(8)
+    rows = [(0, i) for i in range(300)] + [(1 + int(b), int(i)) for b, i in zip(rng.integers(40, size=800), rng.integers(320, size=800), strict=True)] + [(None, 1), (3, None), (0, 5)]
+    df = spark.createDataFrame(rows, "basket long, item long")
+    held = {}
+    for b, i in rows:
+        if b is not None and i is not None:
+            held.setdefault(b, set()).add(i)
+    want = Counter((x, y) for items in held.values() for x in items for y in items if x != y)
+    for cut in (7, 10_000):
+        got = {(r.a, r.b): r.support for r in sessions.pair_counts(df, support, cut).collect()}
+        assert got == {p: n for p, n in want.items() if n >= support}
+
+
+def test_incomplete_inputs_are_errors(spark):
+    docs = spark.range(20).select(F.col("id").alias("doc_id"))
+    with pytest.raises(ValueError, match="27 documents are needed"):
+        sampling.deal_blocks(docs, 3, "s")
+    first, second = (sampling.deal_blocks(docs, 1, "s", block=k) for k in (0, 1))
+    assert first.count() == second.count() == 9 and first.join(second, "doc_id").count() == 0
+    core = docs.where("doc_id < 3").unionByName(docs.where("doc_id < 3"))
+    assert sampling.required_in_pool(core, docs, 3).count() == 3
+    with pytest.raises(ValueError, match="3 documents are required, the budget is 2"):
+        sampling.required_in_pool(core, docs, 2)
+    with pytest.raises(ValueError, match="1 required documents are not in the pool"):
+        sampling.required_in_pool(core, docs.where("doc_id <> 1"), 9)
+    pool = spark.createDataFrame([(f"distractor/dist_gold_{i:x}",) for i in range(6)] + [("distractor/dist_other_1",)], "doc_id string")
+    gold = spark.createDataFrame([("gold",), ("gold",)], "doc_id string")
+    assert [tuple(sampling.variant_counts(pool, gold, n).first()) for n in (4, 9)] == [(6, 4, 2), (6, 6, 0)]
+
+
+def test_tail_leaves_old_days_unread(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    events = [(i, f"2024-03-{1 + i // 4:02d} 0{i % 4}:00:00") for i in range(16)] + [(99, None)]
+    spark.createDataFrame(events, "event_id long, at string").select("event_id", F.to_timestamp("at").alias("ts")).coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("event_id long, ts timestamp").parquet(str(tmp_path / "in"))
+    path = str(tmp_path / "trace")
+    tables.append_daily_trace(stream, path, str(tmp_path / "state")).awaitTermination(120)
+    for old in (tmp_path / "trace" / "day=2024-03-01").glob("*.parquet"):
+        old.write_bytes(b"not a table")
+    assert [r.event_id for r in tables.tail(spark, path, 6).collect()] == [10, 11, 12, 13, 14, 15]
+    assert [r.event_id for r in tables.tail(spark, path, 12).collect()] == list(range(4, 16))
+    with pytest.raises(Exception, match="(?i)parquet"):
+        tables.tail(spark, path, 13).collect()
+    (tmp_path / "empty").mkdir()
+    with pytest.raises(FileNotFoundError):
+        tables.tail(spark, str(tmp_path / "empty"))
+
+
+def test_tree_fingerprint(spark, tmp_path):
+    def print_of(files):
+        root = tmp_path / f"tree{len(list(tmp_path.iterdir()))}"
+        for name, body in files.items():
+            (root / name).parent.mkdir(parents=True, exist_ok=True)
+            (root / name).write_bytes(body)
+        return tables.tree_fingerprint(spark, str(root)).first()[0], root
+
+    tree = {"a.txt": b"one", "sub/b.txt": b"two", "sub/deep/c.bin": bytes(range(256)) * 40}
+    base, root = print_of(tree)
+    assert print_of(dict(reversed(tree.items())))[0] == base == tables.tree_fingerprint(spark, f"file://{root}").first()[0]
+    changed = [{**tree, "a.txt": b"onf"}, {**{k: v for k, v in tree.items() if k != "a.txt"}, "z.txt": b"one"}, {**{k: v for k, v in tree.items() if k != "a.txt"}, "sub/a.txt": b"one"}, {k: v for k, v in tree.items() if k != "a.txt"}]
+    assert len({base, *(print_of(t)[0] for t in changed)}) == 5
+    sums = [0] * 8
+    for name, body in tree.items():
+        row = hashlib.sha256("\x1f".join([name, str(len(body)), hashlib.sha256(body).hexdigest()]).encode()).hexdigest()
+        sums = [s + int(row[8 * i : 8 * i + 8], 16) for i, s in enumerate(sums)]
+    assert base == hashlib.sha256(",".join(map(str, [*sums, len(tree)])).encode()).hexdigest()
