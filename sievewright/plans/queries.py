@@ -9,9 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import budget, catalog, metrics, retrieval, sampling, sessions, vectors
+from ..operators import budget, catalog, context, metrics, retrieval, sampling, sessions, vectors
 from ..sources import tables
-from ..sources.shared import folder
+from ..sources.shared import folder, stored
 from ..streaming import sessions as live
 
 _registered: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -516,6 +516,40 @@ def context_assembly(spark, sf_dir):
     return budget.assemble(retrieval.lexical_top(_prompts(spark, sf_dir), cat, 2), cat)
 
 
+def _element(tag: str, inner: str) -> str:
+    escaped = lambda c: f"replace(replace(replace(replace(coalesce({c}, ''), '&', '&amp;'), '\"', '&quot;'), '<', '&lt;'), '>', '&gt;')"
+    return f"""'<{tag} name="' || {escaped("name")} || '" provider="' || {escaped("provider")} || '">' || chr(10) || {inner} || chr(10) || '</{tag}>'"""
+
+
+@query(f"""WITH {_CAT}, {_PROMPTS}, {_LEX}, ranked AS (SELECT prompt_id, conv_id, turn, doc_id, score, rank FROM lextop JOIN prompts USING (prompt_id) WHERE rank <= 5),
+    res AS (SELECT p.prompt_id, f.doc_id, p.turn - max(f.turn) >= 4 AS stale FROM prompts p JOIN ranked f ON f.conv_id = p.conv_id AND f.turn < p.turn AND f.rank = 1 AND f.score >= 10 GROUP BY p.prompt_id, f.doc_id, p.turn),
+    sel AS (SELECT prompt_id, doc_id, rank AS place FROM ranked WHERE rank <= 2 AND score >= 10),
+    pend AS (SELECT *, {_est("shown")} AS tokens, row_number() OVER (PARTITION BY prompt_id ORDER BY place) AS k FROM (SELECT s.*, name, provider, coalesce(body, '') || chr(10) || chr(10) || 'Source: ' || source AS shown FROM sel s JOIN cat USING (doc_id) ANTI JOIN res USING (prompt_id, doc_id))),
+    one AS (SELECT *, lag(tokens) OVER w <= 600 AS had, CASE WHEN lag(tokens) OVER w <= 600 THEN lag(tokens) OVER w ELSE 0 END AS used, lag(shown) OVER w AS other FROM pend WINDOW w AS (PARTITION BY prompt_id ORDER BY place)),
+    jud AS (SELECT *, CASE WHEN had AND shown = other THEN 'duplicate-content' WHEN used + tokens > 600 THEN 'token-budget' END AS reason FROM one WHERE used < 600),
+    short AS (SELECT r.*, name, provider, description, {_est("description")} AS cost FROM ranked r JOIN cat USING (doc_id)),
+    off AS (SELECT * FROM (SELECT s.*, sum(cost) OVER (PARTITION BY prompt_id ORDER BY rank) AS running FROM short s ANTI JOIN sel USING (prompt_id, doc_id) ANTI JOIN res USING (prompt_id, doc_id)) WHERE running <= 150),
+    again AS (SELECT s.* FROM short s JOIN sel USING (prompt_id, doc_id) JOIN res USING (prompt_id, doc_id) WHERE stale),
+    parts AS (SELECT prompt_id, CASE WHEN reason IS NULL THEN 0 ELSE 3 END AS kind, place, doc_id, reason, tokens, {_element("document", "shown")} AS x FROM jud
+        UNION ALL SELECT prompt_id, 1, rank, doc_id, NULL, 0, {_element("document-again", "description")} FROM again
+        UNION ALL SELECT prompt_id, 2, rank, doc_id, NULL, 0, {_element("document-available", "description")} FROM off),
+    lists AS (SELECT prompt_id, {", ".join(f"string_agg(doc_id::VARCHAR, ' ' ORDER BY place) FILTER (WHERE kind = {k}) AS {n}, string_agg(x, chr(10) ORDER BY place) FILTER (WHERE kind = {k}) AS x{k}" for k, n in enumerate(("loaded", "restated", "offered")))},
+        string_agg(reason, ' ' ORDER BY place) AS skipped, sum(tokens) FILTER (WHERE kind = 0) AS tokens FROM parts GROUP BY prompt_id)
+    SELECT prompt_id, coalesce(loaded, '') AS loaded, coalesce(restated, '') AS restated, coalesce(offered, '') AS offered, coalesce(skipped, '') AS skipped, coalesce(tokens, 0)::BIGINT AS tokens, concat_ws(chr(10) || chr(10), x0, x1, x2) AS context FROM prompts LEFT JOIN lists USING (prompt_id)""")
+def prompt_context(spark, sf_dir):
+    """Every user prompt's context. By rule, a document that came first in an earlier turn is resident, and stale after four turns; a document's source is its note."""
+    cat, prompts = _catalog(spark, sf_dir), _prompts(spark, sf_dir)
+    ranked = stored(retrieval.lexical_top(prompts, cat, 5).join(prompts.select("prompt_id", "conv_id", "turn"), "prompt_id").withColumn("now", F.col("turn")), "ranked")  # read by every part of the plan
+    first = ranked.where("rank = 1 and score >= 10").select("conv_id", F.col("turn").alias("before"), "doc_id")
+    known = prompts.select("prompt_id", "conv_id", "turn").join(first, "conv_id").where("before < turn").groupBy("prompt_id", "turn", "doc_id").agg(F.max("before").alias("last"))
+    known = known.select("prompt_id", "doc_id", (F.col("turn") - F.col("last") >= 4).alias("stale"))
+    notes = cat.select("doc_id", F.concat(F.lit("Source: "), "source").alias("overlay"))
+    none = spark.createDataFrame([], "prompt_id long, doc_id long, last long, rank int")
+    out = context.prompt_context(prompts, ranked, cat, known, none.drop("rank"), none.drop("last"), notes, token_budget=600, load_floor=10, summary_budget=150)
+    words = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ").alias(c)
+    return out.select("prompt_id", words("loaded"), words("restated"), words("offered"), words("skipped"), "tokens", "context")
+
+
 _SECTIONS = f"""{_CAT}, p AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(description), '[\\p{{L}}\\p{{N}}]+')) AS q, regexp_replace(body, '\\n(\\S)', chr(10) || '## \\1', 'g') AS body FROM cat),
     x AS (SELECT *, string_split(body, chr(10) || '## ') AS parts, {_est("body")} AS tokens FROM p),
     y AS (SELECT doc_id, q, parts, {_est("parts[1]")} AS spent FROM x WHERE tokens > 200 AND len(parts) > 2),

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievewright.functions import text as tx
-from sievewright.operators import budget, catalog, index, metrics, retrieval, sampling, sessions, vectors
+from sievewright.operators import budget, catalog, context, index, metrics, retrieval, sampling, sessions, vectors
 from sievewright.plans import queries as plans
 from sievewright.sources import tables
 from sievewright.streaming import sessions as live
@@ -623,3 +623,27 @@ def test_tree_fingerprint(spark, tmp_path):
         row = hashlib.sha256("\x1f".join([name, str(len(body)), hashlib.sha256(body).hexdigest()]).encode()).hexdigest()
         sums = [s + int(row[8 * i : 8 * i + 8], 16) for i, s in enumerate(sums)]
     assert base == hashlib.sha256(",".join(map(str, [*sums, len(tree)])).encode()).hexdigest()
+
+
+def test_prompt_to_context(spark):
+    """Sections are cut before notes are added, notes count in the cost; stale residents, predictions and prompts without anything."""
+    long = "# Guide\nintro\n## Apples\n" + "apple " * 60 + "\n## Pears\n" + "pear " * 60
+    cat = spark.createDataFrame([(1, 'a "b"', "p", "first", long), (2, "two", "p", "second", "# Head\nshort"), (3, "three", "p", "third", None), (4, "four", "p", "fourth", "x " * 50), (5, None, None, None, "y")], "doc_id long, name string, provider string, description string, body string")
+    prompts = spark.createDataFrame([(1, "pear trees"), (2, "again"), (3, None)], "prompt_id long, prompt string")
+    ranked = spark.createDataFrame([(1, 1, 1, 9.0, 1), (1, 1, 4, 8.0, 2), (1, 1, 3, 1.0, 3), (2, 2, 2, 9.0, 1), (2, 2, 5, 3.0, 2), (2, 2, 1, 2.5, 3)], "prompt_id long, now long, doc_id long, score double, rank int")
+    residents = spark.createDataFrame([(2, 2, True), (2, 4, True), (2, 2, False)], "prompt_id long, doc_id long, stale boolean")
+    shown = spark.createDataFrame([(2, 1, 1)], "prompt_id long, doc_id long, last long")
+    predicted = spark.createDataFrame([(1, 2, 1), (1, 3, 2)], "prompt_id long, doc_id long, rank int")
+    notes = spark.createDataFrame([(1, "## Note kept")], "doc_id long, overlay string")
+    run = lambda tokens: {r.prompt_id: r for r in context.prompt_context(prompts, ranked, cat, residents, shown, predicted, notes, token_budget=tokens, gate=50, section_budget=95).collect()}
+    got = run(1000)
+    assert [got[n].loaded for n in (1, 2, 3)] == [[1, 4], [5], []] and [got[n].restated for n in (1, 2, 3)] == [[], [2], []]
+    assert [got[n].offered for n in (1, 2, 3)] == [[3, 2], [], []] and got[3].context == "" and got[3].tokens == 0 and not got[1].skipped
+    text = got[1].context
+    assert text.startswith('<document name="a &quot;b&quot;" provider="p">\n# Guide') and "## Pears" in text and "## Apples" not in text and "\n\n## Note kept\n</document>" in text
+    assert '<document-available name="two" provider="p">\nsecond\nSections: Head\n</document-available>' in text
+    assert got[2].context == '<document name="" provider="">\ny\n</document>\n\n<document-again name="two" provider="p">\nsecond\nSections: Head\n</document-again>'
+    first = one(spark, text.split("\n</document>")[0].split('">\n', 1)[1], tx.estimate_tokens)
+    assert got[1].tokens == first + one(spark, "x " * 50, tx.estimate_tokens)
+    less = run(got[1].tokens - 1)[1]
+    assert less.loaded == [1] and less.skipped == ["token-budget"] and less.tokens == first
