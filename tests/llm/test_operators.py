@@ -125,6 +125,14 @@ def test_odd_pages(spark):
     assert url_filter.filter_urls(df.limit(0), entries).collect() == []
 
 
+def test_rules_are_the_contracts(spark):
+    """Each rule's word: of hosts under org only /es/ and /en/1 of example.org and its subdomains are blocked, of those under com only /de/."""
+    urls = {"x://b.org/de/": "allow", "x://example.org/es/1": "block", "x://a.example.org/en/1": "block", "x://example.org/en/12": "block", "x://example.org/en/2": "allow", "x://example.com/fr/1": "allow", "x://example.com/de/1": "block"}
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(df, spark.createDataFrame([], "entry string")).collect()}
+    assert [got[i] for i in range(len(urls))] == list(urls.values())
+
+
 def test_long_block_lists_are_cut_into_shards(spark, monkeypatch):
     pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url")
     pages = pages.unionByName(pages.limit(1).select("url").crossJoin(spark.range(200).select((F.col("id") + 10_000).alias("page_id"))))
