@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import re
 import time
 from collections import Counter
 
@@ -85,6 +86,20 @@ def test_exact_name(spark):
     assert retrieval.exact_name_matches(p, many).isEmpty()
 
 
+def test_exact_names_without_broadcasts(spark):
+    """Names meet whole stretches of words: the same rows as by brute force, and neither names nor what prompts are exploded into is broadcast."""
+    names = ["data tool", "tool", "data-tool", "(tool)", "c++ 11", "#!?#", "tools", "big data tool", "tool", "x\\\\Ey z", "über_maß"]
+    prompts = ["a data tool", "datatool x", "the (tool) now", "(tool", "use c++ 11!", "so #!?# it", "a big  data_tool", "x\\\\Ey z", "ÜBER maß, tools", "", None, "?#!?#! tools"]
+    cat = spark.createDataFrame(list(enumerate(names)), "doc_id long, name string")
+    p = spark.createDataFrame(list(enumerate(prompts)), "prompt_id long, prompt string")
+    plain = lambda x: re.sub(r"[\s_-]+", " ", x.lower()).strip(" ")
+    holds = lambda x, n: re.search(rf"(^|[^\w]|_){re.escape(plain(n))}($|[^\w]|_)", plain(x))
+    found = {i: [j for j, n in enumerate(names) if len(re.sub(r"[-_\s]", "", n)) >= 4 and holds(x, n)] for i, x in enumerate(prompts) if x}
+    got = retrieval.exact_name_matches(p, cat)
+    assert sorted(map(tuple, got.collect())) == sorted((i, js[0]) for i, js in found.items() if len(js) == 1) != []
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_budget_loader(spark):
     rows = [(1, 1, 10, 8, "h"), (1, 2, 11, 8, "h"), (1, 3, 12, 128, "g")]
     got = budget.greedy_budget(spark.createDataFrame(rows, "prompt_id long, rank int, doc_id long, tokens long, content_hash string"), 20).orderBy("rank").collect()
