@@ -7,6 +7,7 @@ import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -512,6 +513,36 @@ def test_pruned_search_by_brute_force(monkeypatch):
             assert [(-s, d) for d, s in zip(*got, strict=True)] == [(s, d) for s, _, d in want]
 
 
+def test_summed_lists_by_brute_force(monkeypatch):
+    """Cells of short and long lists, of more weight than a byte holds and of many ties, with and without rows of bytes."""
+    rng = np.random.default_rng(3)
+    for trial in range(60):
+        monkeypatch.setattr(index, "DENSE", int(rng.choice([0, 2000, 10**6])))
+        docs = rng.choice(10_000, size=int(rng.choice([3, 300, 700])), replace=False) - 500
+        tie = dict(zip(docs.tolist(), rng.integers(-1, 3, size=len(docs)).tolist(), strict=True))
+        lists = {int(4 * i + f): np.sort(rng.choice(docs, size=rng.integers(1, len(docs) + 1), replace=False)) for i in range(30) for f in (0, 1, 3)}
+        weights = [6, 2, 0, 12] if trial % 3 else [300, 2, 0, 12] if trial % 2 else [6, 0.5, 0, 12]
+        asked = {p: rng.choice([*lists, 402, 403], size=rng.integers(1, 70), replace=False).tolist() for p in range(5)}
+        held = pa.table({"id": pa.array([*lists, None], pa.int64()), "docs": pa.array([*lists.values(), docs], pa.list_(pa.int64())), "ties": pa.array([*([None] * len(lists)), [tie[d] for d in docs.tolist()]], pa.list_(pa.int64()))})
+        for top, floor in ((1, 2), (5, 2), (400, 9)):
+            got = index._cell(top, floor, weights)(pa.table({"p": list(asked), "ids": pa.array(list(asked.values()), pa.list_(pa.int64()))}), held).to_pylist()
+            want = []
+            for p, ids in asked.items():
+                scores = {d: sum(weights[i & 3] for i in ids if i in lists and d in members[i]) for members in [{i: set(x.tolist()) for i, x in lists.items()}] for d in docs.tolist()}
+                want += [(p, d, s) for s, _, d in sorted((-s, tie[d], d) for d, s in scores.items() if s >= floor)[:top]]
+            assert [(r["p"], r["doc_id"], -r["score"]) for r in got] == want
+
+
+def test_frequent_lists_are_not_sent_to_every_few_prompts(spark):
+    """A block is tens of thousands of prompts and a shard tens of thousands of documents: the lists are sent as often as there are blocks."""
+    assert index.BLOCK >= 32_768 and index.SHARD[0] >= 16_384
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("alpha beta").alias("name"), F.lit("alpha beta gamma").alias("description"), F.col("id").alias("activation_tokens"))
+    held = index.build(docs)
+    prompts = spark.range(5000).select(F.col("id").alias("prompt_id"), F.concat(F.lit("gamma word"), "id").alias("prompt"))
+    got = index.search(prompts, held, 1, 2, [6, 2, 0, 12])
+    assert held.shards == 1 and got.select("doc_id", "score", "matches").distinct().collect() == [(0, 2.0, "gamma")] and got.count() == 5000
+
+
 def test_a_large_table_of_prompts(spark):
     """100,000 prompts cut from texts; a sample of them against a plain version."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
