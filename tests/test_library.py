@@ -543,6 +543,20 @@ def test_frequent_lists_are_not_sent_to_every_few_prompts(spark):
     assert held.shards == 1 and got.select("doc_id", "score", "matches").distinct().collect() == [(0, 2.0, "gamma")] and got.count() == 5000
 
 
+def test_a_search_is_run_once(spark, monkeypatch):
+    """The answers are stored: their plan has no cells, however often it is read, and the work tables are gone; modes share a list."""
+    builds = []
+    build = index.build
+    monkeypatch.setattr(index, "build", lambda *a, **b: builds.append(build(*a, **b)) or builds[-1])
+    cat, prompts = plans._catalog(spark, "/root/testdata/sf0.001"), plans._prompts(spark, "/root/testdata/sf0.001").limit(20)
+    found = retrieval.lexical_top(prompts, cat, 3)
+    plan = found.union(found)._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" not in plan and found.count() > 20
+    path = spark._jvm.org.apache.hadoop.fs.Path(builds[0].root)
+    assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    assert plans.routing_modes(spark, "/root/testdata/sf0.001").count() > 0 and len(builds) == 2
+
+
 def test_a_large_table_of_prompts(spark):
     """100,000 prompts cut from texts; a sample of them against a plain version."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
