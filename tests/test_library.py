@@ -543,6 +543,32 @@ def test_frequent_lists_are_not_sent_to_every_few_prompts(spark):
     assert held.shards == 1 and got.select("doc_id", "score", "matches").distinct().collect() == [(0, 2.0, "gamma")] and got.count() == 5000
 
 
+def test_lists_are_places_and_texts_are_stored_once(spark):
+    """Lists cost four bytes a document, and a text is not sent beside its hash for every document that has it."""
+    docs = spark.range(500).select((F.col("id") * 10**12).alias("doc_id"), F.lit("").alias("name"), F.lit("").alias("description"), (F.col("id") % 7).alias("activation_tokens"), F.concat(F.lit("alpha w"), F.col("id") % 50).alias("body"))
+    held = index.build(docs, body=True)
+    lists = held.table("postings").where("id is not null")
+    assert lists.schema["docs"].dataType.simpleString() == "array<int>" and held.table("lists").count() == 51
+    assert lists.agg(F.sum(F.size("docs")), F.max(F.size("docs"))).first()[:] == (1000, 500)
+    asked = spark.createDataFrame([(1, "alpha"), (2, "w49 alpha"), (3, "nothing")], "prompt_id long, prompt string")
+    got = index.search(asked, held, 2, 1, [6, 2, 1, 12]).orderBy("prompt_id", "rank").collect()
+    assert [(r.prompt_id, r.doc_id // 10**12, r.score, r.matches) for r in got] == [(1, 0, 1.0, "alpha"), (1, 7, 1.0, "alpha"), (2, 49, 2.0, "alpha w49"), (2, 399, 2.0, "alpha w49")]
+
+
+def test_names_of_all_shapes_by_brute_force(spark):
+    """Names of one and more words, of marks only, with marks at their ends, inside longer words, beyond the basic plane."""
+    rng = np.random.default_rng(5)
+    bits = ["ab", "b", "abcdef", "-", "--", " ", ".", "é", "\U00010400", "x1"]
+    word = lambda: "".join(rng.choice(bits, size=rng.integers(1, 6)))
+    names, said = sorted({word().lower() for _ in range(300)}), {i: "".join(word() for _ in range(4)).lower() for i in range(80)}
+    entries = spark.createDataFrame([(i, n, "", 0) for i, n in enumerate(names)], "doc_id long, name string, description string, activation_tokens long")
+    asked = spark.createDataFrame(list(said.items()), "p long, said string")
+    held = index.build(entries).table("names")
+    texts = {r.id: r.text for r in held.collect()}
+    got = {(r.p, texts[r.id]) for r in index._phrases(asked, held).collect()}
+    assert got == {(p, n) for p, text in said.items() for n in names if n in text} and len(got) > 1000
+
+
 def test_a_search_is_run_once(spark, monkeypatch):
     """The answers are stored: their plan has no cells, however often it is read, and the work tables are gone; modes share a list."""
     builds = []
