@@ -336,6 +336,34 @@ def test_near_ties_by_depth_and_reranker(spark):
     assert go(1, "none") == [fallback] and go(1, "similarity") == [(1, 1, 3, "semantic"), fallback]
 
 
+def test_copies_of_a_text_are_not_handed_on(spark, monkeypatch):
+    """The search keeps the best of each text itself: 300 copies do not make every list 300 times as long."""
+    rng = np.random.default_rng(4)
+    n = 600
+    vectors, body = rng.normal(size=(n, 8)), ["copy" if i % 2 else f"text {i % 400}" for i in range(n)]
+    pool = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "doc_id long, embedding array<float>").repartition(4)
+    cat = spark.createDataFrame(list(enumerate(body))[: n - 3], "doc_id long, body string")
+    asked = spark.createDataFrame([(k, rng.normal(size=8).tolist()) for k in range(30)], "prompt_id long, embedding array<double>")
+    tops, near = [], retrieval.vector_top
+    monkeypatch.setattr(retrieval, "vector_top", lambda q, p, top, floor: tops.append(top) or near(q, p, top, floor))
+    unit = lambda m: m / np.sqrt((m * m).sum(1))[:, None]
+    score = np.round(unit(np.array([r.embedding for r in asked.orderBy("prompt_id").collect()])) @ unit(vectors.astype(np.float32).astype(np.float64)).T, 9)
+    want = []
+    for k in range(30):
+        seen, rank = set(), 0
+        for i in sorted(range(n), key=lambda i: (-score[k, i], i)):
+            text = body[i] if i < n - 3 else i
+            if text not in seen and rank < 5 and score[k, i] >= 0.1:
+                seen.add(text)
+                rank += 1
+                want.append((k, i, rank))
+    for block in (4096, 2):
+        monkeypatch.setattr(retrieval, "QUERY_BLOCK", block)
+        got = retrieval.semantic_list(asked, pool, cat, 2, 0.1, depth=5).orderBy("prompt_id", "rank").collect()
+        assert [(r.prompt_id, r.doc_id, r.rank) for r in got] == want
+    assert tops == [5, 5]
+
+
 def test_vector_shards_resume(spark, tmp_path):
     root, all_ = str(tmp_path / "v"), spark.range(10).select(F.col("id").alias("doc_id"), F.array(F.lit(1.0), F.lit(0.0)).alias("embedding"))
     tables.append_shards(all_.where("doc_id < 4"), root, "m1")
