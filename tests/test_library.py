@@ -561,6 +561,41 @@ def test_summed_lists_by_brute_force(monkeypatch):
             assert [(r["p"], r["doc_id"], -r["score"]) for r in got] == want
 
 
+def test_cells_leave_what_cannot_win():
+    """Given the score and tie to beat, a cell answers with nothing less, loses nothing that beats them, and has no rows where nothing does."""
+    rng = np.random.default_rng(7)
+    for _ in range(60):
+        docs = np.sort(rng.choice(10_000, size=int(rng.choice([3, 300, 700])), replace=False))
+        tie = rng.integers(0, 4, size=len(docs))
+        lists = {int(4 * i + f): np.sort(rng.choice(docs, size=rng.integers(1, len(docs) + 1), replace=False)) for i in range(30) for f in (0, 1)}
+        asked = pa.table({"p": list(range(5)), "ids": pa.array([rng.choice([*lists, 402], size=rng.integers(1, 40), replace=False).tolist() for _ in range(5)], pa.list_(pa.int64()))})
+        held = pa.table({"id": pa.array([*lists, None], pa.int64()), "docs": pa.array([*lists.values(), docs], pa.list_(pa.int64())), "ties": pa.array([*([None] * len(lists)), tie.tolist()], pa.list_(pa.int64()))})
+        least, last = rng.integers(2, 60, size=5).astype(float), rng.integers(-1, 5, size=5)
+        run = index._cell(5, 2, [6, 2, 0, 12])
+        beats = lambda r: (r["score"], -r["tie"]) >= (least[r["p"]], -last[r["p"]])  # noqa: E731, B023
+        got = run(asked.append_column("least", pa.array(least)).append_column("tie", pa.array(last)), held).to_pylist()
+        assert [r for r in got if beats(r)] == [r for r in run(asked, held).to_pylist() if beats(r)] and all(r["score"] >= least[r["p"]] for r in got)
+        asked = asked.append_column("least", pa.array([500.0] * 5)).append_column("tie", pa.array([0] * 5))
+        assert run(asked, held).num_rows == 0
+
+
+def test_shards_hold_neighbours_and_are_searched_in_rounds(spark, monkeypatch):
+    """Documents of a provider share shards; whatever the shards and rounds, the answers are the same, ties included."""
+    monkeypatch.setattr(index, "SHARD", (20, 20))
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("p"), F.col("id") % 4).alias("provider"), F.lit("").alias("name"), F.concat_ws(" ", F.lit("alpha"), F.concat(F.lit("w"), F.col("id") % 4), F.concat(F.lit("x"), F.col("id") % 7)).alias("description"), (F.col("id") % 3).alias("activation_tokens"))
+    held = index.build(docs)
+    of = docs.select("doc_id", "provider").join(held.table("documents"), "doc_id").groupBy("shard").agg(F.count_distinct("provider").alias("n")).collect()
+    assert held.shards == 20 and sum(r.n > 1 for r in of) <= 3
+    for shards in (*range(1, 10), 16, 20, 64, 65):
+        rounds = index._rounds(shards)
+        assert sorted(sum(rounds, [])) == list(range(shards)) and (shards < 4 or len(rounds[0]) * 4 <= shards + 12)
+    asked = spark.range(28).select(F.col("id").alias("prompt_id"), F.concat_ws(" ", F.lit("alpha"), F.concat(F.lit("w"), F.col("id") % 4), F.concat(F.lit("x"), F.col("id") % 7)).alias("prompt"))
+    got = {(r.prompt_id, r.rank): (r.doc_id, r.score) for r in index.search(asked, held, 6, 2, [6, 2, 0, 12]).collect()}
+    score = lambda p, d: 2.0 + 2.0 * (p % 4 == d % 4) + 2.0 * (p % 7 == d % 7)
+    want = {(p, k + 1): (d, score(p, d)) for p in range(28) for k, d in enumerate(sorted(range(400), key=lambda d: (-score(p, d), d % 3, d))[:6])}
+    assert got == want
+
+
 def test_frequent_lists_are_not_sent_to_every_few_prompts(spark):
     """A block is tens of thousands of prompts and a shard tens of thousands of documents: the lists are sent as often as there are blocks."""
     assert index.BLOCK >= 32_768 and index.SHARD[0] >= 16_384
