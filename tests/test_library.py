@@ -672,6 +672,19 @@ def test_whole_texts_are_searchable(spark):
     assert [(r.prompt_id, r.doc_id, r.score, r.matches) for r in retrieval.lexical_top(asked, cat, body_weight=2).collect()] == [(1, 1, 2.0, "zanzibar")]
 
 
+def test_bodies_are_cut_once_for_the_blend(spark):
+    """A body is cut into terms before it meets its candidates, and no join comes after that, so no text is shuffled for each candidate."""
+    prompts = spark.createDataFrame([(p, f"alpha alpha beta w{p} testing") for p in range(20)] + [(20, None)], "prompt_id long, prompt string")
+    cat = spark.createDataFrame([(1, "Alpha tested alpha W3"), (2, None)], "doc_id long, body string")
+    held = prompts.select("prompt_id").crossJoin(cat.select("doc_id")).withColumn("score", F.lit(0.2))
+    found = retrieval.rerank_blend(held, prompts, cat, 2)
+    lines = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not any("regexp_extract_all" in x for x in lines[: next(i for i, x in enumerate(lines) if "Join" in x)])
+    got = {(r.prompt_id, r.doc_id): r.score for r in found.collect()}
+    assert len(got) == 42 and got[3, 1] == round(0.17 + 0.15 * 3 / 4, 9) and got[4, 1] == round(max(0.2, 0.17 + 0.15 * 2 / 4), 9) and got[4, 2] == got[20, 1] == 0.2
+    assert one(spark, "Tests test testing a the boxes box é1", tx.term_set) == list(dict.fromkeys(one(spark, "Tests test testing a the boxes box é1", tx.tokenize)))
+
+
 def test_rerank_by_a_model(spark):
     prompts = spark.createDataFrame([(1, "p")], "prompt_id long, prompt string")
     cat = spark.createDataFrame([(1, "short"), (2, "a longer body")], "doc_id long, body string")
