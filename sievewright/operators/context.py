@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..sources.shared import stored
 from . import budget
 
 LOADED, RESTATED, OFFERED, SKIPPED = range(4)
@@ -40,22 +41,25 @@ def prompt_context(
     order = F.row_number().over(W.partitionBy("prompt_id").orderBy("rank"))
     selected = ranked.where(F.col("score") >= load_floor).withColumn("place", order).where(F.col("place") <= top).select("prompt_id", "doc_id", "place")
     wanted = ranked.select("doc_id").union(predicted.select("doc_id")).distinct()
-    texts = catalog.join(wanted, "doc_id", "left_semi").select("doc_id", "name", "provider", F.coalesce("body", F.lit("")).alias("body"), digest_text(F.col("description"), F.col("body")).alias("short"))
+    texts = catalog.join(wanted, "doc_id", "left_semi").select("doc_id", "name", "provider", digest_text(F.col("description"), F.col("body")).alias("short"))
+    texts = stored(texts.withColumn("cost", tx.estimate_tokens(F.col("short"))), "short")  # read by several parts of the plan, as are the texts that may load
+    bodies = catalog.select("doc_id", "name", "provider", F.coalesce("body", F.lit("")).alias("body"))
     known = residents.groupBy("prompt_id", "doc_id").agg(F.max("stale").alias("stale"))
 
-    held = selected.join(known, ["prompt_id", "doc_id"], "left_anti").join(prompts.select("prompt_id", "prompt"), "prompt_id").join(texts.drop("short"), "doc_id")
+    held = selected.join(known, ["prompt_id", "doc_id"], "left_anti").join(prompts.select("prompt_id", "prompt"), "prompt_id").join(bodies, "doc_id")
     both = F.struct("prompt_id", "doc_id")
     trimmed = budget.select_sections(held.select(both.alias("doc_id"), "prompt", "body"), section_budget, gate).select("doc_id.prompt_id", "doc_id.doc_id", F.col("body").alias("trimmed"))
     held = held.drop("prompt", "body").join(trimmed, ["prompt_id", "doc_id"]).join(overlays.select("doc_id", "overlay"), "doc_id", "left")
-    held = held.withColumn("shown", F.concat_ws("\n\n", "trimmed", "overlay")).withColumn("tokens", tx.estimate_tokens(F.col("shown")))
-    judged = budget.greedy_budget(held.select("prompt_id", F.col("place").alias("rank"), "doc_id", "tokens", tx.content_hash(F.col("shown")).alias("content_hash")), token_budget)
+    held = held.withColumn("shown", F.concat_ws("\n\n", "trimmed", "overlay")).drop("trimmed", "overlay")
+    held = stored(held.withColumn("tokens", tx.estimate_tokens(F.col("shown"))).withColumn("content_hash", tx.content_hash(F.col("shown"))), "shown")
+    judged = budget.greedy_budget(held.select("prompt_id", F.col("place").alias("rank"), "doc_id", "tokens", "content_hash"), token_budget)
     judged = judged.select("prompt_id", "doc_id", "reason").join(held, ["prompt_id", "doc_id"])
     kind = F.when(F.col("reason").isNull(), LOADED).otherwise(SKIPPED)
     loads = judged.select("prompt_id", kind.alias("kind"), "place", "doc_id", "reason", "tokens", F.when(F.col("reason").isNull(), element("document", F.col("shown"))).alias("rendered"))
 
     in_short = lambda df, kind, tag: df.join(texts, "doc_id").select("prompt_id", F.lit(kind).alias("kind"), "place", "doc_id", F.lit(None).cast("string").alias("reason"), F.lit(0).cast("long").alias("tokens"), element(tag, F.col("short")).alias("rendered"))
     restated = in_short(selected.join(known.where("stale"), ["prompt_id", "doc_id"]), RESTATED, "document-again")
-    costs = texts.select("doc_id", tx.estimate_tokens(F.col("short")).alias("tokens"))
+    costs = texts.select("doc_id", F.col("cost").alias("tokens"))
     offered = in_short(budget.summary_tier(ranked, known, shown, predicted, costs, top, summary_budget, load_floor, apart), OFFERED, "document-available")
 
     parts = loads.unionByName(restated).unionByName(offered)

@@ -809,3 +809,9 @@ def test_prompt_to_context(spark):
     assert got[1].tokens == first + one(spark, "x " * 50, tx.estimate_tokens)
     less = run(got[1].tokens - 1)[1]
     assert less.loaded == [1] and less.skipped == ["token-budget"] and less.tokens == first
+
+
+def test_prompt_context_reads_digests_and_texts_from_store(spark):
+    """The digest of a document and the texts that may load are made once: no part of the plan looks for headings or cuts sections again."""
+    plan = plans.prompt_context(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "#{1,3}" not in plan and "##[" not in plan
