@@ -815,3 +815,65 @@ def test_prompt_context_reads_digests_and_texts_from_store(spark):
     """The digest of a document and the texts that may load are made once: no part of the plan looks for headings or cuts sections again."""
     plan = plans.prompt_context(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "#{1,3}" not in plan and "##[" not in plan
+
+
+def test_words_are_cut_as_spark_cuts_them(spark):
+    """Terms and pieces of texts with marks, endings, capitals and letters that one Unicode version has and another lacks."""
+    from sievewright.functions import terms
+
+    rng = np.random.default_rng(11)
+    letters = terms.alphabet(spark)
+    odd = [chr(i) for i in range(0x80, 0x110000) if not 0xD800 <= i < 0xE000 and letters.odd and re.match(letters.odd, chr(i))][:: 400]
+    bits = ["the", "test", "ing", "ed", "s", "ES", " ", "-", "_", "9", "é", "Σ", "İ", "\U00010400", "́", "²", "五", "a", *odd]
+    texts = ["".join(rng.choice(bits, size=rng.integers(0, 25))) for _ in range(1500)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    pieces = F.regexp_extract_all(F.lower("t"), F.lit(f"({index.WORD}+|{index.MARK}+)"), F.lit(1))
+    cutter = terms.Cutter(letters)
+    for r in df.select(F.lower("t").alias("low"), tx.tokenize(F.col("t")).alias("terms"), pieces.alias("pieces")).collect():
+        assert cutter.terms(r.low) == set(r.terms) and cutter.pieces(r.low) == r.pieces
+
+
+def test_names_are_cut_from_the_start_of_a_text(spark):
+    texts = ["the of and " * 30 + "alpha beta gamma", "alpha", "", "a " * 31 + "xanthous yes no", "one two three four", None, "x" * 63 + " y" * 9 + " beta"]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    plain = F.array_join(F.slice(tx.tokenize(F.col("description")), 1, 2), "-")
+    assert all(r.name == r.plain for r in catalog.from_documents(docs).select("name", plain.alias("plain")).collect())
+
+
+def test_only_near_vectors_are_scored_exactly():
+    """Under a floor few pairs are scored in 64 bits; the answers are those of scoring all, ties, copies and a vector of no number included."""
+    from sievewright.operators.best import Best
+
+    rng = np.random.default_rng(2)
+    for top, floor in ((3, 0.3), (5, -1.0)):
+        queries, rows = rng.normal(size=(40, 16)), rng.normal(size=(3000, 16))
+        rows[5], rows[9] = np.nan, rows[8]
+        queries, rows = (m / np.sqrt((m * m).sum(1))[:, None] for m in (queries, rows))
+        texts, scored, best = np.arange(3000) // 2, [], Best(40, top, floor)
+        score = np.round(queries @ rows.T, 9)
+        for i in range(0, 3000, 500):
+            exact = lambda q, c: scored.append(len(q)) or score[q, c + i]  # noqa: E731, B023
+            best.add((queries @ rows[i : i + 500].T).astype(np.float32), 24 * retrieval.ROUGH, exact, np.arange(i, i + 500), texts[i : i + 500])
+        got = list(zip(*(x.tolist() for x in best.rows()), strict=True))
+        want = []
+        for q in range(40):
+            held = {}
+            for d in np.lexsort((np.arange(3000), -score[q])).tolist():
+                if score[q, d] >= floor and len(held) < top:
+                    held.setdefault(int(texts[d]), (q, score[q, d], d, int(texts[d])))
+            want += list(held.values())
+        assert got == want and sum(scored) < 40 * 3000 // 8
+
+
+def test_texts_of_no_candidate_are_not_cut(spark):
+    """Texts are cut where they are read, only those of candidates, and no text meets the candidates in a shuffle."""
+    prompts = spark.createDataFrame([(1, "alpha beta")], "prompt_id long, prompt string")
+    cat = spark.createDataFrame([(i, f"alpha w{i}") for i in range(500)], "doc_id long, body string")
+    held = spark.createDataFrame([(1, 7, 0.2), (1, 8, 0.2)], "prompt_id long, doc_id long, score double")
+    found = retrieval.rerank_blend(held, prompts, cat, 2)
+    assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
+    wanted = index.packed(held.select(F.pmod(F.xxhash64("doc_id"), F.lit(retrieval.CANDIDATES)).alias("h")))
+    assert int(index.unpacked(wanted, retrieval.CANDIDATES).sum()) == 2
+    assert [(r.doc_id, r.score) for r in found.collect()] == [(7, round(0.17 + 0.075, 9)), (8, round(0.17 + 0.075, 9))]
+    with pytest.raises(Exception, match="without a body"):
+        retrieval.rerank_blend(spark.createDataFrame([(1, 999, 0.2)], "prompt_id long, doc_id long, score double"), prompts, cat, 2).collect()
