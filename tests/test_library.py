@@ -877,3 +877,45 @@ def test_texts_of_no_candidate_are_not_cut(spark):
     assert [(r.doc_id, r.score) for r in found.collect()] == [(7, round(0.17 + 0.075, 9)), (8, round(0.17 + 0.075, 9))]
     with pytest.raises(Exception, match="without a body"):
         retrieval.rerank_blend(spark.createDataFrame([(1, 999, 0.2)], "prompt_id long, doc_id long, score double"), prompts, cat, 2).collect()
+
+
+def test_places_are_sent_in_few_bytes(spark):
+    """Lists of all densities come back as they were; a frequent one costs a byte a place, a rare one four at most."""
+    rng = np.random.default_rng(4)
+    for trial in range(40):
+        lists = [np.sort(rng.choice(70_000, size=int(s), replace=False)).astype(np.int32) for s in rng.choice([0, 1, 2, 40, 300, 20_000, 70_000], size=trial)]
+        lists += [np.array([0, 255, 510, 766], np.int32), np.array([254], np.int32), np.array([255], np.int32)] * (trial % 3)
+        sizes = np.array([len(x) for x in lists], np.int64)
+        flat = np.concatenate([np.zeros(0, np.int32), *lists])
+        out, size, near = index._coded(flat, sizes)
+        places, number = index._decoded(out, size, near)
+        assert np.array_equal(places, flat) and np.array_equal(number, sizes) and all(s <= 4 * n for s, n in zip(size, sizes, strict=True))
+        assert all(s < 1.1 * n for s, n in zip(size, sizes, strict=True) if n >= 20_000)
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("").alias("name"), F.lit("").alias("description"), F.lit(1).alias("activation_tokens"), F.concat(F.lit("alpha beta gamma w"), F.col("id") % 50).alias("body"))
+    held = index.build(docs.repartition(4), body=True)
+    assert held.table("coded").where("id is not null").agg(F.sum(F.length("coded"))).first()[0] < 1.1 * 12_000
+    texts = docs.select("body").distinct().select(F.monotonically_increasing_id().alias("prompt_id"), F.concat("body", F.lit(" never")).alias("prompt"))
+    found = index.search(texts, held, 2, 1, [6, 2, 1, 12]).join(texts, "prompt_id").collect()
+    assert len(found) == 100 and all(r.matches == r.prompt[: -len(" never")] and r.score == 4 and r.prompt.split()[3] == f"w{r.doc_id % 50}" and r.doc_id < 100 for r in found)
+
+
+def test_pieces_of_a_shard_make_the_same_lists(spark, monkeypatch):
+    """However often a task hands on what it holds, and forgets the terms it met, the lists are the same."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    lists = lambda: {(r.shard, r.id, tuple(r.docs)) for r in index.build(catalog.from_documents(docs), body=True).table("postings").collect()}
+    want, pieces = lists(), index._pieces
+    letters = index.alphabet(spark)
+
+    def small(*a):
+        run = pieces(*a)
+
+        def cut(batches):
+            import sievewright.operators.index as own
+
+            own.FLUSH, own.KEPT, own.TOLD = 500, 300, 7
+            yield from run(x for b in batches for i in range(0, b.num_rows, 11) for x in [b.slice(i, 11)])
+
+        return cut
+
+    monkeypatch.setattr(index, "_pieces", small)
+    assert letters.word and lists() == want and len(want) > 1000
